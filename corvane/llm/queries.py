@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm.quality_rules import quality_rules
+from corvane.llm.simhash_dedup import as_hex, near_groups
 from corvane.session import load
 
 
@@ -15,8 +16,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels").where("quality = 1"))
 
 
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    return near_groups(load(spark, sf_dir, "documents")).select("doc_id", as_hex().alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_simhash_dedup": op2_simhash_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
