@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corvane.llm.quality_gam import classify
 from corvane.llm.quality_rules import quality_rules
 from corvane.llm.simhash_dedup import as_hex, near_groups
 from corvane.session import load
@@ -21,9 +22,15 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(load(spark, sf_dir, "documents")).select("doc_id", as_hex().alias("fingerprint"), "component_id")
 
 
+def op7_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from the labels that aren't held out."""
+    return classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op7_quality_gam": op7_quality_gam,
 }
 
 ORACLE_SQL: dict[str, str] = {}
