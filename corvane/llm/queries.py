@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corvane.llm.decontaminate import leaks
 from corvane.llm.quality_gam import classify
 from corvane.llm.quality_rules import quality_rules
 from corvane.llm.simhash_dedup import as_hex, near_groups
@@ -27,10 +28,16 @@ def op7_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds, at its best window."""
+    return leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("doc_key")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_dedup": op2_simhash_dedup,
     "op7_quality_gam": op7_quality_gam,
+    "op8_decontaminate": op8_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {}
