@@ -5,13 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corvane.llm.decontaminate import leaks
+from corvane.llm.piece_codec import Vocabulary, decoded, encoded
 from corvane.llm.quality_gam import classify
 from corvane.llm.quality_rules import quality_rules
 from corvane.llm.simhash_dedup import as_hex, near_groups
 from corvane.session import load
 
+#: The public SentencePiece model; read on the driver alone.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, log-likelihood ratio and verdict of every document; trusted are the rows labelled quality 1."""
@@ -23,6 +28,14 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(load(spark, sf_dir, "documents")).select("doc_id", as_hex().alias("fingerprint"), "component_id")
 
 
+def op5_piece_codec(spark: SparkSession, sf_dir: str, model: str = PIECE_MODEL) -> DataFrame:
+    """Every document's pieces under merge-dropout (count and hash), and whether they decode to its text."""
+    voc = Vocabulary.load(model)
+    pieces = encoded(load(spark, sf_dir, "documents"), voc, carry=("text",))
+    back = decoded(pieces, voc, carry=("doc_id", "text", "piece_ids"))
+    return back.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.xxhash64("piece_ids").alias("ids_hash"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+
+
 def op7_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learnt from the labels that aren't held out."""
     return classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
@@ -36,6 +49,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op5_piece_codec": op5_piece_codec,
     "op7_quality_gam": op7_quality_gam,
     "op8_decontaminate": op8_decontaminate,
 }
