@@ -11,7 +11,9 @@ from corvane.llm.decontaminate import leaks
 from corvane.llm.piece_codec import Vocabulary, decoded, encoded
 from corvane.llm.quality_gam import classify
 from corvane.llm.quality_rules import quality_rules
+from corvane.llm.sharding import sharded
 from corvane.llm.simhash_dedup import as_hex, near_groups
+from corvane.llm.warc import read_archives, write_archives
 from corvane.session import load
 
 #: The public SentencePiece model; read on the driver alone.
@@ -28,6 +30,13 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(load(spark, sf_dir, "documents")).select("doc_id", as_hex().alias("fingerprint"), "component_id")
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of eight and its slot there, under the law of equal row counts."""
+    text = F.coalesce("text", F.lit(""))
+    rows = load(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"))
+    return sharded(rows, 8).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5_piece_codec(spark: SparkSession, sf_dir: str, model: str = PIECE_MODEL) -> DataFrame:
     """Every document's pieces under merge-dropout (count and hash), and whether they decode to its text."""
     voc = Vocabulary.load(model)
@@ -46,12 +55,28 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("doc_key")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as the archives hold it, written and read back through the index."""
+    return read_archives(write_archives(load(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op4_sharding": op4_sharding,
     "op5_piece_codec": op5_piece_codec,
     "op7_quality_gam": op7_quality_gam,
     "op8_decontaminate": op8_decontaminate,
+    "op9_warc": op9_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_warc": """
+with p as (select cast(page_id as bigint) page_id, coalesce(html, '') h from pages),
+q as (select page_id, cast(strlen(h) as bigint) payload_bytes, sha1(h) payload_digest from p),
+k as (select *, max(page_id) over (partition by payload_digest) keeper from q)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 1000 and keeper is distinct from page_id then 'revisit' else 'response' end record_type,
+       case when payload_bytes >= 1000 and keeper is distinct from page_id then keeper end refers_to
+from k""",
+}
