@@ -29,8 +29,8 @@ QUERIES = {"q01_min_slice": q01_min_slice}
 ORACLE_SQL = {
     "q01_min_slice": r"""
 with d as (select *, string_split(text, '.') parts from documents
-           where length(trim(text, ' ')) > 0 and len(list_filter(regexp_split_to_array(text, '[ \t-\r]+'), t -> t <> '')) >= 10),
-e as (select *, coalesce(list_position(list_transform(parts, s -> contains(s, 'thth') or contains(s, 'ouen')), true), 0) pos from d),
+           where length(trim(text, ' ')) > 0 and len(list_filter(regexp_split_to_array(text, '[ \t-\r]+'), lambda t: t <> '')) >= 10),
+e as (select *, coalesce(list_position(list_transform(parts, lambda s: contains(s, 'thth') or contains(s, 'ouen')), true), 0) pos from d),
 k as (select *, case when pos = 0 then text when pos = 1 then '' else array_to_string(parts[1:pos-1], '.') || '.' end kept from e)
 select source, lang, count(*) n, cast(sum(cast(length(kept) > 0 as bigint)) as bigint) n_kept,
        round(avg(case when quality = 1 then 1.0 else 0.0 end), 6) share_good, cast(sum(length(kept)) as bigint) kept_chars
