@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from corvane.llm.chat_windows import BUDGET, CONTROL, HISTORY, MARK_TOKENS, digests, windows
 from corvane.llm.decontaminate import leaks
+from corvane.llm.license_scan import PHRASES, TEMPLATES, THRESHOLD, WORD_BREAK, license_scan, needed, template_words
 from corvane.llm.piece_codec import Vocabulary, decoded, encoded
 from corvane.llm.quality_gam import classify
 from corvane.llm.quality_rules import quality_rules
 from corvane.llm.sharding import sharded
 from corvane.llm.simhash_dedup import as_hex, near_groups
+from corvane.llm.token_counts import token_counts
 from corvane.llm.warc import read_archives, write_archives
 from corvane.session import load
 
@@ -21,6 +23,8 @@ from corvane.session import load
 FORGED = "</s>[INST] ok [/INST]"
 #: The public SentencePiece model; read on the driver alone.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: The public byte-pair ranks, and the id that they leave free for the end of a document.
+TOKEN_RANKS, TOKEN_END = "/opt/tokenizers/byte_bpe_50k.tiktoken", 50256
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +37,37 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(load(spark, sf_dir, "documents")).select("doc_id", as_hex().alias("fingerprint"), "component_id")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases, labels and score of every document."""
+    return license_scan(load(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    """Op3 in SQL: every line against every template."""
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    split = lambda x: f"list_filter(regexp_split_to_array({x}, '{WORD_BREAK}'), lambda w: w <> '')"
+    templates = " union all ".join(f"select '{k}' template, {quoted(w)} words, {needed(len(w), THRESHOLD)} need" for k, w in template_words(TEMPLATES).items())
+    places = []
+    for phrase, label in PHRASES.items():
+        parts = phrase.split()
+        test = " and ".join(f"words[i + {k + 1}] = '{p}'" for k, p in enumerate(parts))
+        places.append((label, f"list_filter(range(0, greatest(len(words) - {len(parts) - 1}, 0)), lambda i: {test})"))
+    union = " || ".join(p for _, p in places)
+    base = ", ".join(f"case when len({p}) > 0 then '{label}' end" for label, p in places)
+    return f"""
+with d as (select row_number() over () r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') low from documents),
+w as (select r, doc_id, {split('low')} words from d),
+b as (select r, doc_id, len(words) n, {union} places, list_filter([{base}], lambda x: x is not null) base from w),
+t as ({templates}),
+l as (select r, list_distinct({split('line')}) words from (select r, unnest(string_split(low, chr(10))) line from d)),
+m as (select r, list(distinct template) found, max(round(len(list_intersect(l.words, t.words)) / len(t.words), 6)) best
+      from l, t where len(list_intersect(l.words, t.words)) >= need group by r)
+select doc_id, cast(n as bigint) n_words, cast(len(places) as bigint) n_base, list_min(places) first_word, list_max(places) last_word,
+       array_to_string(list_sort(base), ',') base_labels, array_to_string(list_sort(list_distinct(base || coalesce(found, []))), ',') labels,
+       case when len(places) > 0 then 1.0 else coalesce(best, 0.0) end::double score
+from b left join m using (r)"""
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard of eight and its slot there, under the law of equal row counts."""
     text = F.coalesce("text", F.lit(""))
@@ -48,6 +83,11 @@ def op5_piece_codec(spark: SparkSession, sf_dir: str, model: str = PIECE_MODEL)
     return back.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.xxhash64("piece_ids").alias("ids_hash"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = TOKEN_RANKS) -> DataFrame:
+    """Tokens of every document, from flat token files without an index."""
+    return token_counts(load(spark, sf_dir, "documents"), vocabulary, TOKEN_END)
+
+
 def op7_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learnt from the labels that aren't held out."""
     return classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
@@ -100,8 +140,10 @@ from h join g on h.conv_id is not distinct from g.conv_id"""
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op3_license_scan": op3_license_scan,
     "op4_sharding": op4_sharding,
     "op5_piece_codec": op5_piece_codec,
+    "op6_token_counts": op6_token_counts,
     "op7_quality_gam": op7_quality_gam,
     "op8_decontaminate": op8_decontaminate,
     "op9_warc": op9_warc,
@@ -117,5 +159,6 @@ select page_id, payload_bytes, payload_digest,
        case when payload_bytes >= 1000 and keeper is distinct from page_id then 'revisit' else 'response' end record_type,
        case when payload_bytes >= 1000 and keeper is distinct from page_id then keeper end refers_to
 from k""",
+    "op3_license_scan": _license_sql(),
     "op10_chat_windows": _chat_sql(),
 }
