@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("core",)
+MODULES = ("core", "text")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
