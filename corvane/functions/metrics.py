@@ -104,22 +104,26 @@ def sentence_rouge_l(prediction: str | None, reference: str | None) -> float:
     return 2 * longest_common(p, r) / (len(p) + len(r)) if p and r else 0.0
 
 
-def bleu(order: int):
-    """A column function: BLEU-``order`` over Arrow batches."""
+def bleu(order: int, prediction: Column, reference: Column) -> Column:
+    """BLEU-``order`` over Arrow batches."""
 
     @F.pandas_udf("double")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for p, r in batches:
             yield pd.Series([sentence_bleu(a, b, order) for a, b in zip(p, r, strict=True)], dtype="float64")
 
-    return run
+    return run(prediction, reference)
 
 
-@F.pandas_udf("double")
-def rouge_l(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """A column function: ROUGE-L F over Arrow batches."""
-    for p, r in batches:
-        yield pd.Series([sentence_rouge_l(a, b) for a, b in zip(p, r, strict=True)], dtype="float64")
+def rouge_l(prediction: Column, reference: Column) -> Column:
+    """ROUGE-L F over Arrow batches."""
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for p, r in batches:
+            yield pd.Series([sentence_rouge_l(a, b) for a, b in zip(p, r, strict=True)], dtype="float64")
+
+    return run(prediction, reference)
 
 
 def confusion(reference: Column, predicted: Column) -> list[Column]:

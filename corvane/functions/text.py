@@ -76,11 +76,15 @@ def split_sections(text: str | None) -> list[dict]:
     return out
 
 
-@F.pandas_udf(SECTION_TYPE)
-def sections(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def sections(text: Column) -> Column:
     """``split_sections`` over Arrow batches."""
-    for texts in batches:
-        yield texts.map(split_sections)
+
+    @F.pandas_udf(SECTION_TYPE)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(split_sections)
+
+    return run(text)
 
 
 def section_name(name: Column, aliases: dict[str, str] | None = None) -> Column:

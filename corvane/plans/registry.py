@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("core", "text")
+MODULES = ("core", "text", "nesting", "metrics")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
