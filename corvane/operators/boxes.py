@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,29 @@ from corvane.operators.components import connected_components
 CORNERS = ["x1", "y1", "x2", "y2"]
 
 
+def per_group(df: DataFrame, group: list[str], fields: list[str], fn: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """``fn`` over each group's fields as numpy arrays, rows sorted by the fields; its arrays (of ``schema``) with the group's key.
+
+    Groups come many to an Arrow batch, so small ones cost little; a group is one image
+    and class, whose boxes are few.
+    """
+    types = dict(df.dtypes)
+    packed = df.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("__g"))
+    names = [part.strip().split(" ")[0] for part in schema.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("__g")
+            flat, offsets = column.values, column.offsets.to_numpy()
+            arrays = {f: flat.field(f).to_numpy(zero_copy_only=False) for f in fields}
+            made = [fn({f: v[a:b] for f, v in arrays.items()}) for a, b in zip(offsets, offsets[1:], strict=False)]
+            if made:
+                owner = pa.array(np.repeat(np.arange(len(made)), [len(m[names[0]]) for m in made]))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(owner) for k in group), *(pa.array(np.concatenate([m[n] for m in made])) for n in names)], names=[*group, *names])
+
+    return packed.mapInArrow(run, ", ".join([*(f"`{k}` {types[k]}" for k in group), schema]))
+
+
 def overlapping(left: DataFrame, right: DataFrame, key: list[str], cell: float) -> DataFrame:
     """Pairs of boxes of one key whose closed boxes meet: columns of both, the right's led by ``o_``.
 
@@ -72,20 +97,15 @@ def raters_clusters(boxes: np.ndarray, raters: np.ndarray, start: float = 0.25,
 
 
 def consensus_boxes(boxes: DataFrame, key: list[str], rater: str) -> DataFrame:
-    """Mean boxes of ``raters_clusters`` by key; a key is one image and class, so its boxes are few."""
-    types = dict(boxes.dtypes)
+    """Mean boxes of ``raters_clusters`` by key, with the number of boxes of each."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*CORNERS, rater]).reset_index(drop=True)
-        label = raters_clusters(pdf[CORNERS].to_numpy(float), pdf[rater].to_numpy())
-        out = pdf[CORNERS].groupby(label).mean()
-        out.insert(0, "n", pdf.groupby(label).size())
-        for k in reversed(key):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
+    def run(part: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        corners = np.stack([part[c] for c in CORNERS], axis=1).astype(float)
+        _, label = np.unique(raters_clusters(corners, part[rater]), return_inverse=True)
+        n = np.bincount(label)
+        return {"n": n.astype(np.int64)} | {c: np.bincount(label, corners[:, k]) / n for k, c in enumerate(CORNERS)}
 
-    schema = ", ".join([*(f"`{k}` {types[k]}" for k in key), "n long", *(f"{c} double" for c in CORNERS)])
-    return boxes.groupBy(*key).applyInPandas(run, schema)
+    return per_group(boxes, key, [*CORNERS, rater], run, "n long, " + ", ".join(f"{c} double" for c in CORNERS))
 
 
 def keep_best(boxes: np.ndarray, scores: np.ndarray, threshold: float) -> np.ndarray:
@@ -99,15 +119,20 @@ def keep_best(boxes: np.ndarray, scores: np.ndarray, threshold: float) -> np.nda
 
 
 def suppressed(detections: DataFrame, group: list[str], score: str, order: str, threshold: float = 0.7, before: int = 10_000, after: int = 100) -> DataFrame:
-    """Detections left by class-aware suppression: of each group the ``before`` best enter, ``after`` at most stay."""
+    """Detections left by class-aware suppression: of each group the ``before`` best enter, ``after`` at most stay.
+
+    Equal scores are taken by ``order``, which is unique in a group; group, score, order and corners are returned.
+    """
     w = Window.partitionBy(*group).orderBy(F.desc(score), order)
-    entered = detections.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= before).drop("__r")
+    entered = detections.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= before)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([score, order], ascending=[False, True]).reset_index(drop=True)
-        return pdf.iloc[keep_best(pdf[CORNERS].to_numpy(float), pdf[score].to_numpy(float), threshold)[:after]]
+    def run(part: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        kept = keep_best(np.stack([part[c] for c in CORNERS], axis=1).astype(float), part[score].astype(float), threshold)[:after]
+        return {f: v[kept] for f, v in part.items()}
 
-    return entered.groupBy(*group).applyInPandas(run, entered.schema)
+    types = dict(detections.dtypes)
+    fields = ["__r", score, order, *CORNERS]
+    return per_group(entered, group, fields, run, ", ".join(f"{f} {'int' if f == '__r' else types[f]}" for f in fields)).drop("__r")
 
 
 def threshold_matches(pairs: DataFrame, query: str, truth: str, value: str, low: float, high: float) -> DataFrame:
@@ -155,21 +180,21 @@ def assignment(cost: np.ndarray) -> np.ndarray:
 
 def assigned(costs: DataFrame, group: list[str], query: str, truth: str, cost: str) -> DataFrame:
     """The one-to-one pairs of least total cost in each group of ``costs``; a missing pair can't be chosen unless nothing else can."""
-    types = dict(costs.dtypes)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = pdf.pivot_table(index=truth, columns=query, values=cost, aggfunc="min").sort_index().sort_index(axis=1)
-        grid, swap = table.to_numpy(float), table.shape[0] > table.shape[1]
-        grid = np.where(np.isnan(grid), 1e9, grid)
-        pick = assignment(grid.T if swap else grid)
-        rows, cols = (pick, np.arange(len(pick))) if swap else (np.arange(len(pick)), pick)
-        out = pd.DataFrame({query: table.columns.to_numpy()[cols], truth: table.index.to_numpy()[rows], cost: grid[rows, cols]})
-        for k in reversed(group):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out[out[cost] < 1e9]
-
-    schema = ", ".join([*(f"`{k}` {types[k]}" for k in group), f"`{query}` {types[query]}", f"`{truth}` {types[truth]}", f"`{cost}` double"])
-    return costs.groupBy(*group).applyInPandas(run, schema)
+    def run(part: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        queries, q = np.unique(part[query], return_inverse=True)
+        truths, t = np.unique(part[truth], return_inverse=True)
+        grid = np.full((len(truths), len(queries)), 1e9)
+        np.minimum.at(grid, (t, q), part[cost].astype(float))
+        if len(truths) <= len(queries):
+            rows, cols = np.arange(len(truths)), assignment(grid)
+        else:
+            rows, cols = assignment(grid.T), np.arange(len(queries))
+        real = grid[rows, cols] < 1e9
+        return {query: queries[cols[real]], truth: truths[rows[real]], cost: grid[rows, cols][real]}
+
+    types = dict(costs.dtypes)
+    return per_group(costs, group, [query, truth, cost], run, f"{query} {types[query]}, {truth} {types[truth]}, {cost} double")
 
 
 def distinct_boxes(boxes: DataFrame, key: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("core", "text", "nesting", "metrics")
+MODULES = ("core", "text", "nesting", "metrics", "ranking", "geometry", "state")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
