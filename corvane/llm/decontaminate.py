@@ -100,7 +100,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, threshold
     held = join_checked(corpus, laid, "doc_key", "inner").dropDuplicates(["doc_key"]).select("doc_key", "doc_id", words_of().alias("words"), "laid")
     windows = held.select("doc_key", "doc_id", F.explode(F.expr("transform(filter(laid, w -> w.start + w.n <= size(words)), w -> struct(w.k, w.n, w.start, slice(words, w.start + 1, w.n) as words))")).alias("w")).select("doc_key", "doc_id", "w.*")
     windows = written(windows, "window-words")
-    at = ["doc_key", "doc_id", "k", "n", "start"]
+    at = ["doc_key", "k", "n", "start"]  # doc_id may be null, so it is no join key
     prints = windows.select(*at, F.explode(F.transform("words", lambda w: F.xxhash64(w))).alias("h")).groupBy(*at).agg(simhash().alias("fp"))
     item_prints = items.select("item_key", "n", F.explode(F.transform("words", lambda w: F.xxhash64(w))).alias("h")).groupBy("item_key", "n").agg(simhash().alias("item_fp"))
     n_blocks = radius + 1
@@ -126,8 +126,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, threshold
     )
     similarity = F.round(2 * F.col("shared") / (F.col("mass") + F.col("item_mass")), 9)
     best = shared.join(mass, at).join(item_mass, "item_key").withColumn("similarity", similarity).where(F.col("similarity") >= threshold)
-    best = best.groupBy("doc_key", "doc_id", "item_key", "n").agg(F.max(F.struct("similarity", -F.col("start"), -F.col("distance"))).alias("b"))
-    return best.join(items.select("item_key", "item_id"), "item_key").select("doc_key", "doc_id", "item_id", (-F.col("b.col2")).alias("start_word"), F.col("n").alias("n_words"), F.col("b.similarity"), (-F.col("b.col3")).alias("distance"))
+    best = best.groupBy("doc_key", "item_key", "n").agg(F.max(F.struct("similarity", -F.col("start"), -F.col("distance"))).alias("b"))
+    names = windows.select("doc_key", "doc_id").distinct()
+    return best.join(names, "doc_key").join(items.select("item_key", "item_id"), "item_key").select("doc_key", "doc_id", "item_id", (-F.col("b.col2")).alias("start_word"), F.col("n").alias("n_words"), F.col("b.similarity"), (-F.col("b.col3")).alias("distance"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
