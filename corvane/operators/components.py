@@ -19,12 +19,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Self-loops keep isolated nodes in the result; null ends are dropped; no edges give no rows.
     """
     spark = edges.sparkSession
-    whole = edges.select("src", "dst").where("src is not null and dst is not null")
+    given = new_path(spark, "cc-given")
+    edges.select("src", "dst").where("src is not null and dst is not null").distinct().write.parquet(given)
+    whole = spark.read.parquet(given)
     nodes = whole.select(F.col("src").alias("node")).union(whole.select(F.col("dst").alias("node"))).distinct()
     node_path = new_path(spark, "cc-nodes")
     nodes.write.parquet(node_path)
     nodes = spark.read.parquet(node_path)
-    current, path = whole.where("src <> dst").distinct(), None
+    current, path = whole.where("src <> dst"), given
     state = None
     for _ in range(max_rounds):
         both = current.union(current.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -36,8 +38,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         nxt = new_path(spark, "cc-edges")
         small.where("src <> dst").distinct().write.parquet(nxt)
         current = spark.read.parquet(nxt)
-        if path:
-            remove(spark, path)
+        remove(spark, path)
         path = nxt
         seen = current.agg(F.count("*"), F.bit_xor(F.xxhash64("src", "dst")), F.sum(F.hash("src", "dst").cast("long"))).first()
         if tuple(seen) == state:

@@ -39,7 +39,7 @@ def settings(spark: SparkSession, path: str) -> DataFrame:
     """``path`` and ``settings``, the ``key: value`` lines of each file as a map."""
     lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.contains(x, F.lit(": ")))
     pairs = F.transform(lines, lambda x: F.struct(F.substring_index(x, ": ", 1).alias("key"), F.trim(F.substring(x, F.instr(x, F.lit(": ")) + 2, F.length(x))).alias("value")))
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.map_from_entries(pairs).alias("settings"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.map_from_entries(pairs).alias("settings"))
 
 
 def mot_truth(spark: SparkSession, path: str) -> DataFrame:
@@ -56,7 +56,7 @@ def frame_ranges(truth: DataFrame) -> DataFrame:
 
 def report_tree(spark: SparkSession, root: str, pattern: str = "*.txt") -> DataFrame:
     """``group, patient, study, text`` of a tree group/patient/study.txt."""
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
+    df = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     parts = F.split(F.col("_metadata.file_path"), "/")
     return df.select(F.element_at(parts, -3).alias("group"), F.element_at(parts, -2).alias("patient"), F.regexp_replace(F.element_at(parts, -1), r"\.txt$", "").alias("study"), F.col("value").alias("text"))
 
