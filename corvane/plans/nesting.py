@@ -154,6 +154,15 @@ def q74_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.closure(nations.union(regions))
 
 
+def q87_case_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as a file listing, turned into cases of a described dataset: key, image and class count."""
+    from corvane.sources.catalog import DATASETS, cases
+
+    name = F.concat(F.lit("labelsTr/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), F.col("p_partkey").cast("string"), F.when(F.col("p_size") > 10, ".nii.gz").otherwise(".txt"))
+    rows = cases(load(spark, sf_dir, "part").select(name.alias("path")), DATASETS["MSD/Task03_Liver"])
+    return rows.select("key", F.col("images")["_all"].alias("image"), F.size("class_mapping").alias("n_classes"), "complete_anomaly")
+
+
 QUERIES = {k: v for k, v in globals().items() if k[0] == "q" and k[1:3].isdigit()}
 
 LINES = "(select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) rn from lineitem)"
@@ -191,5 +200,7 @@ select *, cast(coalesce(sum(size) over (partition by l_orderkey order by first_a
     "q72_pending": "select lang, count(*) n from documents where doc_id not in (select doc_id from labels) group by 1",
     "q73_whole_sequences": """with g as (select l_orderkey k, min(l_linenumber) = 1 and max(l_linenumber) = count(*) and count(distinct l_linenumber) = count(*) and count(distinct l_linestatus) = 1 ok from lineitem group by 1)
 select case when ok then 'whole' else 'broken' end kind, count(*) n, cast(sum(k) as bigint) total from g group by 1""",
+    "q87_case_table": """with p as (select replace(p_name, ' ', '_') || '_' || p_partkey as key from part where p_size > 10)
+select key, 'imagesTr/' || key || '.nii.gz' image, 2 n_classes, false complete_anomaly from p""",
     "q74_closure": "select 'n' || n_nationkey child, 'r' || n_regionkey ancestor, 1 as depth from nation union all select 'n' || n_nationkey, 'world', 2 from nation union all select 'r' || r_regionkey, 'world', 1 from region",
 }
