@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.session import written
+
 BUDGET, HISTORY = 512, 64
 #: Turn numbers of one prefix-sum block.
 BLOCK = 64
@@ -80,6 +82,7 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
     placed = placed.withColumns({"is_system": (F.col("at") == 0) & (F.col("system_n") > 0), "window": F.greatest(F.floor(F.col("before") / F.col("span")), F.lit(0))})
     cut = F.concat(F.lit(START), F.replace(escaped(F.col("role")), F.lit("\n"), F.lit("\\\n")), F.lit("\n"))
     placed = placed.withColumns({"lead": F.length(cut).cast("long"), "body": F.length(escaped(F.col("text"))).cast("long"), "turn_text": F.concat(cut, escaped(F.col("text")), F.lit(END))})
+    placed = written(placed.select("conv", "conv_id", "window", "at", "role", "lead", "body", "turn_text", "n", "before", "span", "is_system"), "placed-turns")
     own = placed.select("conv", "conv_id", "window", "at", "role", "lead", "body", "turn_text", F.lit(False).alias("again"))
     exists = own.select("conv", "window").distinct()
     late = F.col("before") >= (F.col("window") + 1) * F.col("span") - history
@@ -98,20 +101,27 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
     )
 
 
-def read_turns(made: DataFrame) -> DataFrame:
-    """``made`` with ``turns``, the window's own turns as (role, text), parsed from ``text``."""
-    parts = F.filter(F.split("text", r"<\|im_start\|>"), lambda p: p != "")
-    inner = F.transform(F.slice(parts, (F.col("n_repeats") + 1).cast("int"), F.greatest(F.size(parts), F.lit(1))), lambda p: F.substring(p, F.lit(1), F.length(p) - len(END)))
+def turns_of(text: Column, n_repeats: Column) -> Column:
+    """A window's own turns as (role, text), parsed from its text."""
+    parts = F.filter(F.split(text, r"<\|im_start\|>"), lambda p: p != "")
+    inner = F.transform(F.slice(parts, (n_repeats + 1).cast("int"), F.greatest(F.size(parts), F.lit(1))), lambda p: F.substring(p, F.lit(1), F.length(p) - len(END)))
     pattern = r"(?s)^((?:[^\\\n]|\\.)*)\n(.*)$"
-    turns = F.transform(inner, lambda p: F.struct(unescaped(F.regexp_extract(p, pattern, 1)).alias("role"), unescaped(F.regexp_extract(p, pattern, 2)).alias("text")))
-    return made.withColumn("turns", turns)
+    return F.transform(inner, lambda p: F.struct(unescaped(F.regexp_extract(p, pattern, 1)).alias("role"), unescaped(F.regexp_extract(p, pattern, 2)).alias("text")))
+
+
+def loss_of(text: Column, loss: Column) -> Column:
+    """All text of a window under its loss mask, in order."""
+    return F.array_join(F.transform(loss, lambda s: unescaped(F.substring(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
 
 
 def digests(made: DataFrame) -> DataFrame:
-    """Per conversation: turns and loss texts as read back from the windows, hashed."""
-    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    masked = F.array_join(F.transform("loss", lambda s: unescaped(F.substring(F.col("text"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
-    rows = read_turns(made).select("conv_id", "window", F.size("turns").alias("n"), told.alias("told"), masked.alias("masked"), F.length("text").alias("chars"))
-    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("window", "told", "masked"))).alias("w"), F.sum(F.col("n").cast("long")).alias("n_turns"), F.sum(F.col("chars").cast("long")).alias("formatted_chars"))
-    joined = lambda name: F.array_join(F.transform("w", lambda x: x[name]), "")
-    return whole.select("conv_id", "n_turns", F.sha2(joined("told"), 256).alias("turns_sha256"), F.length(joined("masked")).cast("long").alias("loss_chars"), F.sha2(joined("masked"), 256).alias("loss_sha256"), "formatted_chars")
+    """Per conversation: turns and loss texts as read back from the windows, hashed.
+
+    A hash over a whole conversation needs its windows together; they come as formatted,
+    once, and are parsed there.
+    """
+    told = lambda x: F.array_join(F.transform(turns_of(x["text"], x["n_repeats"]), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    whole = made.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("window", "text", "n_repeats", "loss"))).alias("w"), F.sum(F.length("text").cast("long")).alias("formatted_chars"))
+    n_turns = F.aggregate("w", F.lit(0).cast("long"), lambda s, x: s + F.size(turns_of(x["text"], x["n_repeats"])))
+    joined = whole.select("conv_id", "formatted_chars", n_turns.alias("n_turns"), F.array_join(F.transform("w", told), "").alias("told"), F.array_join(F.transform("w", lambda x: loss_of(x["text"], x["loss"])), "").alias("masked"))
+    return joined.select("conv_id", "n_turns", F.sha2("told", 256).alias("turns_sha256"), F.length("masked").cast("long").alias("loss_chars"), F.sha2("masked", 256).alias("loss_sha256"), "formatted_chars")

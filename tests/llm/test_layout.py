@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from corvane.llm import queries
-from corvane.llm.chat_windows import digests, read_turns, windows
+from corvane.llm.chat_windows import digests, turns_of, windows
 from corvane.llm.sharding import hypergeometric, matrix, sharded
 from corvane.llm.warc import ranges, read_archives, write_archives
 
@@ -109,7 +109,7 @@ def test_chat_digests_match_brute_force_and_sql(spark, sql):
 
 
 def test_chat_windows_keep_system_and_budget(spark):
-    made = read_turns(windows(_turns(spark).where("conv_id = 2"), 200, 40)).orderBy("window").collect()
+    made = windows(_turns(spark).where("conv_id = 2"), 200, 40).withColumn("turns", turns_of(F.col("text"), F.col("n_repeats"))).orderBy("window").collect()
     assert len(made) > 5
     for w in made:
         assert "system\nbe brief" in w.text
