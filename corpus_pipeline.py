@@ -7,7 +7,6 @@ columns of ``documents``; the last stage turns what is left into SentencePiece i
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from corvane.llm.common import join_checked
 from corvane.llm.decontaminate import decontaminated
@@ -36,11 +35,11 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the least doc_id.
 
     Rows to drop are few beside rows to keep, so their ids go to the documents, not the
-    other way. A row that repeats a doc_id stays once; rows without a doc_id stay unless
-    their group has one with.
+    other way. A row that repeats a doc_id stays once; a row without a doc_id can't be
+    named, so it stays.
     """
     groups = near_groups(docs)
-    others = written(groups.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id")).distinct(), "copies")
+    others = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
     repeats = written(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "repeats")
     kept = join_checked(docs, others, "doc_id", "left_anti")
     if repeats.isEmpty():
