@@ -1,0 +1,177 @@
+"""Near-duplicate groups at a shingle similarity, from the tiled SimHash comparison.
+
+``near_groups`` links by fingerprints alone. Here a wide radius finds candidates, and the
+exact Jaccard similarity of the sets of five-word shingles decides. Two texts that reach
+the similarity have shingle counts whose ratio reaches it too, so tiles are bands of
+counts and of set bits, and a tile meets only itself and the tiles near it.
+
+A group of near copies isn't spelt out in pairs: of a chunk pair each text gives its
+``nearest`` closest candidates. If that leaves any out, links found so far are joined to
+components, and the comparison runs again over pairs of different components, eight
+times as many a text, until none is left out. So nothing is lost, and a large group,
+which the first links join, gives no more pairs.
+
+Defined cases: equal texts are one; texts shorter than a shingle are one shingle of all
+their words; texts without words are alike; groups are named by their least doc_id, nulls
+left aside; an empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import product
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corvane.llm.common import Scan, bounded_batches, chunks, join_checked, mix, texts_of
+from corvane.llm.simhash_dedup import _LOWER, SEED, majority, shingle_hashes
+from corvane.operators.components import connected_components
+from corvane.session import written
+
+#: Bits that candidates may differ by: at a similarity of 0.8 fingerprints differ by 7.5 bits on average.
+RADIUS = 14
+SIMILARITY = 0.8
+PRINT_SHINGLE, SHINGLE = 3, 5
+NEAREST = 8
+CHUNK = 2048
+BAND = 8
+
+
+def _sets(scan: Scan, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of a chunk's texts, sorted by text, and the text of each."""
+    words = scan.words()
+    h, at = scan.sequences(words, size)
+    doc = scan.doc[at]
+    few = np.flatnonzero((scan.n_words > 0) & (scan.n_words < size))
+    if len(few):
+        whole = np.array([mix(np.uint64([7]) ^ np.bitwise_xor.reduce(mix(words[scan.first[d] : scan.first[d + 1]] + np.arange(scan.n_words[d], dtype=np.uint64))))[0] for d in few], np.uint64)
+        h, doc = np.concatenate([h, whole]), np.concatenate([doc, few])
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return h[new], doc[new]
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """``doc_id, node`` (a hash of the text), ``fp`` and ``n`` (distinct shingles) of every row."""
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, bounds = texts_of(batch.column("text"))
+            data = _LOWER[data]
+            prints, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for a, b, part, cut in chunks(data, bounds):
+                scan = Scan(part, cut)
+                prints.append(majority(*shingle_hashes(part, scan, PRINT_SHINGLE, SEED), b - a))
+                sizes.append(np.bincount(_sets(scan, SHINGLE)[1], minlength=b - a))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(np.concatenate(prints).view(np.int64)), pa.array(np.concatenate(sizes))], names=["doc_id", "node", "fp", "n"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text").mapInArrow(run, "doc_id long, node long, fp long, n long")
+
+
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """``node`` and ``shingles``, the distinct five-word shingle hashes, of ``texts(node, text)``."""
+    bounded_batches(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, bounds = texts_of(batch.column("text"))
+            data = _LOWER[data]
+            made, ends = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+            for a, b, part, cut in chunks(data, bounds):
+                h, doc = _sets(Scan(part, cut), SHINGLE)
+                made.append(h)
+                ends.append(np.cumsum(np.bincount(doc, minlength=b - a)) + ends[-1][-1])
+            column = pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.concatenate(made).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), column], names=["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+
+
+def _candidates(a: dict[str, np.ndarray], b: dict[str, np.ndarray], same: bool, radius: int, similarity: float, nearest: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Candidate pairs of two chunks, the closest ``nearest`` of each text, and whether any was left out."""
+    found = []
+    for at in range(0, len(a["fp"]), 256):
+        rows = slice(at, at + 256)
+        bits = np.bitwise_count(a["fp"][rows, None] ^ b["fp"][None])
+        low, high = np.minimum(a["n"][rows, None], b["n"][None]), np.maximum(a["n"][rows, None], b["n"][None])
+        near = (bits <= radius) & (low >= similarity * high) & (a["root"][rows, None] != b["root"][None])
+        i, j = np.nonzero(near)
+        if same:
+            i, j = i[i + at < j], j[i + at < j]
+        found.append((i + at, j, bits[i, j]))
+    i, j, bits = (np.concatenate([f[k] for f in found]) for k in range(3))
+    if not len(i):
+        return a["node"][:0], b["node"][:0], False
+    keep = np.zeros(len(i), bool)
+    own = np.concatenate([i, j + (0 if same else len(a["fp"]))])
+    other = np.concatenate([j, i])
+    order = np.lexsort((other, np.concatenate([bits, bits]), own))
+    first = np.flatnonzero(np.concatenate([[True], own[order][1:] != own[order][:-1]]))
+    rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+    keep[order[rank < nearest] % len(i)] = True
+    return a["node"][i[keep]], b["node"][j[keep]], bool(not keep.all())
+
+
+def candidates(nodes: DataFrame, radius: int, similarity: float, nearest: int, chunk: int = CHUNK) -> DataFrame:
+    """``src, dst, more`` over ``nodes(node, fp, n, root)``: pairs of different roots, and marks of chunk pairs that left some out."""
+    step = np.log(1 / similarity)
+    bands = 64 // BAND + 1
+    size = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / float(step)).cast("long")
+    reach = (radius + BAND - 1) // BAND
+    keyed = nodes.withColumn("tile", size * (4 * bands) + F.floor(F.bit_count("fp") / BAND))
+    ahead = sorted({d * (4 * bands) + o for d, o in product((-1, 0, 1), range(-reach, reach + 1)) if d * (4 * bands) + o >= 0})
+    sizes = keyed.groupBy("tile").agg(F.ceil(F.count("*") / chunk).alias("parts"))
+    dealt = keyed.join(sizes, "tile").withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
+    item = F.array_sort(F.collect_list(F.struct("node", "fp", "n", "root")))
+    tiles = written(dealt.groupBy("tile", "part").agg(item.alias("items")), "similar-tiles")
+    probes = tiles.select(F.explode(F.array(*(F.col("tile") + d for d in ahead))).alias("meets"), F.col("tile").alias("from_tile"), F.col("part").alias("from_part"), F.col("items").alias("left"))
+    pairs = probes.join(tiles.select(F.col("tile").alias("meets"), "part", F.col("items").alias("right")), "meets").where("meets <> from_tile or part >= from_part")
+    same = (F.col("meets") == F.col("from_tile")) & (F.col("part") == F.col("from_part"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = []
+            for name in ("left", "right"):
+                column = batch.column(name)
+                flat, offsets = column.values, column.offsets.to_numpy()
+                arrays = {k: flat.field(k).to_numpy(zero_copy_only=False) for k in ("node", "fp", "n", "root")}
+                sides.append([{k: (v.view(np.uint64) if k == "fp" else v)[x:y] for k, v in arrays.items()} for x, y in zip(offsets, offsets[1:], strict=False)])
+            for a, b, s in zip(*sides, batch.column("same").to_pylist(), strict=True):
+                src, dst, more = _candidates(a, b, s, radius, similarity, nearest)
+                if len(src):
+                    yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(np.full(len(src), more))], names=["src", "dst", "more"])
+
+    bounded_batches(nodes.sparkSession, 16)  # a row holds two chunks
+    return pairs.select("left", "right", same.alias("same")).mapInArrow(run, "src long, dst long, more boolean")
+
+
+def similar_groups(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, nearest: int = NEAREST) -> DataFrame:
+    """``doc_id`` and ``component_id`` of every row: rows are linked if their shingle sets reach ``similarity``."""
+    prints = written(signatures(docs), "similar-prints")
+    nodes = written(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.min("doc_id").alias("least")), "similar-nodes")
+    links, labels = None, None
+    while True:
+        roots = nodes.select("node", "fp", "n", F.col("node").alias("root")) if labels is None else nodes.join(labels, "node", "left").select("node", "fp", "n", F.coalesce("component", "node").alias("root"))
+        pairs = written(candidates(roots, radius, similarity, nearest), "similar-pairs")
+        ends = written(pairs.select(F.col("src").alias("node")).union(pairs.select(F.col("dst").alias("node"))).distinct(), "similar-ends")
+        texts = join_checked(docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text"), ends, "node", "left_semi")
+        sets = written(shingle_sets(texts).dropDuplicates(["node"]), "similar-sets")
+        joined = pairs.select("src", "dst").join(sets.select(F.col("node").alias("src"), F.col("shingles").alias("a")), "src").join(sets.select(F.col("node").alias("dst"), F.col("shingles").alias("b")), "dst")
+        shared = F.size(F.array_intersect("a", "b"))
+        alike = F.when((F.size("a") == 0) & (F.size("b") == 0), True).otherwise(shared >= similarity * (F.size("a") + F.size("b") - shared) - 1e-9)
+        fresh = joined.where(alike).select("src", "dst")
+        links = written(fresh if links is None else links.union(fresh), "similar-links")
+        labels = written(connected_components(links), "similar-labels")
+        if pairs.where("more").isEmpty():
+            break
+        nearest *= 8
+    rooted = nodes.join(labels, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = written(rooted.select("node", "root").join(least, "root").select("node", "component_id"), "similar-named")
+    return prints.join(named, "node", "left").select("doc_id", "component_id")
