@@ -3,7 +3,10 @@
 1. Both sides become lower-cased word sequences (letters, digits, anything beyond ASCII).
 2. A window is as many words of a document as an item has. Windows are laid where they
    could matter: a window that shares no shingle with any item has similarity 0, so each
-   place where a document has a shingle of an item lays a window that aligns with it.
+   place where a document has a shingle of an item lays a window that aligns with it, and
+   so does every start between two such places at most two items apart. A window that
+   would overrun an edge of the text is moved inside it; a text shorter than the item is
+   one window as a whole.
 3. Windows and items get 64-bit SimHashes of their words. A multi-index over
    ``radius + 1`` bit blocks finds every item within ``radius`` bits of a window: of so
    many blocks one must be equal.
@@ -95,10 +98,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, threshold
         laid = part if laid is None else laid.union(part)
     if laid is None:
         laid = corpus.where("false").select("doc_key", F.lit(0).alias("k"), F.lit(0).alias("n"), F.lit(0).alias("start"))
-    laid = written(laid.where("start >= 0").distinct().groupBy("doc_key").agg(F.collect_list(F.struct("k", "n", "start")).alias("laid")), "windows")
+    laid = written(laid.groupBy("doc_key", "k", "n").agg(F.array_sort(F.collect_set("start")).alias("starts")).groupBy("doc_key").agg(F.collect_list(F.struct("k", "n", "starts")).alias("laid")), "windows")
 
     held = join_checked(corpus, laid, "doc_key", "inner").dropDuplicates(["doc_key"]).select("doc_key", "doc_id", words_of().alias("words"), "laid")
-    windows = held.select("doc_key", "doc_id", F.explode(F.expr("transform(filter(laid, w -> w.start + w.n <= size(words)), w -> struct(w.k, w.n, w.start, slice(words, w.start + 1, w.n) as words))")).alias("w")).select("doc_key", "doc_id", "w.*")
+    every = "flatten(transform(w.starts, (s, i) -> sequence(s, if(get(w.starts, i + 1) - s <= 2 * w.n, get(w.starts, i + 1) - 1, s))))"
+    inside = f"array_distinct(transform({every}, s -> greatest(least(s, size(words) - w.n), 0)))"
+    windows = held.select("doc_key", "doc_id", "words", F.explode("laid").alias("w")).select("doc_key", "doc_id", "words", "w.k", "w.n", F.explode(F.expr(inside)).alias("start"))
+    windows = windows.withColumn("words", F.expr("slice(words, start + 1, n)")).select("doc_key", "doc_id", "k", "n", "start", "words")
     windows = written(windows, "window-words")
     at = ["doc_key", "k", "n", "start"]  # doc_id may be null, so it is no join key
     prints = windows.select(*at, F.explode(F.transform("words", lambda w: F.xxhash64(w))).alias("h")).groupBy(*at).agg(simhash().alias("fp"))
@@ -127,8 +133,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, threshold
     similarity = F.round(2 * F.col("shared") / (F.col("mass") + F.col("item_mass")), 9)
     best = shared.join(mass, at).join(item_mass, "item_key").withColumn("similarity", similarity).where(F.col("similarity") >= threshold)
     best = best.groupBy("doc_key", "item_key", "n").agg(F.max(F.struct("similarity", -F.col("start"), -F.col("distance"))).alias("b"))
-    names = windows.select("doc_key", "doc_id").distinct()
-    return best.join(names, "doc_key").join(items.select("item_key", "item_id"), "item_key").select("doc_key", "doc_id", "item_id", (-F.col("b.col2")).alias("start_word"), F.col("n").alias("n_words"), F.col("b.similarity"), (-F.col("b.col3")).alias("distance"))
+    names = windows.select("doc_key", "doc_id", "n", "start", F.size("words").alias("n_words"))  # one row a window
+    best = best.select("doc_key", "item_key", "n", (-F.col("b.col2")).alias("start"), "b.similarity", (-F.col("b.col3")).alias("distance"))
+    return best.join(names, ["doc_key", "n", "start"]).join(items.select("item_key", "item_id"), "item_key").select("doc_key", "doc_id", "item_id", F.col("start").alias("start_word"), "n_words", "similarity", "distance")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -76,3 +76,44 @@ def test_empty_sides(planted):
     assert leaks(docs.where("false"), bench).count() == 0
     assert leaks(docs, bench.where("false")).count() == 0
     assert decontaminated(docs, bench.where("false")).count() == docs.count()
+
+
+def _clamped_best(doc, item, df):
+    """As ``_best``, but a text shorter than the item is one window."""
+    d, i = _words(doc), _words(item)
+    return _best(doc + " pad" * max(0, len(i) - len(d)), item, df) if len(d) >= len(i) else _dice(d, i, df)
+
+
+def _dice(a, b, df, k=5):
+    grams = lambda w: [tuple(w[x : x + k]) for x in range(len(w) - k + 1)]
+    weight = lambda g: 1 / df.get(g, 1)
+    own, win = grams(b), grams(a)
+    shared = sum(min(win.count(g), own.count(g)) * weight(g) for g in set(own))
+    return 2 * shared / (sum(map(weight, own)) + sum(map(weight, win)))
+
+
+def _frequencies(items):
+    df = {}
+    for _, t in items:
+        w = _words(t)
+        for g in {tuple(w[a : a + 5]) for a in range(len(w) - 4)}:
+            df[g] = df.get(g, 0) + 1
+    return df
+
+
+def test_clipped_shortened_and_reordered_passages_are_found(spark):
+    rng = random.Random(5)
+    say = lambda n: " ".join(f"w{rng.randrange(400)}" for _ in range(n))
+    items = [(i, say(40)) for i in range(6)]
+    docs = []
+    for _, t in items:
+        w = t.split()
+        for text in (f"{say(30)} {' '.join(w[:-2])}", f"{' '.join(w[2:])} {say(30)}", " ".join(w[:20] + w[21:]), " ".join(w[3:]), f"{say(30)} {' '.join(w[20:] + w[:20])} {say(30)}"):
+            docs.append((len(docs), text))
+    df = _frequencies(items)
+    expected = {(d, i): s for d, t in docs for i, x in items if (s := _clamped_best(t, x, df)) >= 0.8}
+    got = {(r.doc_id, r.item_id): r for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == set(expected) and len(got) >= 30
+    for pair, r in got.items():
+        assert abs(r.similarity - expected[pair]) < 1e-6
+        assert r.start_word >= 0 and r.start_word + r.n_words <= len(_words(docs[pair[0]][1]))
