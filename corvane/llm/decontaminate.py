@@ -7,12 +7,15 @@
    so does every start between two such places at most two items apart. A window that
    would overrun an edge of the text is moved inside it; a text shorter than the item is
    one window as a whole.
-3. Windows and items get 64-bit SimHashes of their words. A multi-index over
-   ``radius + 1`` bit blocks finds every item within ``radius`` bits of a window: of so
-   many blocks one must be equal.
+3. A pair at the threshold t shares at least t / (2 - t) of the item's mass. So with the
+   item's shingles in a fixed order, heaviest first, it shares one of the first shingles,
+   up to where the rest alone would weigh less than that. A join on those finds every
+   such pair; nothing that meets the threshold is lost.
 4. Each candidate is verified with the exact weighted Dice similarity of the two bags of
    ``shingle`` words; a shingle weighs one over the number of items that hold it, so
    text that all items share counts little.
+5. The best window of each leak and its item get 64-bit SimHashes of their words; their
+   distance is reported and decides nothing.
 
 The corpus is scanned twice and its text is never shuffled unless more than
 ``BROADCAST_ROWS`` windows were laid. Only the distinct shingles of the benchmark are
@@ -26,14 +29,13 @@ rows give equal results, once; rows of one doc_id with different texts are told
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import join_checked
 from corvane.session import written
 
 SHINGLE = 5
-RADIUS = 14
 THRESHOLD = 0.8
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -64,13 +66,7 @@ def simhash(h: str = "h") -> Column:
     return out
 
 
-def block_values(fp: str, n: int) -> Column:
-    """The ``n`` bit blocks of a fingerprint, as an array."""
-    cuts = [64 * k // n for k in range(n + 1)]
-    return F.array(*(F.expr(f"shiftrightunsigned({fp}, {a}) & {(1 << (b - a)) - 1}L") for a, b in zip(cuts, cuts[1:], strict=False)))
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """The best window of each leaked item in each document.
 
     ``doc_key, doc_id, item_id, start_word, n_words, similarity, distance``.
@@ -107,14 +103,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, threshold
     windows = windows.withColumn("words", F.expr("slice(words, start + 1, n)")).select("doc_key", "doc_id", "k", "n", "start", "words")
     windows = written(windows, "window-words")
     at = ["doc_key", "k", "n", "start"]  # doc_id may be null, so it is no join key
-    prints = windows.select(*at, F.explode(F.transform("words", lambda w: F.xxhash64(w))).alias("h")).groupBy(*at).agg(simhash().alias("fp"))
-    item_prints = items.select("item_key", "n", F.explode(F.transform("words", lambda w: F.xxhash64(w))).alias("h")).groupBy("item_key", "n").agg(simhash().alias("item_fp"))
-    n_blocks = radius + 1
-    probes = prints.select(*at, "fp", F.posexplode(block_values("fp", n_blocks)).alias("block", "value"))
-    index = item_prints.select("item_key", "n", "item_fp", F.posexplode(block_values("item_fp", n_blocks)).alias("block", "value"))
-    distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    found = probes.join(index, ["n", "block", "value"]).where(distance <= radius).select(*at, "item_key", distance.alias("distance")).distinct()
-
     bags = None
     for k in lengths:
         part = windows.where(F.col("k") == k).select(*at, F.explode(shingles_of("words", k)).alias("h"))
@@ -126,16 +114,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, threshold
     item_bags = item_shingles.groupBy("item_key", "k", "h").agg(F.count("*").alias("ic")).join(weights, ["k", "h"])
     mass = bags.groupBy(*at).agg(F.sum(F.col("c") * F.col("weight")).alias("mass"))
     item_mass = item_bags.groupBy("item_key").agg(F.sum(F.col("ic") * F.col("weight")).alias("item_mass"))
+    order = Window.partitionBy("item_key").orderBy("weight", F.col("h").desc())  # the rest from each shingle on, as a running sum from the lightest
+    rest = item_bags.withColumn("rest", F.sum(F.col("ic") * F.col("weight")).over(order)).join(item_mass, "item_key")
+    prefix = rest.where(F.col("rest") >= F.col("item_mass") * (threshold / (2 - threshold)) - 1e-6).join(items.select("item_key", "n"), "item_key").select("item_key", "n", "h")
+    found = bags.select(*at, "h").join(prefix, ["n", "h"]).select(*at, "item_key").distinct()
     shared = (
         found.join(bags, at).join(item_bags.select("item_key", "h", "ic"), ["item_key", "h"])
-        .groupBy(*at, "item_key", "distance").agg(F.sum(F.least("c", "ic") * F.col("weight")).alias("shared"))
+        .groupBy(*at, "item_key").agg(F.sum(F.least("c", "ic") * F.col("weight")).alias("shared"))
     )
     similarity = F.round(2 * F.col("shared") / (F.col("mass") + F.col("item_mass")), 9)
     best = shared.join(mass, at).join(item_mass, "item_key").withColumn("similarity", similarity).where(F.col("similarity") >= threshold)
-    best = best.groupBy("doc_key", "item_key", "n").agg(F.max(F.struct("similarity", -F.col("start"), -F.col("distance"))).alias("b"))
-    names = windows.select("doc_key", "doc_id", "n", "start", F.size("words").alias("n_words"))  # one row a window
-    best = best.select("doc_key", "item_key", "n", (-F.col("b.col2")).alias("start"), "b.similarity", (-F.col("b.col3")).alias("distance"))
-    return best.join(names, ["doc_key", "n", "start"]).join(items.select("item_key", "item_id"), "item_key").select("doc_key", "doc_id", "item_id", F.col("start").alias("start_word"), "n_words", "similarity", "distance")
+    best = best.groupBy("doc_key", "item_key", "k", "n").agg(F.max(F.struct("similarity", -F.col("start"))).alias("b"))
+    best = written(best.select("doc_key", "item_key", "k", "n", (-F.col("b.col2")).alias("start"), "b.similarity"), "best-windows")
+    held = windows.join(best.select(*at).distinct(), at).select(*at, "doc_id", F.size("words").alias("n_words"), "words")
+    prints = held.select(*at, "doc_id", "n_words", F.explode(F.transform("words", lambda w: F.xxhash64(w))).alias("h")).groupBy(*at, "doc_id", "n_words").agg(simhash().alias("fp"))
+    item_prints = items.select("item_key", "item_id", F.explode(F.transform("words", lambda w: F.xxhash64(w))).alias("h")).groupBy("item_key", "item_id").agg(simhash().alias("item_fp"))
+    return best.join(prints, at).join(item_prints, "item_key").select("doc_key", "doc_id", "item_id", F.col("start").alias("start_word"), "n_words", "similarity", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("distance"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -117,3 +117,21 @@ def test_clipped_shortened_and_reordered_passages_are_found(spark):
     for pair, r in got.items():
         assert abs(r.similarity - expected[pair]) < 1e-6
         assert r.start_word >= 0 and r.start_word + r.n_words <= len(_words(docs[pair[0]][1]))
+
+
+def test_edits_down_to_the_threshold_are_found(spark):
+    rng = random.Random(6)
+    say = lambda n: " ".join(f"w{rng.randrange(4000)}" for _ in range(n))
+    shared = say(12)
+    items = [(i, f"{shared} {say(48)}") for i in range(6)] + [(i, say(60)) for i in range(6, 12)]
+    docs = []
+    for _, t in items:
+        w = t.split()
+        for cut in range(2, 14):
+            docs.append((len(docs), f"{say(15)} {' '.join(w[: 60 - cut])} {say(40)}"))
+            docs.append((len(docs), f"{say(40)} {' '.join(w[cut:])} {say(15)}"))
+    df = _frequencies(items)
+    expected = {(d, i): s for d, t in docs for i, x in items if (s := _best(t, x, df)) >= 0.8}
+    got = {(r.doc_id, r.item_id): r.similarity for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == set(expected) and len(got) > 200
+    assert all(abs(s - expected[p]) < 1e-6 for p, s in got.items())
