@@ -9,9 +9,10 @@ gives the model's own segmentation.
 
 Pieces never run across the start of a run of spaces, so texts fall into short units.
 All units of a chunk go through their agendas in step, as numpy arrays: one round merges
-the best candidate of every unit that has one left. Equal units of a chunk with the same
-key are worked out once; the key of a unit is one of ``variants`` values, hashed from
-seed, doc_id and the unit's place.
+the best candidate of every unit that has one left. The key of a unit is a 64-bit hash of
+seed, doc_id and the unit's place, so each occurrence of a word has skips of its own.
+Equal units of a chunk are worked out once only where no key matters, at rate 0, or where
+a caller bounds the keys to ``variants`` values.
 
 Decoding joins the pieces' bytes again, so encoding loses nothing: a character without a
 piece becomes byte pieces, and so does U+2581, which would read as a space otherwise.
@@ -36,7 +37,8 @@ from corvane.llm.common import CHUNK_BYTES, Scan, bounded_batches, chunks, mix,
 
 RATE = 0.1
 SEED = 20240901
-VARIANTS = 8
+#: Bytes of units that go through their agendas at once; a longer unit is a run of its own.
+RUN_BYTES = 1 << 18
 _NONE = np.int64(1) << 40
 _SLOTS = 1 << 18
 
@@ -115,9 +117,11 @@ def dropped(variant: np.ndarray, start: np.ndarray, left: np.ndarray, right: np.
     return (h >> np.uint64(11)).astype(np.float64) < rate * 2.0**53
 
 
-def unit_keys(seed: int, doc_id: np.ndarray, ordinal: np.ndarray, variants: int) -> np.ndarray:
-    """The key of each unit: one of ``variants`` values of the seed."""
-    pick = mix(mix(doc_id.astype(np.uint64) ^ mix(np.uint64([seed]))) + ordinal.astype(np.uint64)) % np.uint64(variants)
+def unit_keys(seed: int, doc_id: np.ndarray, ordinal: np.ndarray, variants: int | None = None) -> np.ndarray:
+    """The key of each unit: a hash of seed, doc_id and place, or one of ``variants`` values."""
+    pick = mix(mix(doc_id.astype(np.uint64) ^ mix(np.uint64([seed]))) + ordinal.astype(np.uint64))
+    if variants is not None:
+        pick %= np.uint64(variants)
     return mix(pick + mix(np.uint64([seed ^ 0x5851F42D])))
 
 
@@ -193,7 +197,7 @@ def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
 
 
-def encode_texts(voc: Vocabulary, data: np.ndarray, bounds: np.ndarray, doc_id: np.ndarray, rate: float, seed: int, variants: int) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(voc: Vocabulary, data: np.ndarray, bounds: np.ndarray, doc_id: np.ndarray, rate: float, seed: int, variants: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of every text of a chunk, and where each text's ids begin."""
     size = np.diff(bounds)
     held = size > 0
@@ -212,13 +216,20 @@ def encode_texts(voc: Vocabulary, data: np.ndarray, bounds: np.ndarray, doc_id:
     text = np.searchsorted(cut, begin, "right") - 1
     ordinal = np.arange(len(begin)) - np.searchsorted(begin, cut[:-1])[text]
     key = unit_keys(seed, doc_id[text], ordinal, variants)
-    _, sample, same = np.unique(mix(scan.hashes(begin, end) ^ key), return_index=True, return_inverse=True)
-    length = (end - begin)[sample]
-    octets = led[_spans(begin[sample], length)]
-    starts = (octets & 0xC0) != 0x80
-    points = np.frombuffer(octets.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-    first = np.concatenate([[0], np.cumsum(starts)])[np.concatenate([[0], np.cumsum(length)])]
-    ids, at = _segment(voc, points, first, key[sample], rate)
+    if rate > 0 and variants is None:
+        sample = same = np.arange(len(begin))
+    else:
+        alike = scan.hashes(begin, end)
+        _, sample, same = np.unique(mix(alike ^ key) if rate > 0 else alike, return_index=True, return_inverse=True)
+    parts, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for a, b, octets, cuts in chunks(led[_spans(begin[sample], (end - begin)[sample])], np.concatenate([[0], np.cumsum((end - begin)[sample])]), RUN_BYTES):
+        starts = (octets & 0xC0) != 0x80
+        points = np.frombuffer(octets.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+        first = np.concatenate([[0], np.cumsum(starts)])[cuts]
+        found, at = _segment(voc, points, first, key[sample[a:b]], rate)
+        parts.append(found)
+        sizes.append(np.diff(at))
+    ids, at = np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
     n = np.diff(at)[same]
     out = ids[_spans(at[:-1][same], n)]
     total = np.concatenate([[0], np.cumsum(n)])
@@ -233,7 +244,7 @@ def decode_ids(voc: Vocabulary, ids: np.ndarray, bounds: np.ndarray) -> list[str
     return [octets[a + 1 : b].decode("utf-8", "replace") for a, b in zip(at, at[1:], strict=False)]
 
 
-def encoded(docs: DataFrame, voc: Vocabulary, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS, carry: tuple[str, ...] = ()) -> DataFrame:
+def encoded(docs: DataFrame, voc: Vocabulary, rate: float = RATE, seed: int = SEED, variants: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id``, the columns of ``carry`` and ``piece_ids`` of every row of ``docs``."""
     spark = docs.sparkSession
     bounded_batches(spark)

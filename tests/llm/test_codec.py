@@ -77,3 +77,19 @@ def test_copies_in_other_documents_differ(spark):
     text = "international organisations understand segmentation " * 5
     rows = encoded(spark.createDataFrame([(i, text) for i in range(20)], "doc_id long, text string"), VOC, 0.2)
     assert rows.select("piece_ids").distinct().count() > 15
+
+
+def test_a_word_has_more_than_a_few_segmentations(spark):
+    word = " internationalisation"
+    ids, at = encode_texts(VOC, *texts_of(pa.array([word * 50] * 40)), np.arange(40), 0.3, 1)
+    back = decoded(encoded(spark.createDataFrame([(i, word * 50) for i in range(4)], "doc_id long, text string"), VOC, 0.3), VOC, carry=("doc_id",))
+    assert {r.decoded for r in back.collect()} == {word * 50}
+    seen = set()
+    for a, b in zip(at, at[1:], strict=False):
+        unit = []
+        for i in ids[a:b].tolist():
+            if MODEL.id_to_piece(i).startswith("▁") and unit:
+                seen.add(tuple(unit))
+                unit = []
+            unit.append(i)
+    assert len(seen) > 20
