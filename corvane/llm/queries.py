@@ -71,8 +71,8 @@ from b left join m using (r)"""
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard of eight and its slot there, under the law of equal row counts."""
     text = F.coalesce("text", F.lit(""))
-    rows = load(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"))
-    return sharded(rows, 8).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    rows = sharded(load(spark, sf_dir, "documents"), 8)  # whole documents; the digests are of what reached a shard
+    return rows.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op5_piece_codec(spark: SparkSession, sf_dir: str, model: str = PIECE_MODEL) -> DataFrame:

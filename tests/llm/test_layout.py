@@ -121,3 +121,17 @@ def test_chat_windows_keep_system_and_budget(spark):
 def test_crc_of_op4(spark, table_dir):
     rows = queries.op4_sharding(spark, table_dir).join(spark.read.parquet(f"{table_dir}/documents.parquet").select("doc_id", "text").distinct(), "doc_id").collect()
     assert all(r.text_crc32 == zlib.crc32((r.text or "").encode()) and r["size"] == len((r.text or "").encode()) + 1 for r in rows)
+
+
+def test_op4_digests_come_from_sharded_documents(spark, table_dir, monkeypatch):
+    whole = spark.read.parquet(f"{table_dir}/documents.parquet")
+    seen = []
+
+    def marked(rows, shards):
+        seen.append(rows.columns)
+        return sharded(rows, shards).withColumn("text", F.lit("moved"))
+
+    monkeypatch.setattr(queries, "sharded", marked)
+    rows = queries.op4_sharding(spark, table_dir).select("size", "text_crc32").distinct().collect()
+    assert seen == [whole.columns]
+    assert [tuple(r) for r in rows] == [(6, zlib.crc32(b"moved"))]
