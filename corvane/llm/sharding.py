@@ -97,7 +97,7 @@ def sharded(rows: DataFrame, shards: int, seed: int = SEED, bucket_rows: int = B
 
     bits = max(0, math.ceil(math.log2(max(1, sum(counts.values()) / shards / bucket_rows))))
     keyed = placed.withColumn("shard", shard_of(_P, _I)).withColumn(_K, F.xxhash64(F.lit(seed), F.col(_P), F.col(_I)))
-    keyed = written(keyed.withColumn(_B, F.expr(f"shiftrightunsigned({_K}, {64 - bits})") if bits else F.lit(0).cast("long")), "dealt")
+    keyed = keyed.withColumn(_B, F.expr(f"shiftrightunsigned({_K}, {64 - bits})") if bits else F.lit(0).cast("long"))  # follows from written columns and the seed, so it is worked out again, not stored
     sizes = keyed.groupBy("shard", _B).agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("shard", _B, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(_O))
