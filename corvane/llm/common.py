@@ -1,4 +1,8 @@
-"""What the operators share: batch limits, size-checked joins, and vectorised scans of UTF-8 text.
+"""What the operators share: size-checked joins, and vectorised scans of UTF-8 text.
+
+Arrow batches are bounded in bytes by Spark itself (``spark.sql.execution.arrow.maxBytesPerBatch``,
+64 MB unless set), so batches of long texts hold few rows; no operator changes the session.
+Within a batch, texts go through numpy in chunks of about ``CHUNK_BYTES``.
 
 A scan works on the bytes of many texts at once: numpy finds separators, word bounds and
 line bounds, and prefix sums of a keyed polynomial give each word, line or word sequence
@@ -13,15 +17,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch at most: texts of a megabyte then still fit a worker.
-BATCH_ROWS = 2000
 #: Bytes of text that one numpy pass takes at once; a longer text is a pass of its own.
 CHUNK_BYTES = 1 << 20
-#: Rows that a broadcast side may have at most; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Rows and bytes (as JSON text) that a broadcast side may have at most; beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 _U = np.uint64
 _RADIX = _U(0x9E3779B97F4A7C15)
@@ -31,21 +33,19 @@ _BYTE_KEYS = np.random.default_rng(20240817).integers(1, 1 << 63, 256, dtype=np.
 #: Bytes that part words: space and U+0009 to U+000D.
 WORD_BREAK = np.zeros(256, bool)
 WORD_BREAK[[0x20, *range(0x09, 0x0E)]] = True
+#: A to Z in lower case, any other byte as it is.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Hold the session's Arrow batches to ``rows`` rows, so that long texts can't fill a worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def join_checked(left: DataFrame, side: DataFrame, on: list[str] | str, how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``left`` joined to narrow ``side``, which is broadcast only if a count shows at most ``limit`` rows.
+def join_checked(left: DataFrame, side: DataFrame, on: list[str] | str, how: str = "left", limit: int = BROADCAST_ROWS, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``left`` joined to narrow ``side``, which is broadcast only if a count shows at most ``limit`` rows and ``limit_bytes`` bytes.
 
-    Beyond the limit both are shuffled by the key, and Spark splits skewed partitions.
+    Beyond the limits both are shuffled by the key, and Spark splits skewed partitions. The
+    count reads ``side`` once more, so a side that costs much to make is written first.
     """
-    few = side.limit(limit + 1).count() <= limit
-    return left.join(F.broadcast(side) if few else side.hint("shuffle_hash"), on, how)
+    rows, size = side.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long")), F.lit(0))).first()
+    return left.join(F.broadcast(side) if rows <= limit and size <= limit_bytes else side.hint("shuffle_hash"), on, how)
 
 
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

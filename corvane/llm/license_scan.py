@@ -1,68 +1,92 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-A block is a line. Block and template are sets of words; a block meets a template if it
-holds at least ``THRESHOLD`` of the template's words, that is ``need`` of its ``size``.
+A block is a run of consecutive words, whatever lines it crosses: for a template of L words
+it is ``ceil(L / threshold)`` words long (shorter at the end of a text) and begins at a word
+of the template. So a notice wrapped over lines is found, with some words put in, and a long
+line can't meet a template by gathering its words from afar. Block and template are sets of
+words; a block meets a template if it holds at least ``threshold`` of the template's words,
+that is ``need`` of its ``size``, all words that tell the template from its relatives
+(``must``), and none that would make it one of them (``barred``).
 
-Words that no template has can't add to an overlap, so blocks are first cut to the
-templates' vocabulary. The corpus frequency of each of those words, counted over all
-blocks, orders them from rare to common, and then
-- length: a block with fewer than ``need`` such words is left out;
+Words that no template knows can't matter. One scan of the corpus keeps, of every text, the
+template words it holds and its blocks of those words; the number of texts that hold each
+word orders all words from rare to common, and then
+- length: a block with fewer than ``need`` known words is left out, already by the scan;
 - prefix: of a matching pair, the template's first ``size - need + 1`` words and the
   block's first ``n - need + 1`` words share one, so an equi-join on those finds every pair;
 - position: words shared at places i and j leave at most min(i, j) + min(size - i, n - j)
   in common, which must reach ``need``;
-and the pairs left are verified on the whole sets. Nothing that meets the threshold is lost.
+and the pairs left are verified on the whole sets. Nothing that meets the rule is lost.
 
 The templates bound everything that is broadcast or reaches the driver.
 
 Defined cases: null and empty texts have no words and no labels (first and last word
-null, score 0); rows of one doc_id with different texts are told apart; repeated rows are
-all returned; an empty table gives no rows; other columns aren't read.
+null, score 0); a very long text is scanned whole, as a numpy pass of its own; equal blocks
+of one text count once, at their first place; of several blocks that meet one template the
+largest containment counts; rows of one doc_id with different texts are told apart; repeated
+rows are all returned; an empty table gives no rows; other columns aren't read.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import join_checked
+from corvane.llm.common import LOWER, Scan, chunks, join_checked, texts_of
 from corvane.llm.decontaminate import doc_key
 from corvane.session import written
 
 THRESHOLD = 0.8
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_BREAKS = np.zeros(256, bool)
+_BREAKS[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 # The phrases and labels of the base scan.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-# Notices by which well-known licenses are declared.
-TEMPLATES = {
-    "apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted",
-    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "mit": "Released under the MIT License",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-    "public-domain": "This work has been released into the public domain",
-}
 
 
-def lowered(text: Column) -> Column:
-    """``text`` with A to Z in lower case and nothing else changed; null is empty."""
-    return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+@dataclass(frozen=True)
+class Template:
+    """A notice, the words of it that a block must hold, and words that a block may not hold."""
 
+    label: str
+    text: str
+    must: str
+    barred: str = ""
 
-def words_of(text: Column) -> Column:
-    """The words of a lower-cased text."""
-    return F.array_remove(F.split(text, WORD_BREAK), "")
 
+# Notices by which well-known licenses are declared, and the words that tell them apart.
+TEMPLATES = (
+    Template("apache-2.0", "Licensed under the Apache License, Version 2.0", "apache 2"),
+    Template("apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License', "apache 2"),
+    Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted", "redistribution binary"),
+    Template("cc-by-4.0", "Licensed under CC BY 4.0", "cc by 4", "nc nd sa"),
+    Template("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", "creative attribution 4", "noncommercial noderivatives sharealike"),
+    Template("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0", "cc by sa 4", "nc nd"),
+    Template("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "creative attribution sharealike 4", "noncommercial noderivatives"),
+    Template("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0", "cc by nc 4", "nd sa"),
+    Template("cc-by-nc-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "creative attribution noncommercial 4", "noderivatives sharealike"),
+    Template("gpl-2.0", "This work is licensed under the GNU General Public License, version 2", "gnu general 2", "lesser affero"),
+    Template("gpl-2.0", "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", "gnu general 2", "lesser affero"),
+    Template("gpl-3.0", "This work is licensed under the GNU General Public License, version 3", "gnu general 3", "lesser affero"),
+    Template("gpl-3.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "gnu general 3", "lesser affero"),
+    Template("mit", "Released under the MIT License", "mit"),
+    Template("mit", "Licensed under the MIT License", "mit"),
+    Template("mit", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction', "permission granted software restriction"),
+    Template("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mozilla 2"),
+    Template("public-domain", "This work has been released into the public domain", "public domain"),
+)
 
-def template_words(templates: dict[str, str]) -> dict[str, list[str]]:
-    """The distinct words of each template; one without words is left out."""
-    found = {k: sorted({w for w in re.split(WORD_BREAK, "".join(c.lower() if "A" <= c <= "Z" else c for c in t)) if w}) for k, t in templates.items()}
-    return {k: w for k, w in found.items() if w}
+
+def split_words(text: str) -> list[str]:
+    """The words of a text, A to Z in lower case."""
+    return [w for w in re.split(WORD_BREAK, "".join(c.lower() if "A" <= c <= "Z" else c for c in text)) if w]
 
 
 def needed(size: int, threshold: float) -> int:
@@ -70,67 +94,166 @@ def needed(size: int, threshold: float) -> int:
     return max(1, math.ceil(threshold * size - 1e-9))
 
 
-def matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Every block that meets a template: ``doc_key, block, template, containment``."""
-    spark = docs.sparkSession
-    sets = template_words(templates)
-    vocabulary = sorted({w for s in sets.values() for w in s})
-    need = {k: needed(len(s), threshold) for k, s in sets.items()}
-    empty = spark.createDataFrame([], "doc_key long, block int, template string, containment double")
-    if not sets:
-        return empty
-    lines = docs.select(doc_key().alias("doc_key"), F.posexplode(F.split(lowered(F.col("text")), "\n")).alias("block", "line"))
-    held = F.filter(words_of(F.col("line")), lambda w: w.isin(vocabulary))
-    blocks = lines.select("doc_key", "block", F.array_distinct(held).alias("held")).where("size(held) > 0")
-    counts = {r[0]: r[1] for r in blocks.select(F.explode("held").alias("word")).groupBy("word").count().collect()}  # one row a vocabulary word
-    order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
-    ranks = F.create_map(*(F.lit(x) for pair in order.items() for x in pair))
-    prefix = []
-    for name, words in sets.items():
-        rare = sorted(words, key=order.get)
-        prefix += [(name, order[w], i, len(rare), need[name]) for i, w in enumerate(rare[: len(rare) - need[name] + 1])]
-    prefixes = spark.createDataFrame(prefix, "template string, rank int, i int, size int, need int")
-    whole = spark.createDataFrame([(k, [order[w] for w in s]) for k, s in sets.items()], "template string, template_ranks array<int>")
-    ranked = blocks.where(F.size("held") >= min(need.values())).select("doc_key", "block", F.array_sort(F.transform("held", lambda w: ranks[w])).alias("ranks"))
-    probe = ranked.select("doc_key", "block", "ranks", F.size("ranks").alias("n"), F.posexplode("ranks").alias("j", "rank"))
-    pairs = join_checked(probe, prefixes, "rank", "inner").where("n >= need and j <= n - need and least(i, j) + least(size - i, n - j) >= need")
-    candidates = pairs.groupBy("doc_key", "block", "template", "size", "need").agg(F.first("ranks").alias("ranks"))
-    overlap = F.size(F.array_intersect("ranks", "template_ranks"))
-    verified = join_checked(candidates, whole, "template", "inner").where(overlap >= F.col("need"))
-    return verified.select("doc_key", "block", "template", F.round(overlap / F.col("size"), 6).alias("containment"))
-
-
-def base_places(words: str, phrases: dict[str, str] = PHRASES) -> list[tuple[str, Column]]:
-    """Of each phrase its label and the array of word numbers where it stands."""
+@dataclass(frozen=True)
+class Rule:
+    """A template as sets: distinct words, least overlap, words of a block, must and barred words."""
+
+    label: str
+    words: list[str]
+    need: int
+    span: int
+    must: list[str]
+    barred: list[str]
+
+
+def rules(templates: tuple[Template, ...] = TEMPLATES, threshold: float = THRESHOLD) -> list[Rule]:
+    """The rule of each template; one without words is left out."""
     out = []
-    for phrase, label in phrases.items():
-        parts = phrase.split()
-        test = " and ".join(f"{words}[i + {k}] = '{p}'" for k, p in enumerate(parts))
-        out.append((label, F.expr(f"if(size({words}) >= {len(parts)}, filter(sequence(0, greatest(size({words}) - {len(parts)}, 0)), i -> {test}), cast(array() as array<int>))")))
+    for t in templates:
+        words = split_words(t.text)
+        if words:
+            own = sorted(set(words))
+            out.append(Rule(t.label, own, needed(len(own), threshold), math.ceil(len(words) / threshold - 1e-9), sorted(set(split_words(t.must))), sorted(set(split_words(t.barred)))))
     return out
 
 
-def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+class Finder:
+    """What a task looks for: ids of the known words, the base phrases, and for each block length its words and least size."""
+
+    def __init__(self, made: list[Rule], phrases: dict[str, str]) -> None:
+        self.known = sorted({w for r in made for w in (*r.words, *r.barred)})
+        every = sorted({*self.known, *(w for p in phrases for w in p.split())}, key=lambda w: (w not in self.known, w))
+        self.ids = {w: i for i, w in enumerate(every)}
+        raw = [w.encode() for w in every]
+        ends = np.cumsum([len(w) for w in raw]) if raw else np.zeros(0, np.int64)
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        hashes = Scan(data, np.array([0, len(data)]), _BREAKS).hashes(ends - np.array([len(w) for w in raw], np.int64), ends) if raw else np.zeros(0, np.uint64)
+        self.place = np.argsort(hashes)
+        self.hashes = hashes[self.place]
+        self.phrases = [(label, [self.ids[w] for w in phrase.split()]) for phrase, label in phrases.items()]
+        self.spans: list[tuple[int, int, np.ndarray]] = []
+        for span in sorted({r.span for r in made}):
+            mask = np.zeros(len(every) + 1, bool)
+            mask[[self.ids[w] for r in made if r.span == span for w in (*r.words, *r.barred)]] = True
+            self.spans.append((span, min(r.need for r in made if r.span == span), mask))
+
+    def word_ids(self, scan: Scan) -> np.ndarray:
+        """The id of each word of a chunk, -1 for a word that isn't looked for."""
+        words = scan.words()
+        if not len(self.hashes):
+            return np.full(len(words), -1)
+        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == words, self.place[at], -1)
+
+    def base(self, scan: Scan, ids: np.ndarray) -> dict[str, np.ndarray | list]:
+        """Per text: places of the base phrases, the first and last of them, and their labels."""
+        n = len(scan.bounds) - 1
+        count, low, high = np.zeros(n, np.int64), np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
+        labels: list[list[str]] = [[] for _ in range(n)]
+        for label, phrase in self.phrases:
+            stop = len(ids) - len(phrase) + 1
+            if stop <= 0:
+                continue
+            fits = scan.doc[:stop] == scan.doc[len(phrase) - 1 :]
+            for k, w in enumerate(phrase):
+                fits &= ids[k : k + stop] == w
+            at = np.flatnonzero(fits)
+            doc = scan.doc[at]
+            np.add.at(count, doc, 1)
+            np.minimum.at(low, doc, at - scan.first[doc])
+            np.maximum.at(high, doc, at - scan.first[doc])
+            for d in np.unique(doc).tolist():
+                labels[d].append(label)
+        none = count == 0
+        return {"n_base": pa.array(count), "first_word": pa.array(low, mask=none), "last_word": pa.array(high, mask=none), "base": pa.array([sorted(set(x)) for x in labels], pa.list_(pa.string()))}
+
+    def blocks(self, scan: Scan, ids: np.ndarray) -> list[list[dict]]:
+        """Per text its blocks with enough known words: block length, first place, first word, distinct words."""
+        found: list[dict[tuple, int]] = [{} for _ in range(len(scan.bounds) - 1)]
+        for span, need, mask in self.spans:
+            at = np.flatnonzero(mask[ids])
+            own, doc = ids[at], scan.doc[at]
+            stop = np.searchsorted(at, np.minimum(at + span, scan.first[doc + 1]))
+            for i in np.flatnonzero(stop - np.arange(len(at)) >= need).tolist():
+                words = np.unique(own[i : stop[i]])
+                if len(words) >= need:
+                    found[doc[i]].setdefault((span, int(own[i]), *words.tolist()), int(at[i] - scan.first[doc[i]]))
+        return [[{"span": k[0], "start": at, "opens": k[1], "words": list(k[2:])} for k, at in f.items()] for f in found]
+
+
+_BLOCKS = pa.list_(pa.struct([("span", pa.int32()), ("start", pa.int32()), ("opens", pa.int32()), ("words", pa.list_(pa.int32()))]))
+_SCANNED = "doc_id long, doc_key long, n_words long, n_base long, first_word long, last_word long, base array<string>, held array<int>, blocks array<struct<span: int, start: int, opens: int, words: array<int>>>"
+
+
+def scanned(docs: DataFrame, finder: Finder) -> DataFrame:
+    """One row for each row of ``docs``: base counts, the known words it holds, and its blocks; itself written."""
+    shared = docs.sparkSession.sparkContext.broadcast(finder)  # as large as the templates
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        n_known = len(own.known)
+        for batch in batches:
+            data, bounds = texts_of(batch.column("text"))
+            data = LOWER[data]
+            for a, b, part, cut in chunks(data, bounds):
+                scan = Scan(part, cut, _BREAKS)
+                ids = own.word_ids(scan)
+                at = np.flatnonzero((ids >= 0) & (ids < n_known))
+                pairs = np.unique(scan.doc[at] * max(n_known, 1) + ids[at])
+                first = np.searchsorted(pairs, np.arange(b - a + 1) * max(n_known, 1)).astype(np.int32)
+                held = pa.ListArray.from_arrays(pa.array(first), pa.array((pairs % max(n_known, 1)).astype(np.int32)))
+                made = {"doc_id": batch.column("doc_id").slice(a, b - a), "doc_key": batch.column("doc_key").slice(a, b - a), "n_words": pa.array(scan.n_words.astype(np.int64)), **own.base(scan, ids), "held": held, "blocks": pa.array(own.blocks(scan, ids), _BLOCKS)}
+                yield pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
+
+    return written(docs.select(F.col("doc_id").cast("long"), doc_key().alias("doc_key"), "text").mapInArrow(run, _SCANNED), "license-scan")
+
+
+def joined(scan: DataFrame, made: list[Rule], finder: Finder) -> DataFrame:
+    """Every block of ``scan`` that meets a rule: ``doc_key, start, label, containment``."""
+    spark = scan.sparkSession
+    counts = {r[0]: r[1] for r in scan.select(F.explode("held").alias("word")).groupBy("word").count().collect()}  # one row a known word
+    order = {i: rank for rank, i in enumerate(sorted((finder.ids[w] for w in finder.known), key=lambda i: (counts.get(i, 0), i)))}
+    ranks = F.create_map(*(F.lit(x) for pair in order.items() for x in pair)) if order else F.create_map(F.lit(0), F.lit(0))
+    rank_of = lambda words: sorted(order[finder.ids[w]] for w in words)
+    prefix, whole = [], []
+    for k, r in enumerate(made):
+        own = rank_of(r.words)
+        prefix += [(k, r.span, w, i, len(own), r.need) for i, w in enumerate(own[: len(own) - r.need + 1])]
+        whole.append((k, r.label, own, rank_of(r.must), rank_of(r.barred)))
+    prefixes = spark.createDataFrame(prefix, "rule int, span int, rank int, i int, size int, need int")
+    wholes = spark.createDataFrame(whole, "rule int, label string, own array<int>, must array<int>, barred array<int>")
+    blocks = scan.where("size(blocks) > 0").select("doc_key", F.explode("blocks").alias("b")).select("doc_key", "b.span", "b.start", ranks[F.col("b.opens")].alias("opens"), F.array_sort(F.transform("b.words", lambda w: ranks[w])).alias("ranks"))
+    probe = blocks.select("*", F.size("ranks").alias("n"), F.posexplode("ranks").alias("j", "rank"))
+    pairs = join_checked(probe, prefixes, ["span", "rank"], "inner").where("n >= need and j <= n - need and least(i, j) + least(size - i, n - j) >= need")
+    overlap = F.size(F.array_intersect("ranks", "own"))
+    candidates = pairs.select("doc_key", "start", "opens", "ranks", "rule", "size", "need").distinct()
+    verified = join_checked(candidates, wholes, "rule", "inner").where(
+        (overlap >= F.col("need")) & F.array_contains("own", F.col("opens")) & (F.size(F.array_except("must", "ranks")) == 0) & ~F.arrays_overlap("barred", "ranks")
+    )
+    return verified.select("doc_key", "start", "label", F.round(overlap / F.col("size"), 6).alias("containment"))
+
+
+def matches(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """Every block that meets a template: ``doc_key``, its first word's place ``start``, ``label`` and ``containment``."""
+    made = rules(templates, threshold)
+    finder = Finder(made, {})
+    return joined(scanned(docs, finder), made, finder)
+
+
+def license_scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, threshold: float = THRESHOLD, phrases: dict[str, str] = PHRASES) -> DataFrame:
     """One row for each row of ``docs``: counts and places of the base phrases, labels of both ways, and a score.
 
     The score is 1 where a base phrase stands, otherwise the best containment that met
     the threshold, otherwise 0.
     """
-    found = written(matches(docs, templates, threshold).groupBy("doc_key").agg(F.collect_set("template").alias("found"), F.max("containment").alias("best")), "licenses")
-    text = lowered(F.col("text"))
-    gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    likely = "|".join(gap.join(p.split()) for p in PHRASES)
-    rows = docs.select("doc_id", doc_key().alias("doc_key"), text.alias("low")).select("doc_id", "doc_key", words_of(F.col("low")).alias("words"), F.col("low").rlike(likely).alias("likely"))
-    rows = rows.select("doc_id", "doc_key", F.size("words").cast("long").alias("n_words"), F.when(F.col("likely"), F.col("words")).otherwise(F.expr("cast(array() as array<string>)")).alias("words"))
-    places = base_places("words")
-    rows = rows.select("doc_id", "doc_key", "n_words", *(p.alias(f"p{k}") for k, (_, p) in enumerate(places)))
-    every = F.concat(*(F.col(f"p{k}") for k in range(len(places))))
-    names = F.array_sort(F.array_compact(F.array(*(F.when(F.size(f"p{k}") > 0, F.lit(label)) for k, (label, _) in enumerate(places)))))
-    rows = rows.select("doc_id", "doc_key", "n_words", every.alias("every"), names.alias("base"))
-    joined = join_checked(rows, found, "doc_key")
+    made = rules(templates, threshold)
+    finder = Finder(made, phrases)
+    scan = scanned(docs, finder)
+    found = written(joined(scan, made, finder).groupBy("doc_key").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best")), "licenses")
+    rows = join_checked(scan.drop("held", "blocks"), found, "doc_key")
     none = F.expr("cast(array() as array<string>)")
-    return joined.select(
-        "doc_id", "n_words", F.size("every").cast("long").alias("n_base"), F.array_min("every").cast("long").alias("first_word"), F.array_max("every").cast("long").alias("last_word"),
+    return rows.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word",
         F.array_join("base", ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union("base", F.coalesce("found", none))), ",").alias("labels"),
-        F.when(F.size("every") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
+        F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
     )

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.chat_windows import BUDGET, CONTROL, HISTORY, MARK_TOKENS, digests, windows
+from corvane.llm.chat_windows import BUDGET, CONTROL, HISTORY, MARK_TOKENS, PIECES, digests, windows
 from corvane.llm.decontaminate import leaks
-from corvane.llm.license_scan import PHRASES, TEMPLATES, THRESHOLD, WORD_BREAK, license_scan, needed, template_words
+from corvane.llm.license_scan import PHRASES, WORD_BREAK, license_scan, rules
 from corvane.llm.piece_codec import Vocabulary, decoded, encoded
 from corvane.llm.quality_gam import classify
 from corvane.llm.quality_rules import quality_rules
@@ -43,10 +43,12 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _license_sql() -> str:
-    """Op3 in SQL: every line against every template."""
-    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    """Op3 in SQL: of every text and template, the block that begins at each template word."""
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]::varchar[]"
     split = lambda x: f"list_filter(regexp_split_to_array({x}, '{WORD_BREAK}'), lambda w: w <> '')"
-    templates = " union all ".join(f"select '{k}' template, {quoted(w)} words, {needed(len(w), THRESHOLD)} need" for k, w in template_words(TEMPLATES).items())
+    made = rules()
+    templates = " union all ".join(f"select {k} k, '{r.label}' label, {quoted(r.words)} own, {r.need} need, {r.span} span, {quoted(r.must)} must, {quoted(r.barred)} barred" for k, r in enumerate(made))
+    held = " ".join(f"when {k} then list(word) over (partition by r, k order by pos range between current row and {r.span - 1} following)" for k, r in enumerate(made))
     places = []
     for phrase, label in PHRASES.items():
         parts = phrase.split()
@@ -59,9 +61,13 @@ with d as (select row_number() over () r, doc_id, translate(coalesce(text, ''),
 w as (select r, doc_id, {split('low')} words from d),
 b as (select r, doc_id, len(words) n, {union} places, list_filter([{base}], lambda x: x is not null) base from w),
 t as ({templates}),
-l as (select r, list_distinct({split('line')}) words from (select r, unnest(string_split(low, chr(10))) line from d)),
-m as (select r, list(distinct template) found, max(round(len(list_intersect(l.words, t.words)) / len(t.words), 6)) best
-      from l, t where len(list_intersect(l.words, t.words)) >= need group by r)
+h as (select r, unnest(words) word, unnest(range(len(words))) pos from w),
+o as (select w.r, t.* from w, t where len(list_intersect(must, words)) = len(must)),
+s as (select h.word, h.pos, o.* from h join o using (r) where list_contains(own || barred, word)),
+v as (select *, case k {held} end block from s),
+m as (select r, list(distinct label) found, max(round(len(list_intersect(own, block)) / len(own), 6)) best from v
+      where list_contains(own, word) and len(list_intersect(own, block)) >= need and len(list_intersect(must, block)) = len(must) and len(list_intersect(barred, block)) = 0
+      group by r)
 select doc_id, cast(n as bigint) n_words, cast(len(places) as bigint) n_base, list_min(places) first_word, list_max(places) last_word,
        array_to_string(list_sort(base), ',') base_labels, array_to_string(list_sort(list_distinct(base || coalesce(found, []))), ',') labels,
        case when len(places) > 0 then 1.0 else coalesce(best, 0.0) end::double score
@@ -119,17 +125,20 @@ def _chat_sql() -> str:
     return f"""
 with t as (select cast(conv_id as bigint) conv_id, cast(turn as bigint) turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
            union all select -7, 0, 'user', '{FORGED}' union all select -7, 1, 'assistant', '{FORGED}'),
-a as (select *, len(string_split(text, ' ')) + {MARK_TOKENS} n, {size} size, row_number() over w - 1 pos from t
-      window w as (partition by conv_id order by turn nulls first, role, text)),
+a as (select *, len(regexp_extract_all(text, '{PIECES}')) + {MARK_TOKENS} n, {size} size, row_number() over w - 1 pos from t
+      window w as (partition by conv_id order by turn nulls first, role, md5(text))),
 b as (select *, coalesce(first_value(case when pos = 0 and role = 'system' then n end) over (partition by conv_id order by pos), 0) sys,
              sum(n) over (partition by conv_id order by pos) - n as bef from a),
-c as (select *, bef - sys as before, greatest({BUDGET} - {HISTORY} - sys, {HISTORY}, 1) span from b),
-d as (select *, cast(greatest(floor(before / span), 0) as bigint) win from c),
-x as (select distinct conv_id, win from d),
+c as (select *, pos = 0 and sys > 0 as head, bef - sys as before, greatest({BUDGET} - {HISTORY} - sys, 1) span from b),
+e as (select *, case when head then 0 else floor(before / span) end cell from c),
+k as (select *, not head and floor((before + n - 1) / span) > cell as crosses,
+             case when bool_or(head) over p then 0 else min(case when floor((before + n - 1) / span) = cell then before end) over p end lo from e window p as (partition by conv_id, cell)),
+d as (select *, crosses and lo is not null and before + n - lo > span as apart, cast(2 * cell + case when crosses and lo is not null and before + n - lo > span then 1 else 0 end as bigint) win from k),
+x as (select conv_id, win, min(case when head then 0 else before end) begins from d group by conv_id, win),
 f as (select conv_id, size from d
-      union all select d.conv_id, size from d join x on d.conv_id is not distinct from x.conv_id and x.win = d.win + 1
-                where not (pos = 0 and sys > 0) and before >= (d.win + 1) * span - {HISTORY} and n <= {HISTORY}
-      union all select d.conv_id, size from d join x on d.conv_id is not distinct from x.conv_id and x.win > 0 where pos = 0 and sys > 0),
+      union all select d.conv_id, size from d join x on d.conv_id is not distinct from x.conv_id and x.begins > before and x.begins <= before + {HISTORY}
+                where not head and n <= {HISTORY}
+      union all select d.conv_id, size from d join x on d.conv_id is not distinct from x.conv_id and x.win > 0 where head),
 g as (select conv_id, cast(sum(size) as bigint) formatted_chars from f group by conv_id),
 h as (select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by pos)) turns_sha256,
              coalesce(string_agg(text, '' order by pos) filter (where role = 'assistant'), '') loss from d group by conv_id)

@@ -7,24 +7,45 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from corvane.llm import queries
-from corvane.llm.chat_windows import digests, turns_of, windows
-from corvane.llm.sharding import hypergeometric, matrix, sharded
+from corvane.llm.chat_windows import BUDGET, MARK_TOKENS, digests, loss_of, n_tokens, turns_of, windows
+from corvane.llm.sharding import SEED, hypergeometric, matrix, sharded
 from corvane.llm.warc import ranges, read_archives, write_archives
 
 
 def test_shards_are_exact_and_uniform(docs, empty_docs):
-    rows = docs.select("doc_id", "text")
+    rows = docs.withColumn("slot", F.lit("clash"))
     for bucket in (5, 50_000):
-        out = sharded(rows, 8, bucket_rows=bucket).collect()
+        made = sharded(rows, 8, bucket_rows=bucket)
+        assert set(made.columns) == {*rows.columns, "slot", "table_shard", "table_slot"}
+        out = made.collect()
+        assert all(r.table_shard == r.table_slot == "clash" for r in out)
         slots = {}
         for r in out:
             slots.setdefault(r.shard, []).append(r.slot)
         assert len(out) == rows.count() and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
         assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-        assert Counter((r.doc_id, r.text) for r in out) == Counter(map(tuple, rows.collect()))
+        assert Counter((r.doc_id, r.text) for r in out) == Counter((r.doc_id, r.text) for r in rows.collect())
     assert sharded(empty_docs, 8).count() == 0
 
 
+def test_the_deal_is_the_one_of_the_matrix(spark):
+    rows = spark.range(0, 1000, 1, 5).withColumnRenamed("id", "doc_id")
+    got = {r.doc_id: (r.shard, r.slot) for r in sharded(rows, 3, bucket_rows=100).collect()}
+    dealt = matrix([200] * 5, 3, SEED)
+    assert {p: Counter(got[d][0] for d in range(200 * p, 200 * p + 200)) for p in range(5)} == {p: Counter({s: int(n) for s, n in enumerate(dealt[p])}) for p in range(5)}
+    for p in range(5):
+        order = np.random.default_rng([SEED, p]).permutation(np.repeat(np.arange(3, dtype=np.int32), dealt[p]))
+        assert [got[200 * p + k][0] for k in range(200)] == order.tolist()
+    slots = [[d for _, d in sorted((v[1], d) for d, v in got.items() if v[0] == s)] for s in range(3)]
+    assert all(abs(np.corrcoef(np.arange(len(x)), x)[0, 1]) < 0.2 for x in slots)
+    assert len(set(got.values())) == 1000
+
+
+def test_more_shards_than_a_short_integer(spark):
+    out = sharded(spark.range(0, 80_000, 1, 2), 40_000)
+    assert out.agg(F.countDistinct("shard"), F.max("slot")).first() == (40_000, 1)
+
+
 def test_matrix_margins_and_law():
     counts = [5, 0, 17, 30, 1]
     for seed in range(20):
@@ -108,16 +129,65 @@ def test_chat_digests_match_brute_force_and_sql(spark, sql):
     assert all(by[c] == r.formatted_chars for c, r in got.items())
 
 
-def test_chat_windows_keep_system_and_budget(spark):
-    made = windows(_turns(spark).where("conv_id = 2"), 200, 40).withColumn("turns", turns_of(F.col("text"), F.col("n_repeats"))).orderBy("window").collect()
-    assert len(made) > 5
-    for w in made:
-        assert "system\nbe brief" in w.text
-        assert len(w.text.split(" ")) < 200 + 95
-    assert sum(len(w.turns) for w in made) == 200
+def _spans(turns, budget, history):
+    """Windows of one conversation, ``[(role, text, n)]`` in order, as (repeated, own) turn numbers, from the definition."""
+    system = turns[0][2] if turns and turns[0][0] == "system" else 0
+    span, before, total = max(budget - history - system, 1), [], -system
+    for t in turns:
+        before.append(total)
+        total += t[2]
+    cells = {}
+    for i, t in enumerate(turns):
+        head = i == 0 and system > 0
+        cells.setdefault(0 if head else before[i] // span, []).append((i, not head and (before[i] + t[2] - 1) // span > before[i] // span))
+    out = []
+    for _, members in sorted(cells.items()):
+        inner, across = [i for i, x in members if not x], [i for i, x in members if x]
+        begin = max(before[inner[0]], 0) if inner else None
+        if across and inner and before[across[0]] + turns[across[0]][2] - begin > span:
+            out += [inner, across]
+        else:
+            out.append(inner + across)
+    made = []
+    for own in out:
+        begin = max(before[own[0]], 0)
+        again = [i for i in range(len(turns)) if not (i == 0 and system) and begin - history <= before[i] < begin]
+        made.append(([0] if system and own[0] else []) + again)
+    return list(zip(made, out, strict=True))
+
+
+def test_chat_windows_match_their_definition(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(_turns(spark).select("conv_id", "turn", "role", "text"))
+    for budget, history in ((200, 40), (90, 20), (512, 64)):
+        convs = {}
+        for r in table.withColumn("n", n_tokens(F.coalesce("text", F.lit(""))) + MARK_TOKENS).collect():
+            convs.setdefault(r.conv_id, []).append(((r.turn is not None, r.turn or 0), r.role or "", hashlib.md5((r.text or "").encode()).hexdigest(), r.text or "", r.n))
+        got = {}
+        for w in windows(table, budget, history).withColumn("turns", turns_of(F.col("text"), F.lit(0))).withColumn("masked", loss_of(F.col("text"), F.col("loss"))).orderBy("window").collect():
+            got.setdefault(w.conv_id, []).append((w.n_repeats, [tuple(t) for t in w.turns], w.n_tokens, w.masked))
+        for conv, rows in convs.items():
+            rows.sort()
+            expected = _spans([(r[1], r[3], r[4]) for r in rows], budget, history)
+            assert [(len(again), [(rows[i][1], rows[i][3]) for i in [*again, *own]], sum(rows[i][4] for i in [*again, *own]), "".join(rows[i][3] for i in own if rows[i][1] == "assistant")) for again, own in expected] == got[conv]
+            for again, own in expected:
+                turns_own = [i for i in own if not (i == 0 and rows[0][1] == "system")]
+                assert len(turns_own) <= 1 or sum(rows[i][4] for i in [*again, *own]) <= budget
+
+
+def test_chat_budget_with_given_tokens(spark):
+    turns = _turns(spark).where("conv_id = 2").withColumn("cost", F.col("turn") % 30)
+    made = windows(turns, 100, 10, tokens="cost").withColumn("turns", turns_of(F.col("text"), F.col("n_repeats"))).collect()
+    assert sum(len(w.turns) for w in made) == 200 and all("system\nbe brief" in w.text and w.n_tokens <= 100 for w in made)
     assert windows(_turns(spark).where("false")).count() == 0
 
 
+def test_no_window_of_the_whole_table_exceeds_the_budget(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    made = windows(table).withColumn("own", F.size(turns_of(F.col("text"), F.col("n_repeats"))))
+    assert made.where((F.col("n_tokens") > BUDGET) & (F.col("own") > 1)).count() == 0
+    assert made.agg(F.sum("own")).first()[0] == table.count()
+
+
 def test_crc_of_op4(spark, table_dir):
     rows = queries.op4_sharding(spark, table_dir).join(spark.read.parquet(f"{table_dir}/documents.parquet").select("doc_id", "text").distinct(), "doc_id").collect()
     assert all(r.text_crc32 == zlib.crc32((r.text or "").encode()) and r["size"] == len((r.text or "").encode()) + 1 for r in rows)
