@@ -9,23 +9,30 @@ gives the model's own segmentation.
 
 Pieces never run across the start of a run of spaces, so texts fall into short units.
 All units of a chunk go through their agendas in step, as numpy arrays: one round merges
-the best candidate of every unit that has one left. The key of a unit is a 64-bit hash of
+the best candidate of every unit that has one left. A unit of more than ``LONG`` characters
+(text without spaces) goes through its agenda alone, with a heap and a linked list, so its
+cost grows with n log n. The key of a unit is a 64-bit hash of
 seed, doc_id and the unit's place, so each occurrence of a word has skips of its own.
 Equal units of a chunk are worked out once only where no key matters, at rate 0, or where
 a caller bounds the keys to ``variants`` values.
 
+Batches of ids leave a task in chunks of about two megabytes of text.
+
 Decoding joins the pieces' bytes again, so encoding loses nothing: a character without a
 piece becomes byte pieces, and so does U+2581, which would read as a space otherwise.
 
 Defined cases: null and empty texts have no pieces (null ids stay null when decoded from
-null); repeated rows encode alike; a null doc_id hashes as -1; an empty table gives no
+null); very long texts are whole chunks, very long words as above (about 5 seconds and 200 MB
+a million characters); ties of score go to the leftmost pair; repeated rows encode alike; a null doc_id hashes as -1; an empty table gives no
 rows; other columns aren't read, or are carried by name.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +40,14 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import CHUNK_BYTES, Scan, bounded_batches, chunks, mix, texts_of
+from corvane.llm.common import CHUNK_BYTES, Scan, chunks, mix, texts_of
 
 RATE = 0.1
 SEED = 20240901
 #: Bytes of units that go through their agendas at once; a longer unit is a run of its own.
 RUN_BYTES = 1 << 18
+#: Characters beyond which a unit goes through its agenda alone.
+LONG = 256
 _NONE = np.int64(1) << 40
 _SLOTS = 1 << 18
 
@@ -92,6 +101,13 @@ class Vocabulary:
         alone[[c for c in range(0x20) if not any(chr(c) in p for p in normal)]] = True
         return Vocabulary(symbol, slots, slot_rank, slot_made, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), byte_id, alone)
 
+    def table(self) -> dict[int, tuple[int, int]]:
+        """Rank and piece of each join by its key, made once a process."""
+        if (found := getattr(self, "_table", None)) is None:
+            held = np.flatnonzero(self.slots >= 0)
+            found = self._table = dict(zip(self.slots[held].tolist(), zip(self.slot_rank[held].tolist(), self.slot_made[held].tolist(), strict=True), strict=True))
+        return found
+
     def joins(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and piece of each pair's join; rank ``_NONE`` where there is none."""
         key = left.astype(np.int64) << 20 | right
@@ -125,6 +141,61 @@ def unit_keys(seed: int, doc_id: np.ndarray, ordinal: np.ndarray, variants: int
     return mix(pick + mix(np.uint64([seed ^ 0x5851F42D])))
 
 
+_MASK = (1 << 64) - 1
+
+
+def _mixed(h: int) -> int:
+    """``mix`` of one integer."""
+    h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & _MASK
+    h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & _MASK
+    return h ^ (h >> 31)
+
+
+def _segment_alone(voc: Vocabulary, points: np.ndarray, key: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols that the agenda of one long unit leaves, and the place of the first character of each."""
+    n = len(points)
+    symbols = voc.symbol[points]
+    rank, made = voc.joins(symbols[:-1], symbols[1:])
+    if rate > 0:
+        some = np.flatnonzero(rank < _NONE)
+        rank[some[dropped(np.uint64([key]), some, symbols[some], symbols[some + 1], rate)]] = _NONE
+    known, bar, none = voc.table(), int(rate * 2.0**53), int(_NONE)
+    live = np.flatnonzero(rank < _NONE)
+    heap = ((rank[live] << 32) | live).tolist()
+    heapify(heap)
+    sym, after, before = array("i", symbols.astype(np.int32).tobytes()), array("q", np.arange(1, n + 1).tobytes()), array("q", np.arange(-1, n - 1).tobytes())
+    best, join = array("q", np.append(rank, none).tobytes()), array("i", np.append(made, 0).astype(np.int32).tobytes())
+    while heap:
+        top = heappop(heap)
+        at = top & 0xFFFFFFFF
+        if best[at] != top >> 32:
+            continue
+        gone = after[at]
+        sym[at], best[gone], after[at] = join[at], none, after[gone]
+        best[at] = none
+        if after[at] < n:
+            before[after[at]] = at
+        for left in (before[at], at):
+            right = after[left] if left >= 0 else n
+            if right >= n:
+                continue
+            best[left] = none
+            a, b = sym[left], sym[right]
+            found = known.get(a << 20 | b) if a >= 0 and b >= 0 else None
+            if found is None:
+                continue
+            if bar and _mixed(key ^ _mixed(((left * 0xA24BAED4963EE407) & _MASK) ^ (a << 32) ^ b)) >> 11 < bar:
+                continue
+            best[left], join[left] = found
+            heappush(heap, found[0] << 32 | left)
+    kept, at = array("q"), 0
+    while at < n:
+        kept.append(at)
+        at = after[at]
+    origin = np.frombuffer(kept, np.int64)
+    return np.frombuffer(sym, np.int32)[origin], origin
+
+
 def _segment(voc: Vocabulary, points: np.ndarray, first: np.ndarray, key: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of every unit, and where each unit's ids begin; ``points`` are the units' code points."""
     origin = np.arange(len(points))
@@ -140,9 +211,16 @@ def _segment(voc: Vocabulary, points: np.ndarray, first: np.ndarray, key: np.nda
         return rank, made
 
     rank, made = np.full(len(sym), _NONE), np.zeros(len(sym), np.int32)
+    done: list[tuple[np.ndarray, np.ndarray]] = []
+    far = np.flatnonzero(np.diff(first) > LONG)
+    for u in far.tolist():
+        left, at = _segment_alone(voc, points[first[u] : first[u + 1]], int(key[u]), rate)
+        done.append((at + first[u], left))
+    if len(far):
+        short = np.flatnonzero(np.isin(unit, far, invert=True))
+        sym, unit, start, origin, rank, made = (x[short] for x in (sym, unit, start, origin, rank, made))
     inner = np.flatnonzero(unit[:-1] == unit[1:])
     rank[inner], made[inner] = ranked(inner)
-    done: list[tuple[np.ndarray, np.ndarray]] = []
     while len(sym):
         lead = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
         size = np.diff(np.append(lead, len(sym)))
@@ -247,7 +325,6 @@ def decode_ids(voc: Vocabulary, ids: np.ndarray, bounds: np.ndarray) -> list[str
 def encoded(docs: DataFrame, voc: Vocabulary, rate: float = RATE, seed: int = SEED, variants: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id``, the columns of ``carry`` and ``piece_ids`` of every row of ``docs``."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(voc)  # as large as the model file, a few MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,13 +332,10 @@ def encoded(docs: DataFrame, voc: Vocabulary, rate: float = RATE, seed: int = SE
         for batch in batches:
             data, bounds = texts_of(batch.column("text"))
             doc = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
-            flat, ends = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
             for a, b, part, cut in chunks(data, bounds, 2 * CHUNK_BYTES):
                 ids, at = encode_texts(own, part, cut, doc[a:b], rate, seed, variants)
-                flat.append(ids)
-                ends.append(at[1:] + ends[-1][-1])
-            made = pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.concatenate(flat)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *carry)), made], names=["doc_id", *carry, "piece_ids"])
+                made = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("doc_id", *carry)), made], names=["doc_id", *carry, "piece_ids"])
 
     types = dict(docs.dtypes)
     schema = ", ".join(["doc_id long", *(f"`{c}` {types[c]}" for c in carry), "piece_ids array<int>"])
@@ -278,7 +352,7 @@ def decoded(rows: DataFrame, voc: Vocabulary, carry: tuple[str, ...] = ()) -> Da
         for batch in batches:
             column = batch.column("piece_ids")
             bounds = column.offsets.to_numpy()
-            texts = decode_ids(own, column.values.to_numpy(), bounds)
+            texts = decode_ids(own, column.values.to_numpy()[bounds[0] : bounds[-1]], bounds - bounds[0])
             gone = column.is_null().to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array([None if g else t for g, t in zip(gone, texts, strict=True)], pa.string())], names=[*carry, "decoded"])
 

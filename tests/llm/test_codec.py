@@ -1,4 +1,5 @@
 import heapq
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -6,7 +7,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from corvane.llm.common import texts_of
-from corvane.llm.piece_codec import Vocabulary, _segment, decoded, dropped, encode_texts, encoded
+from corvane.llm.piece_codec import LONG, Vocabulary, _segment, decoded, dropped, encode_texts, encoded
 from corvane.llm.queries import PIECE_MODEL
 
 MODEL = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
@@ -53,6 +54,35 @@ def test_agenda_in_step_matches_plain_agenda(docs):
             assert got.tolist() == _agenda(unit, key, rate)
 
 
+def test_long_units_match_plain_agenda(docs):
+    text = "".join(r.text for r in docs.select("text").limit(40).collect() if r.text).replace(" ", "").replace("\n", "")
+    for unit in (text[:3000], "a" * (LONG + 1), "日本語の文章" * 90, text[500 : 500 + LONG + 1] + "▁é\U0001f600"):
+        points = np.array([ord(c) for c in unit], np.uint32)
+        for key, rate in ((1, 0.0), (7, 0.3), (2**63 + 5, 0.9)):
+            got, _ = _segment(VOC, points, np.array([0, len(points)]), np.uint64([key]), rate)
+            assert got.tolist() == _agenda(unit, key, rate)
+
+
+def test_long_and_short_units_of_one_run(docs):
+    text = "".join(r.text for r in docs.select("text").limit(20).collect() if r.text).replace(" ", "")
+    units = [" ab", text[:1000], " word", "x" * 400, " end"]
+    points = np.array([ord(c) for u in units for c in u], np.uint32)
+    first = np.concatenate([[0], np.cumsum([len(u) for u in units])])
+    keys = np.arange(1, 6, dtype=np.uint64)
+    got, at = _segment(VOC, points, first, keys, 0.2)
+    for k, u in enumerate(units):
+        assert got[at[k] : at[k + 1]].tolist() == _agenda(u, int(keys[k]), 0.2)
+
+
+def test_a_million_characters_without_a_space_take_seconds(spark):
+    rng = np.random.default_rng(2)
+    text = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/"), 1_000_000))
+    began = time.perf_counter()
+    ids, _ = encode_texts(VOC, *texts_of(pa.array([text])), np.array([1]), 0.1, 3)
+    assert time.perf_counter() - began < 60
+    assert MODEL.decode(ids.tolist()) == text
+
+
 def test_no_dropout_is_the_model(docs):
     texts = [r.text or "" for r in docs.select("text").collect()]
     ids, at = encode_texts(VOC, *texts_of(pa.array(texts)), np.arange(len(texts)), 0.0, 1, 1)
