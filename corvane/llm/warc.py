@@ -5,11 +5,12 @@ offset, length, URL and payload digest. Of pages with equal payloads of ``MIN_RE
 bytes or more the one with the largest page_id is stored whole (``response``), the others
 as ``revisit`` records that refer to it; smaller payloads are always stored.
 
-Reading starts from index rows alone: they are dealt by file, sorted by offset, and
-neighbouring ranges are fetched in one read. A task that fails leaves a file that no
+Reading starts from index rows alone: they are dealt by file and stretch of the file, so
+that tasks get like numbers of archive bytes, sorted by offset, and neighbouring ranges are
+fetched in one read. A task that fails leaves a file that no
 index row names; the rows of its next attempt name a file of their own.
 
-Defined cases: a null html is an empty payload, a null URL an empty one; a null page_id
+Defined cases: a very long page is a record, and a read, of its own; a null html is an empty payload, a null URL an empty one; a null page_id
 stays null and is a revisit only of a page that has an id; rows that repeat the largest
 page_id of a payload are all responses; an empty table gives no files and no rows; other
 columns aren't read.
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import bounded_batches, join_checked
+from corvane.llm.common import join_checked
 from corvane.llm.shared_files import opened
 from corvane.session import new_path, written
 
@@ -36,6 +37,8 @@ MIN_REVISIT = 1000
 ARCHIVE_BYTES = 32 << 20
 #: Unwanted bytes that a read may span, and its size at most (one record may be larger).
 GAP, READ_BYTES = 64 << 10, 4 << 20
+#: Archive bytes that a reading task takes, about, and at least while cores would idle.
+TASK_BYTES, LEAST_TASK_BYTES = 128 << 20, 2 << 20
 _DATE = "2024-01-01T00:00:00Z"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
@@ -71,7 +74,6 @@ def parsed(raw: bytes) -> dict:
 def write_archives(pages: DataFrame, folder: str | None = None, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """Write a record for each row of ``pages(page_id, url, html)`` and return the index, itself written."""
     spark = pages.sparkSession
-    bounded_batches(spark, 500)
     folder = folder or new_path(spark, "warc")
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.sha1(html).alias("digest"))
@@ -147,6 +149,9 @@ def read_archives(selected: DataFrame, payloads: bool = False) -> DataFrame:
         if file is not None:
             file.close()
 
-    sorted_rows = selected.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    # dealt by archive bytes: an index row is tiny, so its own size says nothing; a number that is given isn't merged again
+    size = selected.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    most = max(LEAST_TASK_BYTES, min(TASK_BYTES, size // (3 * selected.sparkSession.sparkContext.defaultParallelism)))
+    sorted_rows = selected.select("file", "offset", "length").repartition(max(1, -(-size // most)), "file", F.floor(F.col("offset") / most)).sortWithinPartitions("file", "offset")
     out = sorted_rows.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
     return out if payloads else out.drop("payload")
