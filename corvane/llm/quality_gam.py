@@ -10,7 +10,8 @@ The fit takes at most ``MAX_ROWS`` labelled rows (the ones whose hashed doc_id i
 so what reaches the driver is bounded; every document is scored in Spark tasks.
 
 Defined cases: a null or empty text gets the features of no words and is scored like any
-other; a label that is null or not 0 or 1 is left out, several labels of one doc_id count
+other; a very long text is scored whole, as a numpy pass of its own; of documents that share
+a doc_id the one with the least features is learnt from; a score of 0.5 is predicted 1; a label that is null or not 0 or 1 is left out, several labels of one doc_id count
 as their least; with no usable label, or only one kind, every score is that kind's share
 (0.5 without any); a null doc_id is scored but never learnt from; other columns aren't read.
 """
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Scan, base_counts, bounded_batches, chunks, mix, texts_of
+from corvane.llm.common import Scan, base_counts, chunks, mix, texts_of
 
 #: Labelled rows of a fit at most.
 MAX_ROWS = 20_000
@@ -205,23 +206,24 @@ def usable_labels(labels: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Gam:
     """The model of the documents in ``labels`` (``doc_id``, 0/1 ``quality``), of ``max_rows`` of them at most."""
-    bounded_batches(docs.sparkSession)
-    chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    # labels without a document don't use up the bound; ids alone are shuffled for that
+    present = labels.join(docs.select("doc_id").where("doc_id is not null"), "doc_id", "left_semi")
+    chosen = present.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = _batch_features(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(list(rows), pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
-    # ``chosen`` has max_rows rows at most, whatever the tables hold
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, quality int, x array<double>").collect()
+    # ``chosen`` has max_rows rows at most, and rows that share a doc_id become one before they leave Spark
+    made = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, quality int, x array<double>")
+    rows = made.groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("r")).select("doc_id", "r.quality", "r.x").collect()
     rows = sorted(((zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.quality, r.x) for r in rows))
     return fit(np.array([r[3] for r in rows]).reshape(-1, len(FEATURES)), np.array([r[2] for r in rows], float))
 
 
 def scored(docs: DataFrame, model: Gam, carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id``, the columns of ``carry`` and ``score`` of every row of ``docs``."""
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,8 +6,9 @@ document. A document's score is the mean over its n-grams of log(target / raw),
 doesn't grow with length, and a document is kept if the score reaches a fixed threshold
 and the base rules hold. Nothing is drawn at random.
 
-Defined cases: a null or empty text has no words, so ``base_failed``; repeated rows are
-each counted and each scored; an empty corpus or target leaves the smoothed multinomials
+Defined cases: a null or empty text has no words, so ``base_failed``; a very long text is
+counted whole, as a numpy pass of its own; a score equal to the threshold is kept; repeated
+rows are each counted and each scored; an empty corpus or target leaves the smoothed multinomials
 equal, so every score is 0; a null doc_id is never trusted; other columns aren't read.
 """
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Scan, base_counts, bounded_batches, chunks, join_checked, texts_of
+from corvane.llm.common import BROADCAST_ROWS, Scan, base_counts, chunks, texts_of
 
 #: Buckets of the hashed n-grams; also the bound of what reaches the driver.
 N_BUCKETS = 1 << 14
@@ -42,11 +43,14 @@ def _grams(scan: Scan, words: np.ndarray, n_buckets: int) -> tuple[np.ndarray, n
     return np.concatenate([words, pairs]) % np.uint64(n_buckets), np.concatenate([scan.doc, scan.doc[at]])
 
 
-def bucket_counts(docs: DataFrame, trusted: DataFrame, n_buckets: int = N_BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+def bucket_counts(docs: DataFrame, trusted: DataFrame, n_buckets: int = N_BUCKETS, few: int = BROADCAST_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Raw and target n-gram counts by bucket, over all of ``docs`` and those whose doc_id is in ``trusted``.
 
     Each task sums its own texts into one histogram before the shuffle; the driver gets
-    ``n_buckets`` rows whatever the size of the corpus.
+    ``n_buckets`` rows whatever the size of the corpus. The trusted ids are broadcast to
+    one scan while they number at most ``BROADCAST_ROWS`` (8 bytes each). Beyond that the
+    raw counts come from a scan without a join, and only the trusted documents' texts are
+    fetched by a semi-join, before whose shuffle Spark drops most others by a Bloom filter.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,8 +67,14 @@ def bucket_counts(docs: DataFrame, trusted: DataFrame, n_buckets: int = N_BUCKET
         held = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(raw[held]), pa.array(target[held])], names=["bucket", "raw", "target"])
 
-    marked = join_checked(docs.select("doc_id", "text"), trusted.select("doc_id").where("doc_id is not null").distinct().withColumn("trusted", F.lit(True)), "doc_id")
-    sums = marked.select("text", "trusted").mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    ids, texts, schema = trusted.select("doc_id").where("doc_id is not null").distinct(), docs.select("doc_id", "text"), "bucket long, raw long, target long"
+    if ids.count() <= few:
+        made = texts.join(F.broadcast(ids.withColumn("trusted", F.lit(True))), "doc_id", "left").select("text", "trusted").mapInArrow(count, schema)
+    else:
+        raw_part = texts.select("text", F.lit(False).alias("trusted")).mapInArrow(count, schema)
+        good = texts.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").select("text", F.lit(True).alias("trusted")).mapInArrow(count, schema)
+        made = raw_part.union(good.select("bucket", F.lit(0).cast("long").alias("raw"), "target"))
+    sums = made.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(n_buckets), np.zeros(n_buckets)
     for bucket, r, t in sums.collect():
         raw[bucket], target[bucket] = r, t
@@ -110,5 +120,4 @@ def apply_rules(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOL
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, n_buckets: int = N_BUCKETS, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of ``docs``: counts, ``base_failed``, ``llr`` and ``kept``."""
-    bounded_batches(docs.sparkSession)
     return apply_rules(docs, log_ratios(*bucket_counts(docs, trusted, n_buckets)), threshold, carry=carry)

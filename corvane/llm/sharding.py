@@ -12,8 +12,10 @@
 Shard sizes differ by one row at most, slots are gapless from 0.
 
 Defined cases: repeated rows and null ids are rows like any other, since only place
-decides; an empty table gives no rows; all columns of the table are kept, and names
-starting ``__corvane_`` are the operator's own.
+decides; very long texts move like any value; equal keys of the second permutation
+are ordered by partition and place; an empty table gives no rows; all columns of the table
+are kept, its own ``shard`` and ``slot`` as ``table_shard`` and ``table_slot``; names starting
+``__corvane_`` are the operator's own.
 """
 
 from __future__ import annotations
@@ -74,6 +76,8 @@ def matrix(counts: list[int], shards: int, seed: int) -> np.ndarray:
 def sharded(rows: DataFrame, shards: int, seed: int = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``rows`` with ``shard`` (0 to ``shards`` - 1) and ``slot`` (0, 1, ... in each shard)."""
     spark = rows.sparkSession
+    own = [c for c in rows.columns if c in ("shard", "slot")]
+    rows = rows.withColumnsRenamed({c: f"table_{c}" for c in own})
     placed = written(rows.withColumn(_P, F.spark_partition_id()).withColumn(_I, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "placed")
     counts = {r[0]: r[1] for r in placed.groupBy(_P).count().collect()}  # one row a partition
     order = sorted(counts)
@@ -90,7 +94,7 @@ def sharded(rows: DataFrame, shards: int, seed: int = SEED, bucket_rows: int = B
             out = np.zeros(len(place), np.int32)
             for p in needed:
                 if p not in deals:
-                    deal = np.repeat(np.arange(shards, dtype=np.int16), shared.value[p])
+                    deal = np.repeat(np.arange(shards, dtype=np.int32), shared.value[p])
                     deals[p] = np.random.default_rng([seed, p]).permutation(deal)
                 out[source == p] = deals[p][at[source == p]]
             yield pd.Series(out)

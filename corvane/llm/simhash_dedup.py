@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Scan, bounded_batches, chunks, texts_of
+from corvane.llm.common import LOWER, Scan, chunks, texts_of
 from corvane.operators.components import connected_components
 from corvane.session import written
 
@@ -36,9 +36,9 @@ SEED = 42
 BLOCKS = 4
 #: Fingerprints of one tile chunk at most, on average; a tile pair compares chunk by chunk.
 CHUNK = 1024
+#: Chunks of a tile that lie under one join key.
+WAYS = 16
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 
 
 def shingle_hashes(data: np.ndarray, scan: Scan, shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,12 +80,11 @@ def majority(hashes: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """``doc_id`` and ``fp`` (the 64 bits as a signed long) of every row."""
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = texts_of(batch.column("text"))
-            data = _LOWER[data]
+            data = LOWER[data]
             made = [np.zeros(0, np.uint64)]
             for a, b, part, cut in chunks(data, bounds):
                 made.append(majority(*shingle_hashes(part, Scan(part, cut), shingle, seed), b - a))
@@ -132,11 +131,13 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, chunk
     steps = [o for o in product(range(-radius, radius + 1), repeat=blocks) if sum(map(abs, o)) <= radius]
     ahead = sorted({d for o in steps if (d := sum(x * radix**k for k, x in enumerate(o))) >= 0})
     keyed = distinct.select("fp", key.alias("tile"))
-    sizes = keyed.groupBy("tile").agg(F.ceil(F.count("*") / chunk).alias("parts"))
+    sizes = written(keyed.groupBy("tile").agg(F.ceil(F.count("*") / chunk).alias("parts")), "tile-sizes")
     dealt = keyed.join(sizes, "tile").withColumn("part", F.pmod(F.xxhash64("fp"), "parts"))
     tiles = written(dealt.groupBy("tile", "part").agg(F.collect_list("fp").alias("fps")), "tiles")
+    ways = F.floor(F.col("part") / WAYS)  # a full tile's parts lie under several keys, each with WAYS of them
     probes = tiles.select(F.explode(F.array(*(F.col("tile") + d for d in ahead))).alias("meets"), F.col("tile").alias("from_tile"), F.col("part").alias("from_part"), F.col("fps").alias("left"))
-    pairs = probes.join(tiles.select(F.col("tile").alias("meets"), "part", F.col("fps").alias("right")), "meets").where("meets <> from_tile or part >= from_part")
+    probes = probes.join(sizes.select(F.col("tile").alias("meets"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("parts") - 1) / WAYS))).alias("way")), "meets")
+    pairs = probes.join(tiles.select(F.col("tile").alias("meets"), ways.alias("way"), "part", F.col("fps").alias("right")), ["meets", "way"]).where("meets <> from_tile or part >= from_part")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -10,7 +10,8 @@ each block the number of its first document and the place where that one began,
 stitches the documents that cross blocks and files.
 
 Defined cases: null and empty texts are documents of 0 tokens; tokens after the last
-separator of a stream belong to no document; repeated rows are documents of their own;
+separator of a stream belong to no document; a very long text crosses as many files and
+blocks as it needs; repeated rows are documents of their own;
 an empty table gives no files and no rows; other columns aren't read.
 """
 
@@ -26,7 +27,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import bounded_batches
 from corvane.llm.shared_files import opened
 from corvane.session import new_path, written
 
@@ -47,28 +47,27 @@ def byte_pairs(path: str, pattern: str = PATTERN) -> tiktoken.Encoding:
 def write_tokens(docs: DataFrame, vocabulary: str, separator: int, folder: str) -> DataFrame:
     """Encode every text into flat files below ``folder``; returns ``stream, ordinal, doc_id``, itself written.
 
-    A stream is an input partition. A task writes under names of its own and gives its
-    files their final names once they are whole, so a second attempt replaces the first.
+    A stream is what one attempt of a task writes, numbered by the attempt, and the rows
+    that Spark commits carry that number. So files and ordinals always come from the same
+    attempt; files of lost or speculative attempts stay, and no row names them.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, 500)
     with open(vocabulary, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())  # a vocabulary file, under 1 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in shared.value.splitlines() if line.strip())}
         coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        task = TaskContext.get()
-        stream, attempt = task.partitionId(), task.taskAttemptId()
+        stream = TaskContext.get().taskAttemptId()
         store, root = opened(folder)
         store.create_dir(root, recursive=True)
-        held, done, ordinal = bytearray(), [], 0
+        held, n_files, ordinal = bytearray(), 0, 0
 
         def flush(size: int) -> None:
-            name = f"{stream:06d}-{len(done):06d}"
-            with store.open_output_stream(f"{root}/_{name}.{attempt}", compression=None) as out:
+            nonlocal n_files
+            with store.open_output_stream(f"{root}/s{stream:012d}-{n_files:06d}.bin", compression=None) as out:
                 out.write(memoryview(held)[:size])
-            done.append((f"{root}/_{name}.{attempt}", f"{root}/s{name}.bin"))
+            n_files += 1
             del held[:size]
 
         end = np.uint16(separator).tobytes()
@@ -79,20 +78,17 @@ def write_tokens(docs: DataFrame, vocabulary: str, separator: int, folder: str)
                 while len(held) >= FILE_BYTES:
                     flush(FILE_BYTES)
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, stream, np.int32)), pa.array(np.arange(ordinal, ordinal + n)), batch.column("doc_id")], names=["stream", "ordinal", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, stream, np.int64)), pa.array(np.arange(ordinal, ordinal + n)), batch.column("doc_id")], names=["stream", "ordinal", "doc_id"])
             ordinal += n
         if held:
             flush(len(held))
-        for part, final in done:
-            store.move(part, final)
 
-    return written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "stream int, ordinal long, doc_id long"), "token-order")
+    return written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "stream long, ordinal long, doc_id long"), "token-order")
 
 
 def scan_tokens(spark: SparkSession, folder: str, separator: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """``stream, ordinal, n_tokens`` of every document in the flat files below ``folder``."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "s*.bin").load(folder)
-    bounded_batches(spark, 8)  # a row is a file of FILE_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,7 +102,7 @@ def scan_tokens(spark: SparkSession, folder: str, separator: int, block_tokens:
                     inner = np.diff(ends) - 1
                     yield pa.RecordBatch.from_pydict({"stream": [stream], "file": [file], "block": [block], "size": [len(part)], "n_ends": [n], "first_end": [int(ends[0]) if n else None], "last_end": [int(ends[-1]) if n else None], "inner": [inner]}, schema=_REPORT)
 
-    reports = written(files.select("path", "content").mapInArrow(run, "stream int, file int, block int, size long, n_ends long, first_end long, last_end long, inner array<long>"), "token-blocks")
+    reports = written(files.select("path", "content").mapInArrow(run, "stream long, file int, block int, size long, n_ends long, first_end long, last_end long, inner array<long>"), "token-blocks")
     along = Window.partitionBy("stream").orderBy("file", "block")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     summed = reports.drop("inner").withColumns({"start": F.coalesce(F.sum("size").over(before), F.lit(0)), "ordinal": F.coalesce(F.sum("n_ends").over(before), F.lit(0))})
@@ -116,7 +112,7 @@ def scan_tokens(spark: SparkSession, folder: str, separator: int, block_tokens:
     return crossing.unionByName(inside.select("stream", (F.col("ordinal") + 1 + F.col("k")).alias("ordinal"), "n_tokens"))
 
 
-_REPORT = pa.schema([("stream", pa.int32()), ("file", pa.int32()), ("block", pa.int32()), *((k, pa.int64()) for k in ("size", "n_ends", "first_end", "last_end")), ("inner", pa.list_(pa.int64()))])
+_REPORT = pa.schema([("stream", pa.int64()), ("file", pa.int32()), ("block", pa.int32()), *((k, pa.int64()) for k in ("size", "n_ends", "first_end", "last_end")), ("inner", pa.list_(pa.int64()))])
 
 
 def token_counts(docs: DataFrame, vocabulary: str, separator: int) -> DataFrame:
