@@ -79,6 +79,11 @@ def kept_targets(names: Column, corrections: dict[str, str], supported: list[str
     return F.array_sort(F.array_distinct(F.filter(right, lambda n: n.isin(supported))))
 
 
+def anatomy_corrections(vertebrae: dict[str, int], names: dict[str, str]) -> dict[str, str]:
+    """A correction table: given names, and ``vertebrae L1`` and the like for every region's numbers."""
+    return names | {f"vertebrae {region}{i}": f"{region}{i}" for region, n in vertebrae.items() for i in range(1, n + 1)}
+
+
 def orientation(spacing: Column, edges: Column) -> Column:
     """The plane (0 to 2) whose two in-plane spacings differ least; ties go to the plane of equal edges, else to 0."""
     gap = lambda a, b: F.abs(spacing[a] - spacing[b])

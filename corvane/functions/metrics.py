@@ -126,6 +126,78 @@ def rouge_l(prediction: Column, reference: Column) -> Column:
     return run(prediction, reference)
 
 
+def _stem(word: str) -> str:
+    """A word without a common English ending."""
+    for end in ("ingly", "edly", "ing", "ies", "ed", "es", "ly", "s"):
+        if word.endswith(end) and len(word) - len(end) >= 3:
+            return word[: -len(end)]
+    return word
+
+
+def sentence_meteor(prediction: str | None, reference: str | None, alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> float:
+    """METEOR of one pair by exact words, then stems: weighted F times the penalty of its chunks.
+
+    Each word is aligned once, the last free partner first, as the compared results have
+    it; synonyms aren't used. 0 without a match.
+    """
+    p, r = (prediction or "").lower().split(), (reference or "").lower().split()
+    pairs: dict[int, int] = {}
+    for form in (str, _stem):
+        free: dict[str, list[int]] = {}
+        taken = set(pairs.values())
+        for j, w in enumerate(r):
+            if j not in taken:
+                free.setdefault(form(w), []).append(j)
+        for i in range(len(p) - 1, -1, -1):
+            if i not in pairs and free.get(form(p[i])):
+                pairs[i] = free[form(p[i])].pop()
+    if not pairs:
+        return 0.0
+    precision, recall = len(pairs) / len(p), len(pairs) / len(r)
+    mean = precision * recall / (alpha * precision + (1 - alpha) * recall)
+    order = sorted(pairs.items())
+    n_chunks = 1 + sum(b != (a[0] + 1, a[1] + 1) for a, b in zip(order, order[1:], strict=False))
+    return mean * (1 - gamma * (n_chunks / len(pairs)) ** beta)
+
+
+def meteor(prediction: Column, reference: Column) -> Column:
+    """``sentence_meteor`` over Arrow batches."""
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for p, r in batches:
+            yield pd.Series([sentence_meteor(a, b) for a, b in zip(p, r, strict=True)], dtype="float64")
+
+    return run(prediction, reference)
+
+
+def bleu_expression(order: int, prediction: Column, reference: Column) -> Column:
+    """BLEU-``order`` of a pair as an expression: for sentences, whose n-grams are few."""
+    zero = F.lit(0.0)
+
+    def score(p: Column, r: Column) -> Column:
+        n, m = F.size(p), F.size(r)
+        logs = zero
+        for size in range(1, order + 1):
+            grams = lambda w, size=size: F.when(F.size(w) >= size, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(size)), " "))).otherwise(F.expr("cast(array() as array<string>)"))
+            hit = F.element_at(F.transform(F.array(F.struct(grams(p).alias("a"), grams(r).alias("b"))), lambda g: F.aggregate(F.array_distinct(g["a"]), F.lit(0), lambda s, x: s + F.least(F.size(F.filter(g["a"], lambda y: y == x)), F.size(F.filter(g["b"], lambda y: y == x))))), 1)
+            logs = logs + F.log(F.try_divide(hit.cast("double"), F.greatest(n - size + 1, F.lit(0))))
+        return F.coalesce(F.exp(logs / order) * F.when(n >= m, F.lit(1.0)).otherwise(F.exp(1 - m / n)), zero)
+
+    bound = F.transform(F.array(F.struct(words(prediction).alias("p"), words(reference).alias("r"))), lambda x: score(x["p"], x["r"]))
+    return F.when(F.size(words(prediction)) > 0, F.element_at(bound, 1)).otherwise(zero)
+
+
+def log_means(logs: Column) -> list[Column]:
+    """The explode arguments of a map of logged values; group by ``key`` and average ``value``, missing keys don't count."""
+    return [F.explode(logs).alias("key", "value")]
+
+
+def subset_f1(counts: DataFrame, index: str, wanted: list[int]) -> DataFrame:
+    """Macro and micro F1 of a subset of classes, by index."""
+    return macro_micro(counts.where(F.col(index).isin(*wanted)))
+
+
 def confusion(reference: Column, predicted: Column) -> list[Column]:
     """Aggregates tp, fp and fn of 0/1 columns."""
     one = lambda c: F.sum(c.cast("long"))

@@ -1,16 +1,13 @@
 """Text functions: sectioning, cleaning, tagging with offsets, templating.
 
-All are column expressions, so they run in Spark's generated code, except the exact
-section splitter, whose skip rule carries state along the text.
+All are column expressions, so they run inside Spark; none needs a Python worker.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that no report section keeps (fixed values: substrings that mark administrative sentences).
@@ -19,13 +16,27 @@ NOTE_WORDS = ("email", "phone", "Dr", "contact", "discuss", "minutes", "review",
 HISTORY_WORDS = ("prior", "previous", "new", "stable", "patient", "history")
 #: The header words that name a section when a header holds them.
 SECTION_WORDS = ("impression", "findings", "history", "comparison", "addendum")
-# Header spellings and what they stand for (a start; callers pass their own map).
-SECTION_ALIASES = {"preamble": "preamble", "conclusion": "impression", "conclusions": "impression", "imp": "impression", "indications": "indication", "reason for exam": "indication", "clinical history": "history", "examination": "examination", "exam": "examination", "procedure": "examination", "comparisons": "comparison", "technique": "technique", "recommendation": "recommendation", "addendum": "addendum", "notification": "notification", "wet read": "wet read"}
-#: View phrases; a header with one of them heads findings.
-VIEW_WORDS = ("pa and lateral", "ap and lateral", "portable", "frontal", "lateral", "chest", "view", "radiograph", "upright", "supine")
+# Header spellings and the section that each stands for.
+SECTION_ALIASES = {
+    "preamble": "preamble", "impression": "impression", "comparison": "comparison", "indication": "indication", "findings": "findings", "examination": "examination", "technique": "technique", "history": "history",
+    "comparisons": "comparison", "clinical history": "history", "reason for examination": "indication", "notification": "notification", "reason for exam": "indication", "clinical information": "history", "exam": "examination",
+    "clinical indication": "indication", "conclusion": "impression", "chest, two views": "findings", "recommendation(s)": "recommendations", "type of examination": "examination", "reference exam": "comparison", "patient history": "history",
+    "addendum": "addendum", "comparison exam": "comparison", "date": "date", "comment": "comment", "findings and impression": "impression", "wet read": "wet read", "comparison film": "comparison", "recommendations": "recommendations",
+    "findings/impression": "impression", "pfi": "history", "recommendation": "recommendations", "wetread": "wet read", "ndication": "impression", "impresson": "impression", "imprression": "impression", "imoression": "impression",
+    "impressoin": "impression", "imprssion": "impression", "impresion": "impression", "imperssion": "impression", "mpression": "impression", "impession": "impression", "findings/ impression": "impression", "finding": "findings",
+    "findins": "findings", "findindgs": "findings", "findgings": "findings", "findngs": "findings", "findnings": "findings", "finidngs": "findings", "idication": "indication", "reference findings": "findings", "comparision": "comparison",
+    "comparsion": "comparison", "comparrison": "comparison", "comparisions": "comparison",
+}
+# View phrases; a header that holds one of them heads findings.
+VIEW_WORDS = (
+    "chest", "portable", "pa and lateral", "lateral and pa", "ap and lateral", "lateral and ap", "frontal and", "two views", "frontal view", "pa view", "ap view", "one view", "lateral view", "bone window", "frontal upright",
+    "frontal semi-upright", "ribs", "pa and lat",
+)
 
 SECTION_TYPE = "array<struct<name string, text string, start int>>"
-_HEADER = re.compile(r"\n ([A-Z ()/,-]+):\s")
+# Fixed value: a section header; the rest of its line is taken with it, since no header may follow there.
+_HEADER = r"\n ([A-Z ()/,-]+):[\s\x1C-\x1F\x85\p{Z}][^\n]*"
+_BLANK = r"^[\s\x1C-\x1F\x85\p{Z}]*$"
 
 
 def words(text: Column) -> Column:
@@ -43,48 +54,40 @@ def blank(text: Column) -> Column:
     return F.coalesce(F.length(F.trim(text)) == 0, F.lit(True))
 
 
-def split_sections(text: str | None) -> list[dict]:
-    """Sections of a report by its upper-case headers, as (name, text, start).
+def sections(text: Column, aliases: dict[str, str] | None = None) -> Column:
+    """Sections of a report by its upper-case headers, as an array of (name, text, start).
 
-    What precedes the first header is the preamble; without a header all is the full
-    report. After a header the search goes on from the next line end, so a header may not
-    follow on the same line. Blank impressions and findings are left out; where neither is
-    left and the last section holds a blank line, what follows that line is the last paragraph.
+    What precedes the first header, its line end and space included, is the preamble;
+    without a header all is the full report. Names are normal ones (``section_name``).
+    Blank impressions and findings are left out; where neither is left and the last
+    section holds a blank line, what follows the first such line is the last paragraph.
+    Null has no sections.
     """
-    if text is None:
-        return []
-    found, at = [], 0
-    while (m := _HEADER.search(text, at)) is not None:
-        found.append((m.group(1).strip().lower(), m.start(), m.end()))
-        line_end = text.find("\n", m.end())
-        if line_end < 0:
-            break
-        at = line_end
-    if not found:
-        return [{"name": "full report", "text": text, "start": 0}]
-    out = [{"name": "preamble", "text": text[: found[0][1]], "start": 0}]
-    for k, (name, _, start) in enumerate(found):
-        stop = found[k + 1][1] if k + 1 < len(found) else len(text)
-        out.append({"name": name, "text": text[start:stop], "start": start})
-    out = [s for s in out if s["name"] not in ("impression", "findings") or s["text"].strip()]
-    if not any(s["name"] in ("impression", "findings") for s in out):
-        last = out[-1]
-        if "\n \n" in last["text"]:
-            head, _, tail = last["text"].rpartition("\n \n")
-            out[-1] = last | {"text": head}
-            out.append({"name": "last_paragraph", "text": tail, "start": last["start"] + len(head) + 3})
-    return out
+    whole = F.regexp_extract_all(text, F.lit(_HEADER), F.lit(0))
+    marks = F.arrays_zip(whole.alias("whole"), F.regexp_extract_all(text, F.lit(_HEADER), F.lit(1)).alias("name"), F.slice(F.split(text, _HEADER), 2, F.greatest(F.size(whole), F.lit(1))).alias("gap"))
+    lead = F.concat(F.element_at(F.split(text, _HEADER), 1), F.lit("\n "))
+    section = lambda name, body, start: F.struct(name.alias("name"), body.alias("text"), start.cast("int").alias("start"))
+    start = F.struct((F.length(lead) - 2).alias("at"), F.array(section(section_name(F.lit("preamble"), aliases), lead, F.lit(0))).alias("found"))
 
+    def step(acc: Column, m: Column) -> Column:
+        head = F.length(m["name"]) + 4
+        body = F.concat(F.substring(m["whole"], head + 1, F.length(m["whole"])), F.coalesce(m["gap"], F.lit("")))
+        one = section(section_name(m["name"], aliases), body, acc["at"] + head)
+        return F.struct((acc["at"] + head + F.length(body)).alias("at"), F.concat(acc["found"], F.array(one)).alias("found"))
 
-def sections(text: Column) -> Column:
-    """``split_sections`` over Arrow batches."""
+    split = F.when(F.size(whole) == 0, F.array(section(F.lit("full report"), text, F.lit(0)))).otherwise(F.aggregate(marks, start, step, lambda acc: acc["found"]))
+    main = lambda s: s["name"].isin("impression", "findings")
+    kept = F.transform(F.array(split), lambda found: F.filter(found, lambda s: ~(main(s) & s["text"].rlike(_BLANK))))
 
-    @F.pandas_udf(SECTION_TYPE)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(split_sections)
+    def last_paragraph(found: Column) -> Column:
+        last = F.element_at(found, -1)
+        head = F.substring_index(last["text"], "\n \n", 1)
+        tail = F.substring(last["text"], F.length(head) + 4, F.length(last["text"]))
+        more = F.array(section(last["name"], head, last["start"]), section(F.lit("last_paragraph"), tail, last["start"] + F.length(head)))
+        cut = ~F.exists(found, main) & F.contains(last["text"], F.lit("\n \n"))
+        return F.when((F.size(found) > 0) & cut, F.concat(F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))), more)).otherwise(found)
 
-    return run(text)
+    return F.when(text.isNotNull(), F.element_at(F.transform(kept, last_paragraph), 1)).otherwise(F.expr(f"cast(array() as {SECTION_TYPE})"))
 
 
 def section_name(name: Column, aliases: dict[str, str] | None = None) -> Column:
@@ -92,11 +95,23 @@ def section_name(name: Column, aliases: dict[str, str] | None = None) -> Column:
     table = SECTION_ALIASES if aliases is None else aliases
     out = F.lower(F.trim(name))
     ladder = F.when(F.lit(False), "")
-    for alias, normal in table.items():
-        ladder = ladder.when(out == alias, normal)
     for word in SECTION_WORDS:
         ladder = ladder.when(F.contains(out, F.lit(word)), word)
-    return ladder.when(out.rlike("|".join(VIEW_WORDS)), "findings").otherwise(out)
+    ladder = ladder.when(out.rlike("|".join(VIEW_WORDS)), "findings").otherwise(out)
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), out), ladder) if table else ladder
+
+
+def overridden(reports: DataFrame, study: str, text: str, names: DataFrame, ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Studies whose section is given by hand, as ``study, name, text``, and the reports that are left for the splitter.
+
+    ``names(study, name)`` picks the last section of that normal name; ``ranges(study,
+    first, last)`` the half-open character range that is the findings.
+    """
+    by_range = reports.join(ranges, study).select(study, F.lit("findings").alias("name"), F.expr(f"substring({text}, first + 1, last - first)").alias("text"))
+    found = reports.join(names, study).select(study, "name", F.filter(sections(F.col(text)), lambda s: s["name"] == F.col("name")).alias("__s"))
+    by_name = found.select(study, "name", F.coalesce(F.try_element_at(F.col("__s"), F.lit(-1))["text"], F.lit("")).alias("text"))
+    rest = reports.join(ranges.select(study).unionByName(names.select(study)), study, "left_anti")
+    return by_range.unionByName(by_name), rest
 
 
 def cut_at_note(text: Column, notes: tuple[str, ...] = NOTE_WORDS) -> Column:
@@ -266,6 +281,22 @@ def model_name(path: Column) -> Column:
 
 def chunks_of_words(text: Column, size: int, overlap: int = 10) -> Column:
     """Runs of ``size`` words, each repeating the last ``overlap`` of the one before."""
-    w = words(text)
-    n = F.greatest(F.ceil((F.size(w) - overlap) / float(size - overlap)), F.lit(1)).cast("int")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(w, i * (size - overlap) + 1, F.lit(size)), " "))
+    def runs(w: Column) -> Column:
+        n = F.greatest(F.ceil((F.size(w) - overlap) / float(size - overlap)), F.lit(1)).cast("int")
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(w, i * (size - overlap) + 1, F.lit(size)), " "))
+
+    return F.element_at(F.transform(F.array(words(text)), runs), 1)  # the words are split once, as a bound variable
+
+
+def two_numbers(text: Column) -> tuple[Column, Column]:
+    """The two numbers, parted by a space, of a text's first line; null where there is none."""
+    parts = F.split(F.substring_index(text, "\n", 1), " ")
+    return F.try_element_at(parts, F.lit(1)).try_cast("double"), F.try_element_at(parts, F.lit(2)).try_cast("double")
+
+
+def answer_of(text: Column, prompt: Column, marks: tuple[str, ...]) -> Column:
+    """A generated text without the prompt it opens with and without the given control marks, trimmed."""
+    out = F.when(F.startswith(text, prompt), F.substring(text, F.length(prompt) + 1, F.length(text))).otherwise(text)
+    for m in marks:
+        out = F.replace(out, F.lit(m), F.lit(""))
+    return F.trim(out)

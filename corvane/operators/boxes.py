@@ -9,20 +9,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.geometry import EPSILON, box, iou
+from corvane.functions.geometry import EPSILON, box, half_even, iou
 from corvane.operators.components import connected_components
 
 CORNERS = ["x1", "y1", "x2", "y2"]
 
 
-def per_group(df: DataFrame, group: list[str], fields: list[str], fn: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], schema: str) -> DataFrame:
+def per_group(df: DataFrame, group: list[str], fields: list[str], fn: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], schema: str, single: Callable[[Column], dict[str, Column]] | None = None) -> DataFrame:
     """``fn`` over each group's fields as numpy arrays, rows sorted by the fields; its arrays (of ``schema``) with the group's key.
 
     Groups come many to an Arrow batch, so small ones cost little; a group is one image
-    and class, whose boxes are few.
+    and class, whose boxes are few. ``single`` gives the columns of a group of one row.
     """
     types = dict(df.dtypes)
     packed = df.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("__g"))
+    alone = None
+    if single is not None:  # a group of one needs no Python
+        alone = packed.where("size(__g) = 1").select(*group, *(value.alias(n) for n, value in single(F.col("__g")[0]).items()))
+        packed = packed.where("size(__g) > 1")
     names = [part.strip().split(" ")[0] for part in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -35,7 +39,8 @@ def per_group(df: DataFrame, group: list[str], fields: list[str], fn: Callable[[
                 owner = pa.array(np.repeat(np.arange(len(made)), [len(m[names[0]]) for m in made]))
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).take(owner) for k in group), *(pa.array(np.concatenate([m[n] for m in made])) for n in names)], names=[*group, *names])
 
-    return packed.mapInArrow(run, ", ".join([*(f"`{k}` {types[k]}" for k in group), schema]))
+    made = packed.mapInArrow(run, ", ".join([*(f"`{k}` {types[k]}" for k in group), schema]))
+    return made if alone is None else made.unionByName(alone.select(*(F.col(n).cast(t).alias(n) for n, t in made.dtypes)))
 
 
 def overlapping(left: DataFrame, right: DataFrame, key: list[str], cell: float) -> DataFrame:
@@ -54,20 +59,33 @@ def overlapping(left: DataFrame, right: DataFrame, key: list[str], cell: float)
     return pairs.where(meet & once).drop("__gx", "__gy")
 
 
-def agreeing_pairs(boxes: DataFrame, key: list[str], ident: str, rater: str, threshold: float) -> DataFrame:
-    """Pairs of boxes of one key by different raters whose IoU reaches ``threshold``: ``src, dst, iou``."""
-    other = boxes.select(*key, F.col(ident).alias("dst"), F.col(rater).alias("__rater"), *(F.col(c).alias(f"o_{c}") for c in CORNERS))
-    pairs = boxes.withColumnRenamed(ident, "src").join(other, key).where((F.col("src") < F.col("dst")) & (F.col(rater) != F.col("__rater")))
-    return pairs.select(*key, "src", "dst", iou(box(), box("o_")).alias("iou")).where(F.col("iou") >= threshold)
+def agreeing_pairs(boxes: DataFrame, key: list[str], ident: str, rater: str, threshold: float, same_rater: bool = False, cell: float = 32.0) -> DataFrame:
+    """Pairs of boxes of one key by different raters (or by the same) whose IoU reaches ``threshold``, above 0: ``src, dst, iou``.
+
+    Such boxes meet, so the pairs come from the grid of ``cell``.
+    """
+    rows = boxes.select(*key, F.col(ident).alias("src"), F.col(rater).alias("rater"), *CORNERS)
+    test = (F.col("rater") == F.col("o_rater")) if same_rater else (F.col("rater") != F.col("o_rater"))
+    pairs = overlapping(rows, rows, key, cell).where((F.col("src") < F.col("o_src")) & test)
+    return pairs.select(*key, "src", F.col("o_src").alias("dst"), iou(box(), box("o_")).alias("iou")).where(F.col("iou") >= threshold)
+
+
+def clustered(boxes: DataFrame, ident: str, pairs: DataFrame) -> DataFrame:
+    """``boxes`` with ``cluster``, the least ident that ``pairs(src, dst)`` reach; a box without a pair is its own."""
+    labels = connected_components(pairs.select("src", "dst")).select(F.col("node").alias(ident), F.col("component").alias("__cluster"))
+    return boxes.join(labels, ident, "left").withColumn("cluster", F.coalesce("__cluster", ident)).drop("__cluster")
 
 
 def mean_boxes(boxes: DataFrame, key: list[str], ident: str, rater: str, threshold: float) -> DataFrame:
     """Boxes of agreeing raters merged: the mean box and size of each cluster."""
-    edges = agreeing_pairs(boxes, key, ident, rater, threshold).select("src", "dst")
-    loops = boxes.select(F.col(ident).alias("src"), F.col(ident).alias("dst"))
-    labels = connected_components(edges.union(loops))
-    joined = boxes.join(labels.withColumnRenamed("node", ident), ident)
-    return joined.groupBy(*key, F.col("component").alias("cluster")).agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in CORNERS))
+    joined = clustered(boxes, ident, agreeing_pairs(boxes, key, ident, rater, threshold))
+    return joined.groupBy(*key, "cluster").agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in CORNERS))
+
+
+def without_repeats(boxes: DataFrame, key: list[str], ident: str, rater: str, threshold: float = 0.9) -> DataFrame:
+    """Boxes of one key and rater that nearly coincide, as one: the first one's ident and rater, the rounded mean box."""
+    joined = clustered(boxes, ident, agreeing_pairs(boxes, key, ident, rater, threshold, same_rater=True))
+    return joined.groupBy(*key, F.col("cluster").alias(ident)).agg(F.min(rater).alias(rater), F.count("*").alias("n"), *(half_even(F.avg(c)).alias(c) for c in CORNERS))
 
 
 def _iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -105,7 +123,8 @@ def consensus_boxes(boxes: DataFrame, key: list[str], rater: str) -> DataFrame:
         n = np.bincount(label)
         return {"n": n.astype(np.int64)} | {c: np.bincount(label, corners[:, k]) / n for k, c in enumerate(CORNERS)}
 
-    return per_group(boxes, key, [*CORNERS, rater], run, "n long, " + ", ".join(f"{c} double" for c in CORNERS))
+    one = lambda r: {"n": F.lit(1)} | {c: r[c] for c in CORNERS}
+    return per_group(boxes, key, [*CORNERS, rater], run, "n long, " + ", ".join(f"{c} double" for c in CORNERS), one)
 
 
 def keep_best(boxes: np.ndarray, scores: np.ndarray, threshold: float) -> np.ndarray:
@@ -132,7 +151,7 @@ def suppressed(detections: DataFrame, group: list[str], score: str, order: str,
 
     types = dict(detections.dtypes)
     fields = ["__r", score, order, *CORNERS]
-    return per_group(entered, group, fields, run, ", ".join(f"{f} {'int' if f == '__r' else types[f]}" for f in fields)).drop("__r")
+    return per_group(entered, group, fields, run, ", ".join(f"{f} {'int' if f == '__r' else types[f]}" for f in fields), lambda r: {f: r[f] for f in fields}).drop("__r")
 
 
 def threshold_matches(pairs: DataFrame, query: str, truth: str, value: str, low: float, high: float) -> DataFrame:
@@ -197,6 +216,50 @@ def assigned(costs: DataFrame, group: list[str], query: str, truth: str, cost: s
     return per_group(costs, group, [query, truth, cost], run, f"{query} {types[query]}, {truth} {types[truth]}, {cost} double")
 
 
+NEGATIVE, UNCERTAIN = -1, -2
+
+
+def slots(cost: np.ndarray, positive: np.ndarray, negative: np.ndarray, n_uncertain: int) -> np.ndarray:
+    """Of each query its truth, ``NEGATIVE`` or ``UNCERTAIN``, in the cheapest assignment.
+
+    ``cost`` is query x truth; a query costs its ``positive`` on top of a truth, its
+    ``negative`` in a negative slot, nothing in an uncertain one. Truths are served first,
+    then uncertain slots, and what is left of the queries is negative.
+    """
+    n, m = cost.shape
+    n_uncertain = min(max(n - m, 0), n_uncertain)
+    n_negative = max(n - m - n_uncertain, 0)
+    if n_negative == n:
+        return np.full(n, NEGATIVE)
+    whole = np.concatenate([cost + positive[:, None], np.repeat(negative[:, None], n_negative, 1), np.zeros((n, n_uncertain))], axis=1)
+    if whole.shape[0] <= whole.shape[1]:
+        column = assignment(whole)
+    else:
+        column = np.full(n, m)
+        column[assignment(whole.T)] = np.arange(whole.shape[1])
+    return np.where(column < m, column, np.where(column < m + n_negative, NEGATIVE, UNCERTAIN))
+
+
+def slot_matches(pairs: DataFrame, group: list[str], query: str, truth: str, cost: str, probability: str, uncertain: str) -> DataFrame:
+    """``query, match`` of each group of ``pairs``: a row for every query and truth, and one with a null truth for a group without any.
+
+    ``probability`` is the query's, 1 less it is the cost of a hit, itself that of a miss;
+    ``uncertain`` is the group's number of uncertain slots.
+    """
+    def run(part: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        queries, first, q = np.unique(part[query], return_index=True, return_inverse=True)
+        real = ~np.isnan(part[truth].astype(float))
+        truths, t = np.unique(part[truth][real].astype(np.int64), return_inverse=True)
+        grid = np.zeros((len(queries), len(truths)))
+        grid[q[real], t] = part[cost][real].astype(float)
+        p = part[probability].astype(float)[first]
+        found = slots(grid, 1 - p, p, int(part[uncertain][0]))
+        return {query: queries, "match": np.where(found >= 0, truths[np.maximum(found, 0)], found) if len(truths) else found}
+
+    types = dict(pairs.dtypes)
+    return per_group(pairs, group, [query, truth, cost, probability, uncertain], run, f"{query} {types[query]}, match long")
+
+
 def distinct_boxes(boxes: DataFrame, key: list[str]) -> DataFrame:
     """Boxes without exact repeats of one key."""
     return boxes.dropDuplicates([*key, *CORNERS])

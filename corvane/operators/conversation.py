@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.text import filled, listed
+from corvane.functions.text import filled, listed, marked
 from corvane.operators.sampling import choice, toss
 
 # Separators of the chat styles (between turns, after an answer).
@@ -56,6 +56,49 @@ def study_conversation(modalities: Column, planes: Column, report: Column, vqa:
     return F.concat(lead, body)
 
 
+def chosen_image(images: Column, planes: Column, frontal_only: Column, seed: int, key: Column, p: float = 0.9) -> Column:
+    """The image of a record and whether a report may be asked of it: ``struct<image, place, report>``.
+
+    Where ``frontal_only``: if all are frontal (PA or AP), or some are and a toss of ``p``
+    says so, one of those; else one of the others, and no report. Elsewhere any image.
+    """
+    places = F.transform(planes, lambda x, i: F.struct(F.coalesce(x.isin("PA", "AP"), F.lit(False)).alias("front"), i.alias("at")))
+    pick = lambda wanted: F.transform(F.filter(places, lambda x: x["front"] == wanted), lambda x: x["at"])
+    front, side = pick(F.lit(True)), pick(F.lit(False))
+    report = ~frontal_only | (F.size(side) == 0) | ((F.size(front) > 0) & toss(p, f"{seed}-front", key))
+    pool = F.when(~frontal_only, F.transform(images, lambda x, i: i)).when(report, front).otherwise(side)
+    at = choice(pool, f"{seed}-image", key)
+    return F.struct(F.get(images, at).alias("image"), at.alias("place"), report.alias("report"))
+
+
+def report_image(images: Column, planes: Column, wanted: tuple[str, ...] | None = ("AP", "PA")) -> Column:
+    """The one image that a report is learnt from: the first of a wanted plane, the first of all where none is named; null without one."""
+    if wanted is None:
+        return F.get(images, F.lit(0))
+    fit = F.filter(F.arrays_zip(images.alias("image"), planes.alias("plane")), lambda x: x["plane"].isin(*wanted))
+    return F.get(fit, F.lit(0))["image"]
+
+
+def single_images(df: DataFrame, images: str) -> DataFrame:
+    """``df``, after a check that every record has one image."""
+    if not df.where(F.coalesce(F.size(images), F.lit(0)) != 1).isEmpty():
+        raise ValueError(f"a record's {images} aren't one")
+    return df
+
+
+def split_anomaly(positive: Column, whole: str, parts: list[str], seed: int, key: Column, p: float = 0.9) -> Column:
+    """Anomaly names where, by a toss of ``p``, ``whole`` stands for its parts, and otherwise the parts for it."""
+    without = F.filter(positive, lambda n: ~n.isin(whole, *parts))
+    named = F.exists(positive, lambda n: n.isin(whole, *parts))
+    own = F.filter(positive, lambda n: n.isin(*parts))
+    return F.when(~named, positive).when(toss(p, f"{seed}-whole", key) | (F.size(own) == 0), F.concat(F.array(F.lit(whole)), without)).otherwise(F.concat(own, without))
+
+
+def grounded_turn(report: Column, tags: Column, available: Column, prompt: Column) -> tuple[Column, Column]:
+    """The report with its tags in phrase marks as (prompt, response), and of each tag whether its target has a mask."""
+    return F.struct(prompt.alias("prompt"), marked(report, tags).alias("response")), F.transform(tags, lambda t: F.array_contains(available, t["target"]))
+
+
 def anomaly_turn(positive: Column, name: str = "Which anomalies can be seen?") -> Column:
     """A question for anomalies and its listed answer, or that there are none."""
     return F.struct(F.lit(name).alias("prompt"), F.when(F.size(positive) > 0, F.concat(listed(positive), F.lit("."))).otherwise("No anomaly.").alias("response"))

@@ -30,6 +30,74 @@ def looked_up_in_order(df: DataFrame, key: str, array: str, table: DataFrame, ta
     return df.join(lists.select(key, F.transform("__l", lambda x: x["v"]).alias(out)), key, "left")
 
 
+def prefixed_join(df: DataFrame, table: DataFrame, on: dict[str, str], prefix: int = 1) -> DataFrame:
+    """``df`` joined to ``table`` where its keys, without their first ``prefix`` characters, are the table's: ``on`` maps key to table key."""
+    cut = {f"__k{i}": F.substring(F.col(k).cast("string"), F.lit(prefix + 1), F.length(F.col(k).cast("string"))) for i, k in enumerate(on)}
+    right = table.withColumns({f"__k{i}": F.col(t).cast("string") for i, t in enumerate(on.values())}).drop(*on.values())
+    return df.withColumns(cut).join(right, list(cut)).drop(*cut)
+
+
+def zipped(left: DataFrame, right: DataFrame, group: list[str], order: str) -> DataFrame:
+    """The k-th row of ``left`` beside the k-th of ``right`` within each group, by ``order``; fails if one side is longer.
+
+    ``order`` is the line number or another stable key of both files.
+    """
+    place = lambda df: df.withColumn("__at", F.row_number().over(Window.partitionBy(*group).orderBy(order))).drop(order)
+    a, b = place(left), place(right)
+    odd = a.select(*group, "__at").join(b.select(*group, F.col("__at"), F.lit(True).alias("__b")), [*group, "__at"], "full_outer").join(a.select(*group, "__at", F.lit(True).alias("__a")), [*group, "__at"], "left").where("__a is null or __b is null")
+    if not odd.isEmpty():
+        raise ValueError("the sides differ in length")
+    return a.join(b, [*group, "__at"]).withColumnRenamed("__at", order)
+
+
+def scattered(df: DataFrame, key: str, done: DataFrame, value: str) -> DataFrame:
+    """``df`` with the rows that ``done(key, value)`` holds rewritten, each in its place."""
+    new = done.select(key, F.col(value).alias("__new"), F.lit(True).alias("__has"))
+    return df.join(new, key, "left").withColumn(value, F.when(F.col("__has"), F.col("__new")).otherwise(F.col(value))).drop("__new", "__has")
+
+
+def in_list_order(names: DataFrame, position: str, key: str, table: DataFrame) -> DataFrame:
+    """The table's row of each listed key, repeats too, with its position; fails on a key without one."""
+    return strict_join(names.select(position, key), table, [key])
+
+
+def grouped_lookup(df: DataFrame, key: str, items: DataFrame, order: list[str], fields: list[str], out: str) -> DataFrame:
+    """``df`` with its key's items as an ordered array, empty where it has none."""
+    found = nested(items, [key], order, fields, out)
+    joined = df.join(found, key, "left")
+    return joined.withColumn(out, F.coalesce(out, F.from_json(F.lit("[]"), joined.schema[out].dataType)))
+
+
+def with_proposals(df: DataFrame, key: str, proposals: DataFrame, proposal_key: str, score: str, fields: list[str], out: str = "proposals") -> DataFrame:
+    """``df`` with its proposals, best score first; ids are compared as strings, and a row without proposals fails."""
+    item = F.struct((-F.col(score)).alias("__s"), *fields)
+    lists = proposals.groupBy(F.col(proposal_key).cast("string").alias("__key")).agg(F.array_sort(F.collect_list(item)).alias("__l"))
+    rows = strict_join(df.withColumn("__key", F.col(key).cast("string")), lists, ["__key"])
+    return rows.withColumn(out, F.transform("__l", lambda x: F.struct(*(x[f].alias(f) for f in fields)))).drop("__key", "__l")
+
+
+def present_targets(tags: Column, available: Column) -> Column:
+    """Of an array of tags those whose target is among the available ones, with its place there."""
+    return F.filter(F.transform(tags, lambda t: F.struct(t.alias("tag"), (F.array_position(available, t["target"]) - 1).alias("place"))), lambda x: x["place"] >= 0)
+
+
+def renamed_targets(targets: Column, negatives: Column, name: str) -> tuple[Column, Column]:
+    """Maps of target arrays with every target's name overwritten, and negative lists of one name set to it."""
+    positive = F.transform_values(targets, lambda k, v: F.transform(v, lambda t: t.withField("name", F.lit(name))))
+    return positive, F.transform_values(negatives, lambda k, v: F.when(F.size(v) == 1, F.array(F.lit(name))).otherwise(v))
+
+
+def enough_keypoints(annotations: Column, least: int) -> Column:
+    """Whether the visible keypoints (every third value above 0) of all annotations reach ``least``."""
+    seen = lambda a: F.size(F.filter(a["keypoints"], lambda v, i: (i % 3 == 2) & (v > 0)))
+    return F.aggregate(annotations, F.lit(0), lambda s, a: s + seen(a)) >= least
+
+
+def existing(df: DataFrame, path: str, files: DataFrame) -> DataFrame:
+    """The rows whose path is among the listed ``files(path)``."""
+    return df.join(files.select(F.col("path").alias(path)).distinct(), path, "left_semi")
+
+
 def strict_join(df: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
     """An inner join that fails when a row of ``df`` has no partner."""
     missing = df.join(table, on, "left_anti").limit(1).count()

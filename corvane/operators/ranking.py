@@ -5,6 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.session import written
+
+
+def globally_ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """``df`` with its global 1-based rank by ``order``, found in ranges of rows, never in one task.
+
+    Rows are parted into ranges of the order and written, so that retries can't move
+    them; each range is ranked alone, and the ranges' counts (one row each) give offsets.
+    """
+    parts = written(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = parts.groupBy("__range").agg(F.count("*").alias("__n"))
+    offsets = sizes.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__offset"))
+    inner = F.row_number().over(Window.partitionBy("__range").orderBy(*order)).cast("long")
+    return parts.withColumn(name, inner).join(F.broadcast(offsets), "__range").withColumn(name, F.col(name) + F.col("__offset")).drop("__range", "__offset")
+
+
+def ranked_in(df: DataFrame, group: list[str], order: list[Column], name: str = "rank", count: str = "count") -> DataFrame:
+    """``df`` with its 1-based rank in its group and the group's row count; a hot group is ranked in ranges like any other.
+
+    Groups are summed to a row each, whose running counts turn global ranks into ranks of
+    the group; a null in the group is a group of its own.
+    """
+    ranked = globally_ranked(df, [*(F.col(c).asc_nulls_first() for c in group), *order], "__at")
+    if not group:
+        return ranked.withColumnRenamed("__at", name).crossJoin(F.broadcast(df.agg(F.count("*").alias(count))))
+    seen = ranked.groupBy(*group).agg(F.min("__at").alias("__first"), F.count("*").alias(count))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in group]
+    out = ranked.alias("r").join(seen.alias("s"), same).select(*(F.col(f"r.{c}").alias(c) for c in df.columns), "__at", "__first", count)
+    return out.withColumn(name, F.col("__at") - F.col("__first") + 1).drop("__at", "__first")
+
 
 def top_k(df: DataFrame, group: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
     """The first ``k`` rows of each group."""
@@ -39,8 +69,7 @@ def top_per_truth(df: DataFrame, truth: str, order: list[Column], k: int, assign
 
 def batches(df: DataFrame, group: list[str], order: list[Column], size: int, keep_last: bool = True) -> DataFrame:
     """``df`` with ``batch``: runs of ``size`` rows of each group in order; short last runs may be left out."""
-    w = Window.partitionBy(*group)
-    out = df.withColumns({"__r": F.row_number().over(w.orderBy(*order)) - 1, "__n": F.count("*").over(w)}).withColumn("batch", F.floor(F.col("__r") / size))
+    out = ranked_in(df, group, order, "__r", "__n").withColumn("batch", F.floor((F.col("__r") - 1) / size))
     return (out if keep_last else out.where((F.col("batch") + 1) * size <= F.col("__n"))).drop("__r", "__n")
 
 
@@ -58,8 +87,8 @@ def merged_tail_chunk(place: Column, count: Column, size: int) -> Column:
 
 def dense_index(df: DataFrame, name: str, out: str = "index") -> DataFrame:
     """``df`` with the 0-based place of each distinct ``name`` in sorted order."""
-    names = df.select(name).distinct().withColumn(out, F.dense_rank().over(Window.orderBy(name)).cast("long") - 1)
-    return df.join(F.broadcast(names), name)
+    names = globally_ranked(df.select(name).distinct(), [F.col(name)], out).withColumn(out, F.col(out) - 1)
+    return df.join(names, name)
 
 
 def trailing_median(df: DataFrame, group: list[str], order: list[Column], value: str, n: int, out: str = "median") -> DataFrame:
@@ -73,9 +102,8 @@ def trailing_median(df: DataFrame, group: list[str], order: list[Column], value:
 
 def nearest_rank(df: DataFrame, group: list[str], value: str, q: float, out: str = "quantile") -> DataFrame:
     """The value at rank max(1, q x n rounded half to even) of each group, without interpolation."""
-    w = Window.partitionBy(*group)
-    ranked = df.withColumns({"__r": F.row_number().over(w.orderBy(value)), "__n": F.count("*").over(w)})
-    at = F.greatest(F.rint(F.col("__n") * q), F.lit(1.0)).cast("int")
+    ranked = ranked_in(df.select(*group, value), group, [F.col(value)], "__r", "__n")
+    at = F.greatest(F.rint(F.col("__n") * q), F.lit(1.0)).cast("long")
     return ranked.where(F.col("__r") == at).select(*group, F.col(value).alias(out))
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.ranking import globally_ranked, ranked_in
+
 
 def draw(seed: int | str, *keys: Column) -> Column:
     """The hex md5 of ``seed|key|key...``; null keys are empty."""
@@ -35,10 +37,11 @@ def choice(options: Column, seed: int | str, *keys: Column) -> Column:
 def ranked(df: DataFrame, order: list[Column], name: str = "rank", bucket: Column | None = None) -> DataFrame:
     """``df`` with its global 1-based rank by ``order``; ``bucket`` must be monotone in the order.
 
-    Rows are ranked inside buckets, and bucket counts (one row each) give the offsets.
+    Rows are ranked inside buckets, and bucket counts (one row each) give the offsets;
+    without a bucket, ranges of the order serve as such.
     """
     if bucket is None:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
+        return globally_ranked(df, order, name)
     keyed = df.withColumn("__bucket", bucket)
     sizes = keyed.groupBy("__bucket").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -108,14 +111,27 @@ def mixture(spec: DataFrame, datasets: DataFrame, n_draws: int, seed: int) -> Da
     bounds = bounds.withColumns({"high": F.sum("mass").over(along), "total": F.sum("mass").over(Window.partitionBy())}).withColumn("low", F.col("high") - F.col("mass"))
     picks = spark.range(n_draws).withColumnRenamed("id", "draw_id").withColumn("u", uniform(seed, F.col("draw_id")))
     picked = picks.join(F.broadcast(bounds), F.expr("u * total >= low and u * total < high")).select("draw_id", "dataset", "size")
-    visit = F.row_number().over(Window.partitionBy("dataset").orderBy("draw_id")) - 1
-    visits = picked.withColumn("visit", visit).select("draw_id", "dataset", F.floor(F.col("visit") / F.col("size")).alias("epoch"), (F.col("visit") % F.col("size")).alias("place"))
+    visits = ranked_in(picked, ["dataset"], [F.col("draw_id")], "visit", "__n").withColumn("visit", F.col("visit") - 1).select("draw_id", "dataset", F.floor(F.col("visit") / F.col("size")).alias("epoch"), (F.col("visit") % F.col("size")).alias("place"))
     epochs = visits.select("dataset", "epoch").distinct()
-    place = F.row_number().over(Window.partitionBy("dataset", "epoch").orderBy(draw(seed, F.col("epoch"), F.col("key")), "key")) - 1
-    orders = datasets.join(epochs, "dataset").withColumn("place", place)
+    drawn = datasets.join(epochs, "dataset").withColumn("__h", draw(seed, F.col("epoch"), F.col("key")))
+    orders = ranked_in(drawn, ["dataset", "epoch"], [F.col("__h"), F.col("key")], "place", "__n").withColumn("place", F.col("place") - 1).select("dataset", "epoch", "place", "key")
     return visits.join(orders, ["dataset", "epoch", "place"]).select("draw_id", "dataset", "epoch", "key")
 
 
+def repeat_ratios(visits: DataFrame, dataset: str) -> DataFrame:
+    """Of each dataset's draws: how many, how many different rows, and the ratio."""
+    return visits.groupBy(dataset).agg(F.count("*").alias("draws"), F.countDistinct("key").alias("rows")).withColumn("ratio", F.col("draws") / F.col("rows"))
+
+
+def split_by_table(df: DataFrame, key: str, table: DataFrame, split: str = "split") -> DataFrame:
+    """``df`` with the split that ``table`` gives each key; fails if a key is in two splits or in none."""
+    if not table.groupBy(key).agg(F.countDistinct(split).alias("n")).where("n > 1").isEmpty():
+        raise ValueError(f"a {key} is in two splits")
+    if not df.join(table, key, "left_anti").isEmpty():
+        raise ValueError(f"a {key} has no split")
+    return df.join(table.select(key, split).distinct(), key)
+
+
 def of_rank(df: DataFrame, place: str, rank: int, world: int) -> DataFrame:
     """The rows of one worker of ``world``: places that leave ``rank``."""
     return df.where(F.pmod(F.col(place), F.lit(world)) == rank)

@@ -20,7 +20,7 @@ def q32_rolling_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q34_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of a source, shortest first, in batches of 32: rows and longest text."""
-    rows = R.batches(load(spark, sf_dir, "documents"), ["source"], [F.col("n_chars"), F.col("doc_id")], 32)
+    rows = R.batches(load(spark, sf_dir, "documents").select("source", "n_chars", "doc_id"), ["source"], [F.col("n_chars"), F.col("doc_id")], 32)
     return rows.groupBy("source", "batch").agg(F.count("*").alias("n"), F.max("n_chars").alias("longest"))
 
 
@@ -96,7 +96,7 @@ def q77_class_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q78_aspect_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full batches of 50 parts, small and large apart."""
-    rows = load(spark, sf_dir, "part").withColumn("wide", F.col("p_size") > 25)
+    rows = load(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") > 25).alias("wide"))
     return R.batches(rows, ["wide"], [F.col("p_partkey")], 50, keep_last=False).groupBy("wide", "batch").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"))
 
 

@@ -32,11 +32,17 @@ def q89_frontal_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q90_exact_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports made of three lines under headers, split again by the exact splitter: names and trimmed lengths."""
+    """Reports of four forms made of documents' lines, split by the exact splitter: normal names, places, and texts."""
     lines = F.split("text", "\n")
-    made = F.concat(F.lit("top\n FINDINGS: "), F.element_at(lines, 1), F.lit("\n IMPRESSION: "), F.element_at(lines, -1), F.lit("\n HISTORY: none\n"))
+    one, two, form = F.element_at(lines, 1), F.element_at(lines, -1), F.col("doc_id") % 4
+    made = (
+        F.when(form == 0, F.concat(F.lit("top\n FINDINGS: "), one, F.lit("\n IMPRESSION: "), two, F.lit("\n PATIENT HISTORY: none\n")))
+        .when(form == 1, F.concat(F.lit("\n CONCLUSION:\n"), one, F.lit("\n EXAM: "), two, F.lit(" HISTORY: no header\n more")))
+        .when(form == 2, F.concat(F.lit("top\n TECHNIQUE: "), one, F.lit("\n \nsecond\n \n"), two))
+        .otherwise(one)
+    )
     rows = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.sections(made)).alias("no", "s"))
-    return rows.select("doc_id", "no", F.col("s.name").alias("name"), F.length(F.trim(F.replace("s.text", F.lit("\n"), F.lit("")))).alias("n_chars"))
+    return rows.select("doc_id", "no", F.col("s.name").alias("name"), F.col("s.start").alias("start"), F.md5("s.text").alias("digest"))
 
 
 def q91_group_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +92,7 @@ def q96_token_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q97_weighted_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping windows of part sizes merged by weight: each cell's weighted mean and whether it passes."""
-    rows = load(spark, sf_dir, "part").where("p_partkey < 400").select(F.explode(G.window_starts(F.lit(64), 16)).alias("start"), F.col("p_size").alias("size"), "p_partkey")
+    rows = load(spark, sf_dir, "part").select(F.explode(G.window_starts(F.lit(64), 16)).alias("start"), F.col("p_size").alias("size"), "p_partkey")
     cells = rows.select((F.col("start") + F.col("p_partkey") % 16).alias("cell"), (F.col("size") / 50.0).alias("p"), (16 - F.abs(F.col("p_partkey") % 16 - 8)).cast("double").alias("w"))
     merged = cells.groupBy("cell").agg((F.sum(F.col("p") * F.col("w")) / F.sum("w")).alias("m"))
     return merged.select("cell", F.round("m", 6).alias("mean"), (F.col("m") > 0.5).alias("passes"))
@@ -115,10 +121,14 @@ ORACLE_SQL = {
     "q88_study_explode": """with u as (select conv_id, count(*) n from conversations where role = 'user' group by 1)
 select conv_id, n * (case when conv_id % 3 = 2 then 2 else 1 end) n, case when conv_id % 3 = 2 then 'im2' else 'im0' end as "last" from u""",
     "q89_frontal_studies": f"select f as \"first\", count(*) n from (select l_orderkey, min(rn) f from {_LINES} where l_returnflag in ('A', 'R') group by 1) group by 1",
-    "q90_exact_sections": """with l as (select doc_id, string_split(text, chr(10)) p from documents),
-s as (select doc_id, [{'n': 'preamble', 't': 'top', 'k': true}, {'n': 'findings', 't': trim(p[1], ' '), 'k': length(trim(p[1])) > 0}, {'n': 'impression', 't': trim(p[-1], ' '), 'k': length(trim(p[-1])) > 0}, {'n': 'history', 't': 'none', 'k': true}] e from l),
-f as (select doc_id, list_filter(e, lambda x: x.k) e from s), x as (select doc_id, e, unnest(range(0, len(e))) i from f)
-select doc_id, cast(i as int) no, e[i + 1].n as "name", cast(length(e[i + 1].t) as int) n_chars from x""",
+    "q90_exact_sections": """with l as (select doc_id, string_split(text, chr(10))[1] a, string_split(text, chr(10))[-1] b, chr(10) n from documents),
+s as (select doc_id, case doc_id % 4
+ when 0 then [{'k': 'preamble', 't': 'top' || n || ' ', 's': 0}, {'k': 'findings', 't': a, 's': 15}, {'k': 'impression', 't': b, 's': 29 + length(a)}, {'k': 'history', 't': 'none' || n, 's': 29 + length(a) + length(b) + 19}]
+ when 1 then [{'k': 'preamble', 't': n || ' ', 's': 0}, {'k': 'impression', 't': a, 's': 14}, {'k': 'examination', 't': b || ' HISTORY: no header' || n || ' more', 's': 14 + length(a) + 8}]
+ when 2 then [{'k': 'preamble', 't': 'top' || n || ' ', 's': 0}, {'k': 'technique', 't': a, 's': 16}, {'k': 'last_paragraph', 't': 'second' || n || ' ' || n || b, 's': 16 + length(a)}]
+ else [{'k': 'full report', 't': a, 's': 0}] end e from l),
+f as (select doc_id, list_filter(e, lambda x: x.k not in ('findings', 'impression') or regexp_matches(x.t, '[^[:space:]]')) e from s), x as (select doc_id, e, unnest(range(0, len(e))) i from f)
+select doc_id, cast(i as int) no, e[i + 1].k as "name", cast(e[i + 1].s as int) as start, md5(e[i + 1].t) digest from x""",
     "q91_group_argmax": f"""with g as (select l_orderkey, cast(floor((rn - 1) / 4) as int) g, rn, l_extendedprice p from {_LINES}), r as (select *, row_number() over (partition by l_orderkey, g order by p desc, rn) r, min(p) over (partition by l_orderkey, g) low from g)
 select cast(rn as int) best, count(*) n from r where r = 1 and low >= 20000 group by 1""",
     "q92_frames": """with d as (select user_id, cast(ts as date) d from events), s as (select user_id, unnest(generate_series(min(d), max(d), interval 1 day))::date d from d group by 1), f as (select user_id, d, count(*) n from d group by 1, 2)
@@ -132,7 +142,11 @@ select user_id, round(list_reduce(v, lambda a, x: a * 0.9::double + x * (1 - 0.9
     "q96_token_labels": """with p as (select p_partkey, (p_partkey % 7 + 3)::int k, p_size s from part)
 select p_partkey, concat_ws(',', 1, k, 2, s, 1, 9) ids, concat_ws(',', -100, -100, -100, s, 1, 9) labels,
  case when s = 1 then '0,0,0,1,1,1' when s = 2 then '0,0,0,0,1,1' else '0,0,0,1,2,2' end positions, case when s = 2 then 2 else 1 end kept from p""",
-    "q97_weighted_merge": """with s as (select unnest(range(0, 7)) * 8 as st), c as (select st + p_partkey % 16 cell, p_size / 50.0::double p, (16 - abs(p_partkey % 16 - 8))::double w from part, s where p_partkey < 400),
+    "q97_weighted_merge": """with s as (select unnest(range(0, 7)) * 8 as st), c as (select st + p_partkey % 16 cell, p_size / 50.0::double p, (16 - abs(p_partkey % 16 - 8))::double w from part, s),
 m as (select cell, sum(p * w) / sum(w) m from c group by 1) select cell, round(m, 6) mean, m > 0.5 passes from m""",
+    "q99_study_conversations": f"""with d as (select doc_id, quality = 1 v, case when toxic = 0 then length(text) > 0 else false end r, {_U.format('11-modality')} < 0.2 m, {_U.format('11-plane')} < 0.2 p, {_U.format('11-report')} < 0.8 t, {_U.format('11-prompt')} c from documents join labels using (doc_id)),
+e as (select *, coalesce(r and not (v and t), false) rep, coalesce(v, false) has_v from d), f as (select *, rep or has_v body from e), g as (select *, m or not body m2 from f)
+select doc_id, cast(case when m2 then 1 else 0 end + case when p then 1 else 0 end + case when body then 1 else 0 end as int) n,
+ case when m2 then 'What is the modality of the images?' when p then 'What is the plane of the images?' when rep then ['Write a report of the images.', 'Describe the findings.', 'Report on this study.'][cast(floor(c * 3) as int) + 1] else 'Good?' end "first" from g""",
     "q98_tossed_turns": f"select lang, {_U.format(7)} < 0.2 asked, ['a', 'b', 'c'][cast(floor({_U.format(8)} * 3) as int) + 1] as template, count(*) n from documents group by all",
 }

@@ -21,7 +21,7 @@ def q02_section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q03_section_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part types as section headers, normalised by alias, contained word and view phrase, counted."""
     aliases = {"economy": "impression", "promo": "findings of promotion"}
-    parts = load(spark, sf_dir, "part").select(X.section_name(F.concat_ws(" ", "p_type", F.when(F.col("p_size") > 40, "views")), aliases).alias("name"))
+    parts = load(spark, sf_dir, "part").select(X.section_name(F.concat_ws(" ", "p_type", F.when(F.col("p_size") > 40, "one view")), aliases).alias("name"))
     return parts.groupBy("name").agg(F.count("*").alias("n"))
 
 
@@ -173,11 +173,15 @@ _KEY = "array_to_string(list_filter(list_transform(" + _WORDS.format("lower({})"
 _SYNONYMS = "s as (select distinct " + _KEY.replace("{}", "'The ' || p_name || 's'") + " as k from part where p_partkey % 3 <> 0), t as (select k, 't:' || k target from s where not suffix(k, 'widget'))"
 
 ORACLE_SQL = {
+    "q67_chat_render": """with t as (select conv_id, turn, role, text, first_value(case when role = 'system' then text end ignore nulls) over (partition by conv_id order by turn, role, text rows between unbounded preceding and unbounded following) sys from conversations),
+r as (select *, row_number() over (partition by conv_id order by turn, role, text) k from t where role <> 'system')
+select c.conv_id, md5(coalesce(said, '')) digest from (select distinct conv_id from conversations) c left join (select conv_id, string_agg(case when role = 'user' then '<s>[INST] ' || case when k = 1 and sys is not null
+ then '<<SYS>>' || chr(10) || sys || chr(10) || '<</SYS>>' || chr(10) || chr(10) else '' end || text || ' [/INST]' else ' ' || text || ' </s>' end, '' order by k) said from r group by 1) using (conv_id)""",
     "q02_section_split": "with l as (select doc_id, string_split(text, chr(10)) p from documents), e as (select doc_id, p, unnest(range(0, len(p))) pos from l) select doc_id, cast(pos as int) pos, cast(length(p[pos + 1]) as int) n_chars from e where length(trim(p[pos + 1], ' ')) > 0",
-    "q03_section_alias": """with p as (select lower(trim(concat_ws(' ', p_type, case when p_size > 40 then 'views' end), ' ')) k from part)
+    "q03_section_alias": """with p as (select lower(trim(concat_ws(' ', p_type, case when p_size > 40 then 'one view' end), ' ')) k from part)
 select case when k = 'economy' then 'impression' when k = 'promo' then 'findings of promotion' when contains(k, 'impression') then 'impression' when contains(k, 'findings') then 'findings'
  when contains(k, 'history') then 'history' when contains(k, 'comparison') then 'comparison' when contains(k, 'addendum') then 'addendum'
- when regexp_matches(k, 'pa and lateral|ap and lateral|portable|frontal|lateral|chest|view|radiograph|upright|supine') then 'findings' else k end as name, count(*) n from p group by 1""",
+ when regexp_matches(k, 'chest|portable|pa and lat|two views|one view|frontal view|ap view|ribs') then 'findings' else k end as name, count(*) n from p group by 1""",
     "q04_sentence_truncate": f"""with d as (select doc_id, text, string_split(text, '.') parts from documents),
 e as (select *, coalesce(list_position(list_transform(parts, lambda s: contains(s, 'thth') or contains(s, 'ouen')), true), 0) pos from d),
 k as (select doc_id, case when pos = 0 then text when pos = 1 then '' else array_to_string(parts[1:pos-1], '.') || '.' end kept from e)

@@ -65,8 +65,10 @@ MSD = {
 PELVIS = {1: "sacrum", 2: "right hip bone", 3: "left hip bone"}
 CHAOS_MR = {63: "liver", 126: "right kidney", 189: "left kidney", 252: "spleen"}
 
+# Fixed value: the ending of compressed image files.
 _NII = r"\.nii\.gz$"
 
+# File patterns and templates of the public datasets.
 DATASETS = {
     d.name: d
     for d in (
@@ -133,7 +135,7 @@ def amos_cases(files: DataFrame, meta: DataFrame) -> DataFrame:
     """AMOS22 cases with modality by number, classes by the patient's sex of ``meta(amos_id, sex)``, and split by folder."""
     rows = cases(files, DATASETS["AMOS22"])
     number = F.regexp_extract("key", r"_(\d+)$", 1).cast("int")
-    rows = rows.withColumn("amos_id", number).join(F.broadcast(meta), "amos_id")
+    rows = rows.withColumn("amos_id", number).join(meta, "amos_id")
     by_sex = F.create_map(*(x for s, c in AMOS_BY_SEX.items() for x in (F.lit(s), _table(c, "map<int,string>"))))
     modality = F.when(F.col("amos_id") <= 500, "CT").otherwise("MRI")
     return rows.withColumns({
@@ -152,7 +154,7 @@ def acdc_cases(files: DataFrame, settings: DataFrame) -> DataFrame:
     """ACDC cases; a patient of group NOR in ``settings(path, settings)`` is complete."""
     patient = lambda c: F.regexp_extract(c, r"(patient[^/]*)/", 1)
     groups = settings.select(patient("path").alias("patient"), (F.col("settings")["Group"] == "NOR").alias("normal"))
-    return cases(files, DATASETS["ACDC"]).withColumn("patient", patient("label")).join(F.broadcast(groups), "patient").withColumn("complete_anomaly", F.col("normal")).drop("patient", "normal")
+    return cases(files, DATASETS["ACDC"]).withColumn("patient", patient("label")).join(groups, "patient").withColumn("complete_anomaly", F.col("normal")).drop("patient", "normal")
 
 
 def busi_cases(files: DataFrame) -> DataFrame:
@@ -173,7 +175,7 @@ def total_segmentator_cases(files: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """TotalSegmentator cases: each mask's file key is looked up in ``taxonomy(key, name)``; unknown keys are left out."""
     pattern = r"^(?:.*/)?([^/]+)/segmentations-zstd/([^/]+)\.nii\.zst$"
     masks = files.where(F.col("path").rlike(pattern)).select("path", F.regexp_extract("path", pattern, 1).alias("case"), F.regexp_extract("path", pattern, 2).alias("key"))
-    named = masks.join(F.broadcast(taxonomy.select("key", "name")), "key")
+    named = masks.join(taxonomy.select("key", "name"), "key")
     out = named.groupBy("case").agg(F.array_sort(F.collect_list(F.struct(F.col("name").alias("target"), "path"))).alias("masks"))
     return out.select(F.lit("TotalSegmentator").alias("dataset"), F.col("case").alias("key"), F.create_map(F.lit("CT"), F.concat("case", F.lit("/ct.nii.gz"))).alias("images"), "masks")
 

@@ -112,9 +112,9 @@ def segments(annotations: DataFrame, ids: dict[int, int], things: list[int]) ->
 
 def contiguous(df: DataFrame, ident: str) -> DataFrame:
     """Distinct ids numbered from 0 in order."""
-    from pyspark.sql import Window
+    from corvane.operators.ranking import globally_ranked
 
-    return df.select(ident).distinct().withColumn("index", F.dense_rank().over(Window.orderBy(ident)).cast("long") - 1)
+    return globally_ranked(df.select(ident).distinct(), [F.col(ident)], "index").withColumn("index", F.col("index") - 1)
 
 
 class Datasets:

@@ -6,7 +6,7 @@ or nothing, and a failed task's files never show.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,6 +15,30 @@ def by_split(df: DataFrame, path: str, split: str = "split", form: str = "json")
     df.write.mode("overwrite").partitionBy(split).format(form).save(path)
 
 
+def json_arrays(df: DataFrame, path: str, split: str, order: list[str]) -> None:
+    """One file for each split that is a single JSON array, a row a line, in order.
+
+    A single file is written by a single task, which streams its rows; use ``by_split``
+    where a split is too large for one file.
+    """
+    w = Window.partitionBy(split).orderBy(*order)
+    lines = df.select(split, F.to_json(F.struct(*(c for c in df.columns if c != split))).alias("__json"), F.row_number().over(w).alias("__r"), F.lead(F.lit(1)).over(w).isNull().alias("__last"))
+    line = F.concat(F.when(F.col("__r") == 1, "[").otherwise(","), "__json", F.when(F.col("__last"), "]").otherwise(""))
+    lines.select(split, line.alias("value")).write.mode("overwrite").partitionBy(split).option("maxRecordsPerFile", 0).text(path)
+
+
+def with_metrics(table: DataFrame, metrics: DataFrame, key: list[str]) -> DataFrame:
+    """``table`` with the columns of ``metrics`` put in, those of the same name replaced; write it to a new path."""
+    new = [c for c in metrics.columns if c not in key]
+    return table.drop(*new).join(metrics, key, "left")
+
+
+def archived(df: DataFrame, path: str) -> DataFrame:
+    """The raw rows as first written to ``path``: later calls leave them as they are."""
+    df.write.mode("ignore").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table_csv(df: DataFrame, path: str) -> None:
     """CSV with a header."""
     df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)

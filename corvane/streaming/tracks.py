@@ -48,41 +48,41 @@ def track_ids(obs: DataFrame, slot: list[str], frame: str, score: str, active: f
 
 
 def track_sequences(obs: DataFrame, seq: str = "seq", frame: str = "frame", slot: str = "slot", score: str = "score", active: float = ACTIVE, tolerance: int = TOLERANCE) -> DataFrame:
-    """Tracks of whole sequences, whose slots share one id counter: ``seq, frame, slot, track``."""
-    types = dict(obs.dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        fresh, states, made = 0, {}, []
-        for f, s, v in pdf.sort_values([frame, slot])[[frame, slot, score]].itertuples(index=False):
-            ident, age = states.get(s, (UNBORN, 0))
-            ident, age, fresh = advance((ident, age, fresh), v, active, tolerance)
-            states[s] = (ident, age)
-            made.append((f, s, ident))
-        out = pd.DataFrame(made, columns=[frame, slot, "track"])
-        out.insert(0, seq, pdf[seq].iloc[0])
-        return out
+    """Tracks of whole sequences, whose slots share one id counter that starts at 0: ``seq, frame, slot, track``.
 
-    return obs.groupBy(seq).applyInPandas(run, f"`{seq}` {types[seq]}, `{frame}` {types[frame]}, `{slot}` {types[slot]}, track long")
+    A slot's life doesn't depend on the others, only the number it gets does: births of a
+    sequence are numbered in order of frame, then slot. So slots are worked out alone, and
+    only births meet in one window.
+    """
+    own = track_ids(obs.select(seq, slot, frame, score), [seq, slot], frame, score, active, tolerance).withColumnRenamed("track", "__own")
+    born = own.where(F.col("__own") >= 0).groupBy(seq, slot, "__own").agg(F.min(frame).alias("__born"))
+    numbered = born.withColumn("track", F.row_number().over(Window.partitionBy(seq).orderBy("__born", slot)).cast("long") - 1).drop("__born")
+    return own.join(numbered, [seq, slot, "__own"], "left").select(seq, frame, slot, F.coalesce("track", F.lit(UNBORN).cast("long")).alias("track"))
 
 
 def stream_tracks(obs: DataFrame, slot: str, frame: str, score: str, active: float = ACTIVE, tolerance: int = TOLERANCE) -> DataFrame:
     """The same transition over a stream keyed by slot: a row for each observation, with its track.
 
-    Rows of one micro-batch are taken in frame order; state is (id, age, next id).
+    Rows of one micro-batch are taken in frame order; state is (id, age, next id) and the
+    last frame taken. A row older than that came too late and is left out, so the result
+    doesn't depend on how the stream is cut, as long as each slot's frames arrive in order.
     """
     types = dict(obs.dtypes)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else (UNBORN, 0, 0)
+        *held, last = state.get if state.exists else (UNBORN, 0, 0, None)
         rows = pd.concat(list(batches)).sort_values(frame)
+        if last is not None:
+            rows = rows[rows[frame] > last]
         tracks = []
-        for v in rows[score]:
+        for v in rows[score].tolist():
             held = advance(tuple(held), v, active, tolerance)
             tracks.append(held[0])
-        state.update(held)
+        if len(rows):
+            state.update((*held, int(rows[frame].iloc[-1])))
         yield pd.DataFrame({slot: [key[0]] * len(rows), frame: rows[frame], "track": tracks})
 
-    return obs.groupBy(slot).applyInPandasWithState(run, f"`{slot}` {types[slot]}, `{frame}` {types[frame]}, track long", "id long, age long, fresh long", "append", "NoTimeout")
+    return obs.groupBy(slot).applyInPandasWithState(run, f"`{slot}` {types[slot]}, `{frame}` {types[frame]}, track long", "id long, age long, fresh long, last long", "append", "NoTimeout")
 
 
 def accuracy(matches: DataFrame, seq: str, frame: str, truth: str, track: str) -> DataFrame:

@@ -1,5 +1,8 @@
 """Micro fixtures of the text, label, geometry and metric functions."""
 
+import random
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -51,13 +54,45 @@ def test_well_formed(one, text, ok):
     assert one(X.well_formed(F.lit(text).cast("string"))) is ok
 
 
-def test_sections_by_header():
-    text = "top\n FINDINGS: clear\n\n IMPRESSION: fine\n"
-    assert [(s["name"], s["text"].strip()) for s in X.split_sections(text)] == [("preamble", "top"), ("findings", "clear"), ("impression", "fine")]
-    assert X.split_sections("no header")[0]["name"] == "full report"
-    last = X.split_sections("x\n HISTORY: cough\nmore\n \nlast words\n")
-    assert [s["name"] for s in last] == ["preamble", "history", "last_paragraph"] and last[-1]["text"] == "last words\n"
-    assert X.split_sections(None) == []
+def _sections(text):
+    """The rules of the section splitter, walked along a text."""
+    known = lambda n: X.SECTION_ALIASES.get(n) or next((w for w in X.SECTION_WORDS if w in n), None) or ("findings" if any(v in n for v in X.VIEW_WORDS) else n)
+    found, at = [], 0
+    while m := re.compile(r"\n ([A-Z ()/,-]+):\s").search(text, at):
+        found.append((known(m[1].strip().lower()), m.start(), m.start(1), m.end()))
+        at = text.find("\n", m.end())
+        if at < 0:
+            break
+    stops = [f[1] for f in found[1:]] + [len(text)]
+    out = [("preamble", text[: found[0][2]], 0)] if found else [("full report", text, 0)]
+    out += [(n, text[e:stop], e) for (n, _, _, e), stop in zip(found, stops, strict=False)]
+    out = [s for s in out if s[0] not in ("impression", "findings") or s[1].strip()]
+    if not {s[0] for s in out} & {"impression", "findings"} and "\n \n" in out[-1][1]:
+        n, body, start = out.pop()
+        head, _, tail = body.partition("\n \n")
+        out += [(n, head, start), ("last_paragraph", tail, start + len(head))]
+    return out
+
+
+TRICKY = [
+    "top\n FINDINGS: clear\n\n IMPRESSION: fine\n", "no header", "", "x\n HISTORY: cough\nmore\n \nlast words\n", "x\n CONCLUSION: all well\n \nrest\n \nend", "a\n IMP: ok\n \nb\n \nc", "\n CHEST, PA LATERAL:\n\n INDICATION:  pain\n \n one\n \n two",
+    "p\n FINDINGS:\n IMPRESSION: same line\n IMPRESSION: next", "p\n FINDINGS:  \n\n IMPRESSION: \t \n", "p\n EXAM: HISTORY: none\n WET READ: x", "p\n IMPRESSON: typo\n FINDINDGS: \u00a0\n", "p\n DATE: 1\n X: y\u2003z\n \n", "\u00e9\n TECHNIQUE:\u00a0a\n \nb", "p\n TECHNIQUE: a", "p\n COMPARISON: 1\n \n 2\n \n 3\n ADDENDUM: 4\n \n 5\n \n 6",
+]
+
+
+def test_sections_by_header(spark):
+    rng = random.Random(8)
+    parts = ["\n FINDINGS:", "\n IMPRESSION: ", "\n CONCLUSION:\n", "\n \n", "\n", " ", "words here", "\n PORTABLE CHEST: ", "HISTORY: ", "\n TECHNIQUE: ", ":", "\n  ODD: "]
+    texts = TRICKY + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(400)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "i int, t string").select("i", X.sections(F.col("t")).alias("s")).collect()
+    for r in rows:
+        assert [tuple(s) for s in r.s] == ([] if r.i < 0 else _sections(texts[r.i])), texts[r.i]
+
+
+def test_overridden_sections(spark):
+    reports = spark.createDataFrame([("a", "0123456789"), ("b", "x\n NOTE: one\n EXAM: two\n NOTE: three"), ("c", "x")], "study string, text string")
+    by_hand, rest = X.overridden(reports, "study", "text", spark.createDataFrame([("b", "note")], "study string, name string"), spark.createDataFrame([("a", 2, 5)], "study string, first int, last int"))
+    assert {tuple(r) for r in by_hand.collect()} == {("a", "findings", "234"), ("b", "note", "three")} and [r.study for r in rest.collect()] == ["c"]
 
 
 def test_sections_over_arrow(spark):
