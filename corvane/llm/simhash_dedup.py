@@ -8,24 +8,38 @@ counts. No link is missed and none is guessed. A tile pair returns its links as
 (each linked fingerprint and the least one it reaches there), never as all pairs, and
 ``connected_components`` joins the stars.
 
+``near_groups`` takes the fingerprints' distance for similarity, at a small radius.
+``without_similar`` takes the Jaccard similarity of shingle sets, 0.8 unless told: tiles are
+parted by the sets' sizes too (similar sets have like sizes), two fingerprints of 128 bits
+in all are compared at a wide radius, and what is within it in a chain is a pool. In each
+pool the first document is kept, those similar to it go, and so on with what is left, a few
+documents at a time; similarity is exact, on the whole sets. So every document that goes is
+similar to one that stays, and no two that stay are similar, unless the radius lost them:
+at similarity 0.8 it loses one pair in a thousand, above that fewer.
+
 Defined cases: a text without words (null and empty too) has fingerprint zero and links
-like any other; repeated rows share a group; a group's id is its least doc_id, nulls
-left aside (null if it has no other); an empty table gives no rows; other columns aren't
-read, or are carried by name.
+like any other; repeated rows share a group; very long texts are hashed whole; a group's id
+is its least doc_id, nulls left aside (null if it has no other); an empty table gives no
+rows; other columns aren't read, or are carried by name. ``without_similar`` tells rows
+apart by doc_id and text: of rows that are equal in both one stays, rows of one doc_id with
+different texts are rows of their own, and a null doc_id comes after all others.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import LOWER, Scan, chunks, texts_of
+from corvane.llm.common import LOWER, Scan, chunks, join_checked, mix, texts_of
+from corvane.llm.decontaminate import doc_key
 from corvane.operators.components import connected_components
 from corvane.session import written
 
@@ -36,8 +50,14 @@ SEED = 42
 BLOCKS = 4
 #: Fingerprints of one tile chunk at most, on average; a tile pair compares chunk by chunk.
 CHUNK = 1024
-#: Chunks of a tile that lie under one join key.
-WAYS = 16
+#: Chunks of a tile that lie under one join key, and rows of a chunk that are compared at once.
+WAYS, STRIP = 16, 128
+#: Candidates of a pool that one round takes at most; they are judged in one task.
+MOST_HEADS = 1024
+#: Shingles and Jaccard similarity of ``without_similar``.
+SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
+#: Bits that two documents at the similarity may differ by, in the first 64 and in all 128: beyond it lie one in ten thousand and one in a thousand.
+FIRST_RADIUS, WIDE_RADIUS = 20, 32
 
 
 
@@ -93,15 +113,24 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def _stars(left: np.ndarray, right: np.ndarray, same: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the links between two chunks: every linked fingerprint but the least of its group, and that least one."""
-    near = np.bitwise_count(left[:, None] ^ right[None, :]) <= radius
-    if same:
-        near = np.triu(near, 1)
-    a, b = np.nonzero(near)
+def _within(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the fingerprints of two chunks within ``radius`` bits of each other, a strip of rows at a time; of one chunk each pair once."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(left), STRIP):
+        near = np.bitwise_count(left[at : at + STRIP, None] ^ right[None, :]) <= radius
+        if same:
+            near = np.triu(near, at + 1)
+        i, j = np.nonzero(near)
+        a.append(i + at)
+        b.append(j)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of links between keys: every linked key but the least of its group, and that least one."""
     if not len(a):
-        return left[:0], left[:0]
-    values, place = np.unique(np.concatenate([left[a], right[b]]), return_inverse=True)
+        return a, b
+    values, place = np.unique(np.concatenate([a, b]), return_inverse=True)
     a, b = place[: len(a)], place[len(a) :]
     label = np.arange(len(values))
     while True:
@@ -117,44 +146,53 @@ def _stars(left: np.ndarray, right: np.ndarray, same: bool, radius: int) -> tupl
     return values[moved], values[label[moved]]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
-    """Star edges ``(src, dst)`` among distinct fingerprints ``fp`` that reach all links within ``radius``.
+def tile_stars(keyed: DataFrame, fields: list[str], ahead: list[int], near: Callable[[dict[str, np.ndarray], dict[str, np.ndarray], bool], tuple[np.ndarray, np.ndarray]], chunk: int) -> DataFrame:
+    """Star edges ``(src, dst)`` of the links that ``near`` finds among ``keyed(tile, fields...)``; the first field is the key.
 
-    A tile goes to its own key and to those of the half of the near tiles above it; it
-    meets the tile that lies there by an equi-join on that key, chunk by chunk, so no
-    row holds more than two chunks however full a tile is.
+    A tile goes to its own key and to those of the half of the near tiles above it
+    (``ahead``, as differences of tile numbers, 0 and up first); it meets the tile that lies
+    there by an equi-join on that key, chunk by chunk, so no row holds more than two chunks
+    however full a tile is, and a full tile's chunks lie under several keys.
     """
-    base = 64 // blocks
-    counts = [F.bit_count(F.expr(f"shiftrightunsigned(fp, {base * k}) & {(1 << base) - 1}L")) for k in range(blocks)]
-    radix = 2 * (base + radius) + 1
-    key = sum((c.cast("long") * radix**k for k, c in enumerate(counts)), F.lit(0).cast("long"))
-    steps = [o for o in product(range(-radius, radius + 1), repeat=blocks) if sum(map(abs, o)) <= radius]
-    ahead = sorted({d for o in steps if (d := sum(x * radix**k for k, x in enumerate(o))) >= 0})
-    keyed = distinct.select("fp", key.alias("tile"))
     sizes = written(keyed.groupBy("tile").agg(F.ceil(F.count("*") / chunk).alias("parts")), "tile-sizes")
-    dealt = keyed.join(sizes, "tile").withColumn("part", F.pmod(F.xxhash64("fp"), "parts"))
-    tiles = written(dealt.groupBy("tile", "part").agg(F.collect_list("fp").alias("fps")), "tiles")
-    ways = F.floor(F.col("part") / WAYS)  # a full tile's parts lie under several keys, each with WAYS of them
-    probes = tiles.select(F.explode(F.array(*(F.col("tile") + d for d in ahead))).alias("meets"), F.col("tile").alias("from_tile"), F.col("part").alias("from_part"), F.col("fps").alias("left"))
+    dealt = keyed.join(sizes, "tile").withColumn("part", F.pmod(F.xxhash64(fields[0]), "parts"))
+    tiles = written(dealt.groupBy("tile", "part").agg(F.collect_list(F.struct(*fields)).alias("rows")), "tiles")
+    ways = F.floor(F.col("part") / WAYS)
+    probes = tiles.select(F.explode(F.array(*(F.col("tile") + d for d in ahead))).alias("meets"), F.col("tile").alias("from_tile"), F.col("part").alias("from_part"), F.col("rows").alias("left"))
     probes = probes.join(sizes.select(F.col("tile").alias("meets"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("parts") - 1) / WAYS))).alias("way")), "meets")
-    pairs = probes.join(tiles.select(F.col("tile").alias("meets"), ways.alias("way"), "part", F.col("fps").alias("right")), ["meets", "way"]).where("meets <> from_tile or part >= from_part")
+    pairs = probes.join(tiles.select(F.col("tile").alias("meets"), ways.alias("way"), "part", F.col("rows").alias("right")), ["meets", "way"]).where("meets <> from_tile or part >= from_part")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sides = []
             for name in ("left", "right"):
                 column = batch.column(name)
-                offsets = column.offsets.to_numpy()
-                sides.append((column.values.to_numpy().view(np.uint64), offsets))
+                sides.append(({f: column.values.field(f).to_numpy(zero_copy_only=False) for f in fields}, column.offsets.to_numpy()))
             same = batch.column("same").to_numpy(zero_copy_only=False)
-            found = [_stars(sides[0][0][sides[0][1][i] : sides[0][1][i + 1]], sides[1][0][sides[1][1][i] : sides[1][1][i + 1]], bool(same[i]), radius) for i in range(batch.num_rows)]
+            found = []
+            for i in range(batch.num_rows):
+                left, right = ({f: v[at[i] : at[i + 1]] for f, v in values.items()} for values, at in sides)
+                a, b = near(left, right, bool(same[i]))
+                found.append(_stars(left[fields[0]][a], right[fields[0]][b]))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]).view(np.int64)) for k in (0, 1)], names=["src", "dst"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], names=["src", "dst"])
 
     same = (F.col("meets") == F.col("from_tile")) & (F.col("part") == F.col("from_part"))
     return pairs.select("left", "right", same.alias("same")).mapInArrow(compare, "src long, dst long")
 
 
+def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
+    """Star edges ``(src, dst)`` among distinct fingerprints ``fp`` that reach all links within ``radius``."""
+    base = 64 // blocks
+    counts = [F.bit_count(F.expr(f"shiftrightunsigned(fp, {base * k}) & {(1 << base) - 1}L")) for k in range(blocks)]
+    radix = 2 * (base + radius) + 1
+    key = sum((c.cast("long") * radix**k for k, c in enumerate(counts)), F.lit(0).cast("long"))
+    steps = [o for o in product(range(-radius, radius + 1), repeat=blocks) if sum(map(abs, o)) <= radius]
+    ahead = sorted({d for o in steps if (d := sum(x * radix**k for k, x in enumerate(o))) >= 0})
+    near = lambda left, right, same: _within(left["fp"].view(np.uint64), right["fp"].view(np.uint64), radius, same)
+    return tile_stars(distinct.select("fp", key.alias("tile")), ["fp"], ahead, near, chunk)
+
+
 def near_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id`` of every row of ``docs``."""
     prints = written(fingerprints(docs, shingle, seed), "simhash")
@@ -166,6 +204,128 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, s
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def _set_rows(batch: pa.RecordBatch, shingle: int, seed: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of texts of a batch: first, end, and the distinct shingle hashes with their texts, sorted by text and hash."""
+    data, bounds = texts_of(batch.column("text"))
+    data = LOWER[data]
+    for a, b, part, cut in chunks(data, bounds):
+        hashes, doc = shingle_hashes(part, Scan(part, cut), shingle, seed)
+        order = np.lexsort((hashes, doc))
+        hashes, doc = hashes[order], doc[order]
+        first = np.ones(len(doc), bool)
+        first[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
+        yield a, b, hashes[first], doc[first]
+
+
+def set_prints(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, seed: int = SEED) -> DataFrame:
+    """``key, doc_id, node, n, fp, fp2`` of every row: its own key, a hash of its shingle set, the set's size, and 128 SimHash bits of it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, h, doc in _set_rows(batch, shingle, seed):
+                n = np.bincount(doc, minlength=b - a)
+                at = np.searchsorted(doc, np.arange(b - a + 1))
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(0x2545F4914F6CDD1D)), dtype=np.uint64)])
+                node = mix(total[at[1:]] - total[at[:-1]] + n.astype(np.uint64))
+                made = [batch.column("key").slice(a, b - a), batch.column("doc_id").slice(a, b - a), pa.array(node.view(np.int64)), pa.array(n.astype(np.int32))]
+                made += [pa.array(majority(x, doc, b - a).view(np.int64)) for x in (h, mix(h))]
+                yield pa.RecordBatch.from_arrays(made, names=["key", "doc_id", "node", "n", "fp", "fp2"])
+
+    return docs.select(doc_key().alias("key"), F.col("doc_id").cast("long"), "text").mapInArrow(run, "key long, doc_id long, node long, n int, fp long, fp2 long")
+
+
+def shingle_sets(docs: DataFrame, keys: DataFrame, shingle: int = SIMILAR_SHINGLE, seed: int = SEED) -> DataFrame:
+    """``key`` and ``set`` (distinct shingle hashes) of the rows of ``docs`` that ``keys(key)`` names."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, h, doc in _set_rows(batch, shingle, seed):
+                made = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(b - a + 1)).astype(np.int32)), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(a, b - a), made], names=["key", "set"])
+
+    wanted = join_checked(docs.select(doc_key().alias("key"), "text"), keys, "key", "left_semi")
+    return wanted.mapInArrow(run, "key long, set array<long>").dropDuplicates(["key"])
+
+
+def pools(nodes: DataFrame, similarity: float = SIMILARITY, chunk: int = 2 * CHUNK) -> DataFrame:
+    """``node, pool`` of every one of ``nodes(node, n, fp, fp2)`` that lies within the wide radius of another; a pool is a chain of such."""
+    step = 8  # set-bit counts of a tile, so that tiles aren't many and small
+    size = F.floor(F.log(F.greatest("n", F.lit(1)) * 1.0) / -math.log(similarity) + 1e-9)
+    tile = size * 64 + F.floor(F.bit_count("fp") / step)
+    reach = -(-FIRST_RADIUS // step)
+    ahead = [*range(reach + 1), *(64 + d for d in range(-reach, reach + 1))]
+
+    def near(left: dict[str, np.ndarray], right: dict[str, np.ndarray], same: bool) -> tuple[np.ndarray, np.ndarray]:
+        u = lambda side, name: side[name].view(np.uint64)
+        a, b = _within(u(left, "fp"), u(right, "fp"), FIRST_RADIUS, same)
+        bits = np.bitwise_count(u(left, "fp")[a] ^ u(right, "fp")[b]) + np.bitwise_count(u(left, "fp2")[a] ^ u(right, "fp2")[b])
+        n, m = left["n"][a], right["n"][b]
+        keep = (bits <= WIDE_RADIUS) & (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9)
+        return a[keep], b[keep]
+
+    found = connected_components(tile_stars(nodes.select("node", "n", "fp", "fp2", tile.cast("long").alias("tile")), ["node", "n", "fp", "fp2"], ahead, near, chunk))
+    return found.select("node", F.col("component").alias("pool"))
+
+
+def _first_apart(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of a pool's candidates in order, those that no kept one before them is similar to; ``near`` lists the places of similar ones."""
+    kept: set[int] = set()
+    for place, near in sorted(zip(pdf["place"].tolist(), pdf["near"].tolist(), strict=True)):
+        if not kept.intersection(int(x) for x in near):
+            kept.add(place)
+    return pdf[pdf["place"].isin(kept)][["pool", "node"]]
+
+
+def removed_nodes(members: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, first: int = 4) -> DataFrame:
+    """The nodes of ``members(pool, node, rank)`` that are similar to a kept one before them; ``sets(node, set)`` are their shingles.
+
+    A round takes the first candidates of every pool (``first`` of them, four times as many
+    in each further round up to ``MOST_HEADS``), compares them with all that is left of the pool, keeps those
+    that no kept one is similar to, and drops what is similar to them. Pools without rows
+    left are done; each round is written.
+    """
+    spark = members.sparkSession
+    left = members.join(sets, "node")
+    gone, take = None, first
+    while True:
+        left = written(left, "pool-members")
+        if left.isEmpty():
+            break
+        order = Window.partitionBy("pool").orderBy("rank")
+        heads = left.withColumn("place", F.row_number().over(order)).where(F.col("place") <= take).select("pool", F.col("node").alias("head"), "place", F.col("rank").alias("head_rank"), F.col("set").alias("head_set"))
+        heads = written(heads, "pool-heads")
+        shared = F.size(F.array_intersect("set", "head_set"))
+        like = shared >= similarity * (F.size("set") + F.size("head_set") - shared) - 1e-9
+        close = join_checked(left, heads, "pool", "inner").where((F.col("rank") > F.col("head_rank")) & like).select("pool", "node", "head", "place")
+        close = written(close, "pool-links")
+        own = heads.select("pool", F.col("head").alias("node"), "place")
+        among = close.withColumnRenamed("place", "near").join(own.select("node", "place"), "node").groupBy("pool", "node", "place").agg(F.collect_list("near").alias("near"))
+        judged = own.join(among.select("node", "near"), "node", "left").select("pool", "node", "place", F.coalesce("near", F.expr("cast(array() as array<int>)")).alias("near"))
+        kept = written(judged.groupBy("pool").applyInPandas(_first_apart, "pool long, node long"), "pool-kept")  # ``take`` rows a pool at most
+        dropped = written(close.join(kept.select(F.col("node").alias("head")), "head", "left_semi").select("node").distinct(), "pool-dropped")
+        gone = dropped if gone is None else gone.union(dropped)
+        left = left.join(dropped.union(own.select("node")).distinct(), "node", "left_anti")
+        take = min(4 * take, MOST_HEADS)
+    return gone if gone is not None else spark.createDataFrame([], "node long")
+
+
+def without_similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    """The rows of ``docs`` without those whose shingle set is similar to that of a row that stays; all columns kept."""
+    prints = written(set_prints(docs, shingle), "set-prints")
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key"))
+    nodes = written(prints.groupBy("node").agg(lead.alias("lead"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2")), "set-nodes")
+    pooled = written(pools(nodes, similarity).join(nodes.select("node", "lead"), "node"), "set-pools")
+    sets = shingle_sets(docs, pooled.select("lead.key"), shingle).join(pooled.select(F.col("lead.key").alias("key"), "node"), "key").select("node", "set")
+    gone = removed_nodes(pooled.select("pool", "node", F.col("lead").alias("rank")), sets, similarity)
+    stay = nodes.join(gone.distinct(), "node", "left_anti").select("lead.key")
+    others = written(prints.join(stay, "key", "left_anti").select("key").distinct(), "set-removed")
+    name = "__corvane_key"
+    kept = join_checked(docs.withColumn(name, doc_key()), others.select(F.col("key").alias(name)), name, "left_anti")
+    again = written(prints.groupBy("key").count().where("count > 1").select(F.col("key").alias(name)), "set-repeats")
+    if again.isEmpty():
+        return kept.drop(name)
+    once = join_checked(kept, again, name, "left_semi").dropDuplicates([name])
+    return join_checked(kept, again, name, "left_anti").unionByName(once).drop(name)
+
+
 def as_hex(fp: str = "fp"):
     """A fingerprint's 16 lower-case hex digits."""
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")

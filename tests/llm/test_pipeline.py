@@ -3,8 +3,8 @@ from pyspark.sql import functions as F
 import __spark_entry__
 import corpus_pipeline
 from corvane.llm.decontaminate import leaks
-from corvane.llm.simhash_dedup import near_groups
 from corvane.session import written
+from tests.llm.test_dedup import _first_kept
 
 
 def test_stages_one_after_the_other(spark, table_dir):
@@ -17,11 +17,8 @@ def test_stages_one_after_the_other(spark, table_dir):
     for name in ("quality_rules", "quality_classifier", "simhash_dedup", "decontamination"):
         assert kept[name].columns == read.columns
     assert kept["quality_rules"].count() < read.count()
-    once = kept["simhash_dedup"]
-    groups = near_groups(once)
-    assert groups.groupBy("component_id").count().where("count > 1 and component_id is not null").count() == 0
-    before = near_groups(kept["quality_classifier"])
-    assert before.where("component_id is not null").select("component_id").distinct().count() == once.where("doc_id is not null").count()
+    texts = [(r.doc_id, r.text) for r in kept["simhash_dedup"].collect()]
+    assert {d for d, _ in texts} == {d for d, _ in _first_kept([(r.doc_id, r.text) for r in kept["quality_classifier"].collect()])} and len(texts) == len(set(texts))
     assert leaks(kept["decontamination"], spark.read.parquet(f"{table_dir}/benchmark.parquet")).count() == 0
     assert kept["piece_encoding"].count() == kept["decontamination"].count()
     assert kept["piece_encoding"].where(F.size("piece_ids") == 0).count() == 0
