@@ -8,13 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm.common import join_checked
 from corvane.llm.decontaminate import decontaminated
 from corvane.llm.piece_codec import Vocabulary, encoded
 from corvane.llm.quality_gam import classify
 from corvane.llm.quality_rules import quality_rules
 from corvane.llm.queries import PIECE_MODEL
-from corvane.llm.simhash_dedup import near_groups
+from corvane.llm.simhash_dedup import without_similar
 from corvane.session import load, written
 
 COLUMNS = ("text", "lang", "source", "n_chars")
@@ -32,20 +31,11 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the least doc_id.
+    """One document of each near-duplicate group: five-word shingle sets at a Jaccard similarity of 0.8 or more.
 
-    Rows to drop are few beside rows to keep, so their ids go to the documents, not the
-    other way. A row that repeats a doc_id stays once; a row without a doc_id can't be
-    named, so it stays.
+    The first by doc_id stays; rows are told apart by doc_id and text.
     """
-    groups = near_groups(docs)
-    others = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    repeats = written(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "repeats")
-    kept = join_checked(docs, others, "doc_id", "left_anti")
-    if repeats.isEmpty():
-        return kept
-    once = join_checked(kept, repeats, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return join_checked(kept, repeats, "doc_id", "left_anti").unionByName(once)
+    return without_similar(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
