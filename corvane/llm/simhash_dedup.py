@@ -234,7 +234,7 @@ def set_prints(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, seed: int = SEED
 
 
 def shingle_sets(docs: DataFrame, keys: DataFrame, shingle: int = SIMILAR_SHINGLE, seed: int = SEED) -> DataFrame:
-    """``key`` and ``set`` (distinct shingle hashes) of the rows of ``docs`` that ``keys(key)`` names."""
+    """``key`` and ``set`` (distinct shingle hashes) of the rows of ``docs`` that ``keys(key)`` names, as often as they repeat."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, h, doc in _set_rows(batch, shingle, seed):
@@ -242,7 +242,7 @@ def shingle_sets(docs: DataFrame, keys: DataFrame, shingle: int = SIMILAR_SHINGL
                 yield pa.RecordBatch.from_arrays([batch.column("key").slice(a, b - a), made], names=["key", "set"])
 
     wanted = join_checked(docs.select(doc_key().alias("key"), "text"), keys, "key", "left_semi")
-    return wanted.mapInArrow(run, "key long, set array<long>").dropDuplicates(["key"])
+    return wanted.mapInArrow(run, "key long, set array<long>")
 
 
 def pools(nodes: DataFrame, similarity: float = SIMILARITY, chunk: int = 2 * CHUNK) -> DataFrame:
@@ -274,35 +274,39 @@ def _first_apart(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[pdf["place"].isin(kept)][["pool", "node"]]
 
 
-def removed_nodes(members: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, first: int = 4) -> DataFrame:
-    """The nodes of ``members(pool, node, rank)`` that are similar to a kept one before them; ``sets(node, set)`` are their shingles.
+def removed_nodes(members: DataFrame, similarity: float = SIMILARITY, first: int = 4) -> DataFrame:
+    """The nodes of ``members(pool, node, rank, set)`` that are similar to a kept one before them.
 
     A round takes the first candidates of every pool (``first`` of them, four times as many
-    in each further round up to ``MOST_HEADS``), compares them with all that is left of the pool, keeps those
-    that no kept one is similar to, and drops what is similar to them. Pools without rows
-    left are done; each round is written.
+    in each further round up to ``MOST_HEADS``), compares them with all that is left of the
+    pool, keeps those that no kept one is similar to, and drops what is similar to them.
+    Pools without rows left are done; each round is written. Candidates that nothing before
+    them is similar to are kept, and what is similar to those goes, as joins; only what then
+    is undecided is judged in order, ``MOST_HEADS`` rows a pool at most.
     """
     spark = members.sparkSession
-    left = members.join(sets, "node")
-    gone, take = None, first
-    while True:
-        left = written(left, "pool-members")
-        if left.isEmpty():
-            break
-        order = Window.partitionBy("pool").orderBy("rank")
-        heads = left.withColumn("place", F.row_number().over(order)).where(F.col("place") <= take).select("pool", F.col("node").alias("head"), "place", F.col("rank").alias("head_rank"), F.col("set").alias("head_set"))
-        heads = written(heads, "pool-heads")
+    left, gone, take = written(members, "pool-members"), None, first
+    while not left.isEmpty():
+        w = Window.partitionBy("pool").orderBy("rank")
+        places = left.select("pool", "node", F.row_number().over(w).alias("place"), F.lead("node").over(w).isNull().alias("last"))
+        own = written(places.where(F.col("place") <= take), "pool-heads")
+        heads = join_checked(left, own.where(~F.col("last")).select("node", "place"), "node", "inner").select("pool", F.col("node").alias("head"), "place", F.col("rank").alias("head_rank"), F.col("set").alias("head_set"))
+        others = join_checked(left, own.where("place = 1").select("node"), "node", "left_anti")  # nothing lies before the first
         shared = F.size(F.array_intersect("set", "head_set"))
         like = shared >= similarity * (F.size("set") + F.size("head_set") - shared) - 1e-9
-        close = join_checked(left, heads, "pool", "inner").where((F.col("rank") > F.col("head_rank")) & like).select("pool", "node", "head", "place")
+        sized = F.least(F.size("set"), F.size("head_set")) >= similarity * F.greatest(F.size("set"), F.size("head_set")) - 1e-9
+        close = join_checked(others, heads, "pool", "inner").where((F.col("rank") > F.col("head_rank")) & sized & like).select("pool", "node", "head", "place")
         close = written(close, "pool-links")
-        own = heads.select("pool", F.col("head").alias("node"), "place")
-        among = close.withColumnRenamed("place", "near").join(own.select("node", "place"), "node").groupBy("pool", "node", "place").agg(F.collect_list("near").alias("near"))
-        judged = own.join(among.select("node", "near"), "node", "left").select("pool", "node", "place", F.coalesce("near", F.expr("cast(array() as array<int>)")).alias("near"))
-        kept = written(judged.groupBy("pool").applyInPandas(_first_apart, "pool long, node long"), "pool-kept")  # ``take`` rows a pool at most
+        free = own.join(close.select("node").distinct(), "node", "left_anti").select("pool", "node")
+        beaten = close.join(free.select(F.col("node").alias("head")), "head", "left_semi").select("node").distinct()
+        near = close.withColumnRenamed("place", "near").join(own.select("node", "place"), "node").join(beaten, "node", "left_anti").join(beaten.withColumnRenamed("node", "head"), "head", "left_anti")
+        judged = near.groupBy("pool", "node", "place").agg(F.collect_list("near").alias("near"))
+        open_ones = own.join(free, ["pool", "node"], "left_anti").join(beaten, "node", "left_anti").select("pool", "node", "place")
+        judged = open_ones.join(judged.select("node", "near"), "node", "left").select("pool", "node", "place", F.coalesce("near", F.expr("cast(array() as array<int>)")).alias("near"))
+        kept = written(free.union(judged.groupBy("pool").applyInPandas(_first_apart, "pool long, node long")), "pool-kept")
         dropped = written(close.join(kept.select(F.col("node").alias("head")), "head", "left_semi").select("node").distinct(), "pool-dropped")
         gone = dropped if gone is None else gone.union(dropped)
-        left = left.join(dropped.union(own.select("node")).distinct(), "node", "left_anti")
+        left = written(join_checked(left, written(dropped.union(own.select("node")).distinct(), "pool-done"), "node", "left_anti"), "pool-members")
         take = min(4 * take, MOST_HEADS)
     return gone if gone is not None else spark.createDataFrame([], "node long")
 
@@ -313,14 +317,16 @@ def without_similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key"))
     nodes = written(prints.groupBy("node").agg(lead.alias("lead"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2")), "set-nodes")
     pooled = written(pools(nodes, similarity).join(nodes.select("node", "lead"), "node"), "set-pools")
-    sets = shingle_sets(docs, pooled.select("lead.key"), shingle).join(pooled.select(F.col("lead.key").alias("key"), "node"), "key").select("node", "set")
-    gone = removed_nodes(pooled.select("pool", "node", F.col("lead").alias("rank")), sets, similarity)
+    name = "__corvane_key"
+    again = written(prints.groupBy("key").count().where("count > 1").select(F.col("key").alias(name)), "set-repeats")
+    repeats = not again.isEmpty()
+    named = pooled.select(F.col("lead.key").alias("key"), "pool", "node", F.col("lead").alias("rank"))
+    members = join_checked(shingle_sets(docs, named.select("key"), shingle), named, "key", "inner").drop("key")
+    gone = removed_nodes(members.dropDuplicates(["node"]) if repeats else members, similarity)
     stay = nodes.join(gone.distinct(), "node", "left_anti").select("lead.key")
     others = written(prints.join(stay, "key", "left_anti").select("key").distinct(), "set-removed")
-    name = "__corvane_key"
     kept = join_checked(docs.withColumn(name, doc_key()), others.select(F.col("key").alias(name)), name, "left_anti")
-    again = written(prints.groupBy("key").count().where("count > 1").select(F.col("key").alias(name)), "set-repeats")
-    if again.isEmpty():
+    if not repeats:
         return kept.drop(name)
     once = join_checked(kept, again, name, "left_semi").dropDuplicates([name])
     return join_checked(kept, again, name, "left_anti").unionByName(once).drop(name)
