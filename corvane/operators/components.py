@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from corvane.session import new_path, remove
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: Edges of a round beyond which hubs are looked for, and the share of them that makes a node a hub.
+MANY_EDGES, HUB_SHARE = 1_000_000, 0.001
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60, many_edges: int = MANY_EDGES) -> DataFrame:
     """``(node, component)`` for every node of ``edges(src, dst)``; component = least node reachable.
 
     Large-star and small-star steps alternate: each node hangs its neighbours on the
@@ -16,6 +20,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     log(n) rounds, whatever the diameter. A round is two grouped minima, pre-aggregated
     before their shuffle, and two equi-joins; each round's edges are written to the
     shared folder, so lineage stays one round long and a lost executor costs one round.
+    A node that holds a thousandth of a large round's edges is a hub: there are at most two
+    thousand of those, so their minima are broadcast and their edges stay where they are.
     Self-loops keep isolated nodes in the result; null ends are dropped; no edges give no rows.
     """
     spark = edges.sparkSession
@@ -28,10 +34,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     nodes = spark.read.parquet(node_path)
     current, path = whole.where("src <> dst"), given
     state = None
+    n_edges = current.count()
     for _ in range(max_rounds):
         both = current.union(current.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         least = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
-        large = both.where("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
+        up = both.where("dst > src")
+        if n_edges > many_edges:
+            hubs = both.groupBy("src").agg(F.min("dst").alias("m"), F.count("*").alias("n")).where(F.col("n") > 2 * n_edges * HUB_SHARE).select("src", F.least("src", "m").alias("hub_m"))
+            marked = up.join(F.broadcast(hubs), "src", "left")
+            large = marked.where("hub_m is not null").select(F.col("dst").alias("src"), F.col("hub_m").alias("dst")).union(marked.where("hub_m is null").join(least, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")))
+        else:
+            large = up.join(least, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
         down = large.where("src <> dst").distinct()
         lower = down.groupBy("src").agg(F.min("dst").alias("m"))
         small = down.join(lower, "src").select(F.explode(F.array(F.struct(F.col("src").alias("src"), F.col("m").alias("dst")), F.struct(F.col("dst").alias("src"), F.col("m").alias("dst")))).alias("e")).select("e.src", "e.dst")
@@ -43,7 +56,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         seen = current.agg(F.count("*"), F.bit_xor(F.xxhash64("src", "dst")), F.sum(F.hash("src", "dst").cast("long"))).first()
         if tuple(seen) == state:
             break
-        state = tuple(seen)
+        state, n_edges = tuple(seen), seen[0]
     else:
         raise RuntimeError(f"no fixed point in {max_rounds} rounds")
     return nodes.join(current.select(F.col("src").alias("node"), F.col("dst").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -176,3 +176,13 @@ def test_report_tree(spark, tmp_path):
     (folder / "s5.txt").write_text("line one\nline two\n")
     row = readers.report_tree(spark, str(tmp_path)).first()
     assert (row.group, row.patient, row.study, row.text) == ("p10", "p10001", "s5", "line one\nline two\n")
+
+
+def test_components_with_hubs(spark):
+    from corvane.operators.components import connected_components
+
+    edges = [(0, i) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000 + i, 399) for i in range(50)] + [(7000, 7000)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    got = {r.node: r.component for r in connected_components(df, many_edges=0).collect()}
+    assert got == {r.node: r.component for r in connected_components(df).collect()}
+    assert {got[i] for i in (0, 7, 399, 5049)} == {0} and {got[1000 + i] for i in range(41)} == {1000} and got[7000] == 7000
