@@ -16,7 +16,7 @@ seed, doc_id and the unit's place, so each occurrence of a word has skips of its
 Equal units of a chunk are worked out once only where no key matters, at rate 0, or where
 a caller bounds the keys to ``variants`` values.
 
-Batches of ids leave a task in chunks of about two megabytes of text.
+Batches of ids leave a task in chunks of about a megabyte of text, and are decoded in chunks.
 
 Decoding joins the pieces' bytes again, so encoding loses nothing: a character without a
 piece becomes byte pieces, and so does U+2581, which would read as a space otherwise.
@@ -40,12 +40,14 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import CHUNK_BYTES, Scan, chunks, mix, texts_of
+from corvane.llm.common import Scan, chunks, mix, texts_of
 
 RATE = 0.1
 SEED = 20240901
 #: Bytes of units that go through their agendas at once; a longer unit is a run of its own.
 RUN_BYTES = 1 << 18
+#: Ids that are decoded at once; a longer row is a chunk of its own.
+DECODE_IDS = 1 << 18
 #: Characters beyond which a unit goes through its agenda alone.
 LONG = 256
 _NONE = np.int64(1) << 40
@@ -332,7 +334,7 @@ def encoded(docs: DataFrame, voc: Vocabulary, rate: float = RATE, seed: int = SE
         for batch in batches:
             data, bounds = texts_of(batch.column("text"))
             doc = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
-            for a, b, part, cut in chunks(data, bounds, 2 * CHUNK_BYTES):
+            for a, b, part, cut in chunks(data, bounds):
                 ids, at = encode_texts(own, part, cut, doc[a:b], rate, seed, variants)
                 made = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("doc_id", *carry)), made], names=["doc_id", *carry, "piece_ids"])
@@ -351,10 +353,11 @@ def decoded(rows: DataFrame, voc: Vocabulary, carry: tuple[str, ...] = ()) -> Da
         own = shared.value
         for batch in batches:
             column = batch.column("piece_ids")
-            bounds = column.offsets.to_numpy()
-            texts = decode_ids(own, column.values.to_numpy()[bounds[0] : bounds[-1]], bounds - bounds[0])
-            gone = column.is_null().to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array([None if g else t for g, t in zip(gone, texts, strict=True)], pa.string())], names=[*carry, "decoded"])
+            bounds, gone = column.offsets.to_numpy().astype(np.int64), column.is_null().to_numpy(zero_copy_only=False)
+            values = column.values.to_numpy()[bounds[0] : bounds[-1]]
+            for a, b, part, cut in chunks(values, bounds - bounds[0], DECODE_IDS):
+                texts = [None if g else t for g, t in zip(gone[a:b], decode_ids(own, part, cut), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in carry), pa.array(texts, pa.string())], names=[*carry, "decoded"])
 
     types = dict(rows.dtypes)
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in carry), "decoded string"])
