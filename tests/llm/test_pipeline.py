@@ -24,6 +24,22 @@ def test_stages_one_after_the_other(spark, table_dir):
     assert kept["piece_encoding"].where(F.size("piece_ids") == 0).count() == 0
 
 
+def test_empty_and_clashing_tables(spark, table_dir, empty_docs, tmp_path):
+    """No documents give no rows; extra columns named like those of the stages change nothing."""
+    none, wide = tmp_path / "none", tmp_path / "wide"
+    documents = spark.read.parquet(f"{table_dir}/documents.parquet").where("doc_id < 40")
+    for name in ("labels", "benchmark"):
+        for where in (none, wide):
+            spark.read.parquet(f"{table_dir}/{name}.parquet").write.parquet(f"{where}/{name}.parquet")
+    empty_docs.write.parquet(f"{none}/documents.parquet")
+    clash = {c: F.lit("clash") for c in ("kept", "key", "node", "pool", "rank", "n", "fp", "h", "words", "doc_key", "score", "llr", "piece_ids")}
+    documents.withColumns(clash).write.parquet(f"{wide}/documents.parquet")
+    made = corpus_pipeline.run(spark, str(none))
+    assert made.collect() == []
+    rows = corpus_pipeline.run(spark, str(wide))
+    assert rows.columns == made.columns and rows.count() > 0
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
