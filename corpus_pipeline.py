@@ -2,6 +2,11 @@
 
 Rules, classifier, near-duplicate removal and decontamination drop documents and keep the
 columns of ``documents``; the last stage turns what is left into SentencePiece ids.
+
+Defined cases: an empty table gives no rows; columns beyond those of ``documents`` are left
+behind by the first stage, whatever their names; null, empty and very short texts fail the
+base rules; very long texts are taken whole by every stage; of rows equal in doc_id and text
+one stays; rows of one doc_id with different texts are judged each on its own.
 """
 
 from __future__ import annotations
