@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from corvane.session import new_path, remove
 
 
-#: Edges of a round beyond which hubs are looked for, and the share of them that makes a node a hub.
-MANY_EDGES, HUB_SHARE = 1_000_000, 0.001
+#: Edges of a round beyond which hubs are looked for (fewer fit in any task), and the share of them that makes a node a hub.
+MANY_EDGES, HUB_SHARE = 10_000, 0.001
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60, many_edges: int = MANY_EDGES) -> DataFrame:
