@@ -54,6 +54,8 @@ CHUNK = 1024
 WAYS, STRIP = 16, 128
 #: Candidates of a pool that one round takes at most; they are judged in one task.
 MOST_HEADS = 1024
+#: Rows of a pool that are compared with its candidates under one join key, on average.
+POOL_PART = 1024
 #: Shingles and Jaccard similarity of ``without_similar``.
 SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
 #: Bits that two documents at the similarity may differ by, in the first 64 and in all 128: beyond it lie one in ten thousand and one in a thousand.
@@ -282,20 +284,27 @@ def removed_nodes(members: DataFrame, similarity: float = SIMILARITY, first: int
     pool, keeps those that no kept one is similar to, and drops what is similar to them.
     Pools without rows left are done; each round is written. Candidates that nothing before
     them is similar to are kept, and what is similar to those goes, as joins; only what then
-    is undecided is judged in order, ``MOST_HEADS`` rows a pool at most.
+    is undecided is judged in order, ``MOST_HEADS`` rows a pool at most. A large pool's rows
+    lie under several keys, its candidates under each of them, so no task holds a pool, and
+    of the rows only each task's first candidates are ranked.
     """
     spark = members.sparkSession
     left, gone, take = written(members, "pool-members"), None, first
     while not left.isEmpty():
         w = Window.partitionBy("pool").orderBy("rank")
-        places = left.select("pool", "node", F.row_number().over(w).alias("place"), F.lead("node").over(w).isNull().alias("last"))
-        own = written(places.where(F.col("place") <= take), "pool-heads")
-        heads = join_checked(left, own.where(~F.col("last")).select("node", "place"), "node", "inner").select("pool", F.col("node").alias("head"), "place", F.col("rank").alias("head_rank"), F.col("set").alias("head_set"))
+        sizes = left.groupBy("pool").agg(F.max("rank").alias("end"), F.ceil(F.count("*") / POOL_PART).alias("ways"))
+        firsts = left.select("pool", "node", "rank", F.row_number().over(w).alias("place")).where(F.col("place") <= take)
+        own = firsts.join(sizes, "pool").select("pool", "node", "place", "ways", (F.col("rank.key") == F.col("end.key")).alias("last"))
+        own = written(own, "pool-heads")
+        heads = join_checked(left, own.where(~F.col("last")).select("node", "place", "ways"), "node", "inner")
+        heads = heads.select("pool", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ways") - 1)).alias("way"), F.col("node").alias("head"), "place", F.col("rank").alias("head_rank"), F.col("set").alias("head_set"))
         others = join_checked(left, own.where("place = 1").select("node"), "node", "left_anti")  # nothing lies before the first
+        others = join_checked(others, own.where("place = 1 and ways > 1").select("pool", "ways"), "pool", "left")
+        others = others.withColumn("way", F.pmod(F.xxhash64("node"), F.coalesce("ways", F.lit(1).cast("long")))).drop("ways")
         shared = F.size(F.array_intersect("set", "head_set"))
         like = shared >= similarity * (F.size("set") + F.size("head_set") - shared) - 1e-9
         sized = F.least(F.size("set"), F.size("head_set")) >= similarity * F.greatest(F.size("set"), F.size("head_set")) - 1e-9
-        close = join_checked(others, heads, "pool", "inner").where((F.col("rank") > F.col("head_rank")) & sized & like).select("pool", "node", "head", "place")
+        close = others.join(heads.hint("merge"), ["pool", "way"]).where((F.col("rank") > F.col("head_rank")) & sized & like).select("pool", "node", "head", "place")
         close = written(close, "pool-links")
         free = own.join(close.select("node").distinct(), "node", "left_anti").select("pool", "node")
         beaten = close.join(free.select(F.col("node").alias("head")), "head", "left_semi").select("node").distinct()
