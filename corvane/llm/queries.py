@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from corvane.llm.chat_windows import BUDGET, CONTROL, HISTORY, MARK_TOKENS, PIECES, digests, windows
 from corvane.llm.decontaminate import leaks
+from corvane.llm.fill_middle import fill_in_middle, restored
+from corvane.llm.hard_negatives import hard_negatives
 from corvane.llm.license_scan import PHRASES, WORD_BREAK, license_scan, rules
+from corvane.llm.phrase_repeats import repeats_removed
 from corvane.llm.piece_codec import Vocabulary, decoded, encoded
 from corvane.llm.quality_gam import classify
 from corvane.llm.quality_rules import quality_rules
@@ -146,6 +149,23 @@ select h.conv_id, n_turns, turns_sha256, cast(length(loss) as bigint) loss_chars
 from h join g on h.conv_id is not distinct from g.conv_id"""
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form, lengths and digests of every document's fill-in-middle output, and of the text rebuilt from it."""
+    made = fill_in_middle(load(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op12_phrase_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without the 50-word passages that stand in an earlier one."""
+    return repeats_removed(load(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every vector whose id is divisible by 100, among all vectors; every seventh label is moved on by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(load(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -157,6 +177,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_warc": op9_warc,
     "op10_chat_windows": op10_chat_windows,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_phrase_repeats": op12_phrase_repeats,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -170,4 +193,33 @@ select page_id, payload_bytes, payload_digest,
 from k""",
     "op3_license_scan": _license_sql(),
     "op10_chat_windows": _chat_sql(),
+    "op11_fill_middle": r"""
+with d as (select doc_id, coalesce(text, '') t, sha256('42:' || coalesce(doc_id::varchar, '')) h from documents),
+u as (select *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') k from d),
+r as (select *, len(k) n, ('0x' || substr(h, 1, 8))::bigint % (len(k) + 1) a, ('0x' || substr(h, 9, 8))::bigint % (len(k) + 1) b,
+             case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or ('0x' || substr(h, 17, 8))::bigint % 100 >= 50 then 'plain'
+                  when ('0x' || substr(h, 25, 8))::bigint % 100 < 80 then 'spm' else 'psm' end form from u),
+c as (select *, array_to_string(k[1:least(a, b)], '') p, array_to_string(k[least(a, b) + 1:greatest(a, b)], '') m, array_to_string(k[greatest(a, b) + 1:], '') s from r)
+select doc_id, n, form, case when form <> 'plain' then length(p) end prefix_chars, case when form <> 'plain' then length(m) end middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) output_sha256,
+       sha256(t) restored_sha256
+from c""",
+    "op12_phrase_repeats": r"""
+with d as (select row_number() over () r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+n as (select r, coalesce(doc_id, 9223372036854775807) rank, unnest(range(1, len(w) - 48)) i, w from d where len(w) >= 50),
+h as (select r, rank, i, md5(array_to_string(w[i:i + 49], ' ')) h from n),
+g as (select r, i from h qualify rank > min(rank) over (partition by h)),
+p as (select distinct r, unnest(range(i, i + 50)) i from g),
+x as (select r, list(i) gone from p group by r)
+select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(len(gone), 0) as bigint) n_removed,
+       sha256(array_to_string(case when gone is null then w else list_filter(w, lambda v, k: not list_contains(gone, k)) end, ' ')) kept_sha256
+from d left join x using (r)""",
+    "op13_hard_negatives": """
+with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end lab, list_transform(embedding, lambda x: floor(256 * x::double)) v from embeddings
+           where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id anchor_id, b.vec_id, a.lab = b.lab same, cast(list_inner_product(a.v, b.v) as bigint) score from e a join e b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (select anchor_id, vec_id positive_id, score positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+n as (select p.*, s.vec_id negative_id, s.score negative_score, row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.vec_id) as rank
+      from p join s using (anchor_id) where not same and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score)
+select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from n where rank <= 10""",
 }
