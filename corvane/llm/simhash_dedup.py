@@ -13,9 +13,12 @@ counts. No link is missed and none is guessed. A tile pair returns its links as
 parted by the sets' sizes too (similar sets have like sizes), two fingerprints of 128 bits
 in all are compared at a wide radius, and what is within it in a chain is a pool. In each
 pool the first document is kept, those similar to it go, and so on with what is left, a few
-documents at a time; similarity is exact, on the whole sets. So every document that goes is
+documents at a time; after a few rounds what is left is parted again by its rare shingles, so
+that rows that are near but not similar cost no further rounds; similarity is exact, on the
+whole sets. So every document that goes is
 similar to one that stays, and no two that stay are similar, unless the radius lost them:
-at similarity 0.8 it loses one pair in a thousand, above that fewer.
+at similarity 0.8 it loses one pair in a thousand (three for texts of about 15 shingles), above
+that fewer.
 
 Defined cases: a text without words (null and empty too) has fingerprint zero and links
 like any other; repeated rows share a group; very long texts are hashed whole; a group's id
@@ -41,7 +44,7 @@ from pyspark.sql import functions as F
 from corvane.llm.common import LOWER, Scan, chunks, join_checked, mix, texts_of
 from corvane.llm.decontaminate import doc_key
 from corvane.operators.components import connected_components
-from corvane.session import written
+from corvane.session import new_path, remove, written
 
 RADIUS = 2
 SHINGLE = 3
@@ -54,6 +57,8 @@ CHUNK = 1024
 WAYS, STRIP = 16, 128
 #: Candidates of a pool that one round takes at most; they are judged in one task.
 MOST_HEADS = 1024
+#: Rounds of a pool after which what is left of it is parted again by its rare shingles.
+WIDE_ROUNDS = 3
 #: Rows of a pool that are compared with its candidates under one join key, on average.
 POOL_PART = 1024
 #: Shingles and Jaccard similarity of ``without_similar``.
@@ -276,26 +281,61 @@ def _first_apart(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[pdf["place"].isin(kept)][["pool", "node"]]
 
 
+def finer_pools(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``members(pool, node, rank, set)`` in finer pools, without the rows that are similar to no other.
+
+    With a pool's shingles in order from rare to common, two sets at similarity ``t`` share one
+    of the first ``n - ceil(t * n) + 1`` shingles of the larger and the first
+    ``n - ceil(2 * t / (1 + t) * n) + 1`` of the smaller. Rows are joined by those, as stars
+    to the least row that has the shingle among its fewer first ones, and a new pool is a
+    chain of them. Pages of one template that are less than similar differ in more than their
+    first shingles, so they fall apart here, however many they are. Shingles of one row alone
+    come first, so only common ones are joined.
+    """
+    shingles = written(members.select("pool", "node", F.size("set").alias("n"), F.explode("set").alias("h")), "pool-shingles")
+    common = written(shingles.groupBy("pool", "h").agg(F.count("*").alias("rows")).where("rows > 1"), "pool-common")
+    own = Window.partitionBy("node")
+    shared = shingles.join(common, ["pool", "h"]).withColumn("place", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("rows", "h")))
+    within = lambda t: F.col("place") <= F.col("n") - F.ceil(t * F.col("n") - 1e-9) + 1
+    first = written(shared.where(within(similarity)).select("pool", "h", "node", within(2 * similarity / (1 + similarity)).alias("fewer")), "pool-prefixes")
+    edges = first.join(first.where("fewer").groupBy("pool", "h").agg(F.min("node").alias("dst")), ["pool", "h"]).select(F.col("node").alias("src"), "dst")
+    chains = written(connected_components(edges.where("src <> dst")).select("node", F.col("component").alias("pool")), "pool-chains")
+    return join_checked(members.drop("pool"), chains, "node", "inner").select("pool", "node", "rank", "set")
+
+
 def removed_nodes(members: DataFrame, similarity: float = SIMILARITY, first: int = 4) -> DataFrame:
     """The nodes of ``members(pool, node, rank, set)`` that are similar to a kept one before them.
 
     A round takes the first candidates of every pool (``first`` of them, four times as many
     in each further round up to ``MOST_HEADS``), compares them with all that is left of the
     pool, keeps those that no kept one is similar to, and drops what is similar to them.
-    Pools without rows left are done; each round is written. Candidates that nothing before
+    Pools without rows left are done; each round is written, and the round before it deleted.
+    What is left after ``WIDE_ROUNDS`` rounds lies in ``finer_pools`` from then on, so rounds
+    aren't spent on rows that are only near. Candidates that nothing before
     them is similar to are kept, and what is similar to those goes, as joins; only what then
     is undecided is judged in order, ``MOST_HEADS`` rows a pool at most. A large pool's rows
     lie under several keys, its candidates under each of them, so no task holds a pool, and
     of the rows only each task's first candidates are ranked.
     """
     spark = members.sparkSession
-    left, gone, take = written(members, "pool-members"), None, first
+    paths: list[str] = []  # of the round
+
+    def put(df: DataFrame, label: str) -> DataFrame:
+        paths.append(new_path(spark, label))
+        df.write.parquet(paths[-1])
+        return spark.read.schema(df.schema).parquet(paths[-1])
+
+    left, gone, take, turn = put(members, "pool-members"), None, first, 0
     while not left.isEmpty():
+        turn += 1
+        if turn == WIDE_ROUNDS + 1:
+            left, take = put(finer_pools(left, similarity), "pool-members"), first
+        superseded, paths = paths, []
         w = Window.partitionBy("pool").orderBy("rank")
         sizes = left.groupBy("pool").agg(F.max("rank").alias("end"), F.ceil(F.count("*") / POOL_PART).alias("ways"))
         firsts = left.select("pool", "node", "rank", F.row_number().over(w).alias("place")).where(F.col("place") <= take)
         own = firsts.join(sizes, "pool").select("pool", "node", "place", "ways", (F.col("rank.key") == F.col("end.key")).alias("last"))
-        own = written(own, "pool-heads")
+        own = put(own, "pool-heads")
         heads = join_checked(left, own.where(~F.col("last")).select("node", "place", "ways"), "node", "inner")
         heads = heads.select("pool", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ways") - 1)).alias("way"), F.col("node").alias("head"), "place", F.col("rank").alias("head_rank"), F.col("set").alias("head_set"))
         others = join_checked(left, own.where("place = 1").select("node"), "node", "left_anti")  # nothing lies before the first
@@ -305,17 +345,19 @@ def removed_nodes(members: DataFrame, similarity: float = SIMILARITY, first: int
         like = shared >= similarity * (F.size("set") + F.size("head_set") - shared) - 1e-9
         sized = F.least(F.size("set"), F.size("head_set")) >= similarity * F.greatest(F.size("set"), F.size("head_set")) - 1e-9
         close = others.join(heads.hint("merge"), ["pool", "way"]).where((F.col("rank") > F.col("head_rank")) & sized & like).select("pool", "node", "head", "place")
-        close = written(close, "pool-links")
+        close = put(close, "pool-links")
         free = own.join(close.select("node").distinct(), "node", "left_anti").select("pool", "node")
         beaten = close.join(free.select(F.col("node").alias("head")), "head", "left_semi").select("node").distinct()
         near = close.withColumnRenamed("place", "near").join(own.select("node", "place"), "node").join(beaten, "node", "left_anti").join(beaten.withColumnRenamed("node", "head"), "head", "left_anti")
         judged = near.groupBy("pool", "node", "place").agg(F.collect_list("near").alias("near"))
         open_ones = own.join(free, ["pool", "node"], "left_anti").join(beaten, "node", "left_anti").select("pool", "node", "place")
         judged = open_ones.join(judged.select("node", "near"), "node", "left").select("pool", "node", "place", F.coalesce("near", F.expr("cast(array() as array<int>)")).alias("near"))
-        kept = written(free.union(judged.groupBy("pool").applyInPandas(_first_apart, "pool long, node long")), "pool-kept")
+        kept = put(free.union(judged.groupBy("pool").applyInPandas(_first_apart, "pool long, node long")), "pool-kept")
         dropped = written(close.join(kept.select(F.col("node").alias("head")), "head", "left_semi").select("node").distinct(), "pool-dropped")
         gone = dropped if gone is None else gone.union(dropped)
-        left = written(join_checked(left, written(dropped.union(own.select("node")).distinct(), "pool-done"), "node", "left_anti"), "pool-members")
+        left = put(join_checked(left, put(dropped.union(own.select("node")).distinct(), "pool-done"), "node", "left_anti"), "pool-members")
+        for path in superseded:
+            remove(spark, path)
         take = min(4 * take, MOST_HEADS)
     return gone if gone is not None else spark.createDataFrame([], "node long")
 

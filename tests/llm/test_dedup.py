@@ -5,7 +5,8 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from corvane.llm.simhash_dedup import as_hex, links, near_groups, pools, set_prints, without_similar
+from corvane.llm import simhash_dedup
+from corvane.llm.simhash_dedup import as_hex, finer_pools, links, near_groups, pools, set_prints, without_similar
 from corvane.operators.components import connected_components
 
 
@@ -150,3 +151,41 @@ def test_pools_hold_similar_sets(spark):
     close = [g for g in range(300) if _jaccard(_shingles(rows[2 * g][1]), _shingles(rows[2 * g + 1][1])) >= 0.8]
     missed = [g for g in close if 2 * g not in found or found[2 * g] != found.get(2 * g + 1)]
     assert len(close) > 100 and len(missed) <= 1
+
+
+def test_pages_of_one_template_take_few_rounds(spark, monkeypatch):
+    """Rows that share about 75 % are near but not similar: they are parted, not compared round by round."""
+    rng = random.Random(8)
+    frame = [f"t{i}" for i in range(300)]
+    rows = []
+    for i in range(3000):
+        cut = rng.randrange(1, 4)
+        own = [f"p{i}x{k}" for k in range(45)]
+        rows.append((i, " ".join(frame[:250] + own + frame[250 + cut :])))
+    rows += [(4000 + k, " ".join(_edited(rng, rows[7 * k][1].split(), 2))) for k in range(60)]
+    assert 0.7 < _jaccard(_shingles(rows[0][1]), _shingles(rows[1][1])) < 0.8
+    turns = []
+    whole = simhash_dedup.new_path
+    monkeypatch.setattr(simhash_dedup, "new_path", lambda spark, label: (turns.append(label), whole(spark, label))[1])
+    got = {r.doc_id for r in without_similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i for i in range(3000)}
+    assert turns.count("pool-heads") <= simhash_dedup.WIDE_ROUNDS + 2
+
+
+def test_finer_pools_lose_no_similar_pair(spark):
+    rng = random.Random(9)
+    sets = []
+    for g in range(60):
+        base = set(rng.sample(range(100_000), rng.randint(5, 80)))
+        for _ in range(6):
+            s = set(base)
+            for x in rng.sample(sorted(base), rng.randint(0, max(1, len(base) // 6))):
+                s.discard(x)
+            s |= {rng.randrange(2000) for _ in range(rng.randint(0, len(base) // 8))}
+            sets.append(sorted(s or {1}))
+    rows = [(1, i, (False, i, i), s) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "pool long, node long, rank struct<unnamed: boolean, doc_id: long, key: long>, set array<long>")
+    pool = {r.node: r.pool for r in finer_pools(df).collect()}
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if _jaccard(set(sets[i]), set(sets[j])) >= 0.8]
+    assert len(pairs) > 100 and all(i in pool and pool[i] == pool.get(j) for i, j in pairs)
+    assert len(set(pool.values())) > 10
