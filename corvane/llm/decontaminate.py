@@ -15,7 +15,10 @@
    so the search is completed: such a pair shares at least t / (2 - t) of the item's mass.
    With the item's shingles in a fixed order, heaviest first, it shares one of the first
    ones, up to where the rest alone would weigh less than that. A join on those finds the
-   pairs that the radius leaves out; nothing that meets the threshold is lost.
+   pairs that the radius leaves out; nothing that meets the threshold is lost. This join
+   alone would find every pair, those within the radius too: the index guarantees its radius
+   but not the threshold. ``complete=False`` leaves the join out and returns what the index
+   alone finds.
 5. Each candidate is verified with the exact weighted Dice similarity of the two bags of
    ``shingle`` words; a shingle weighs one over the number of items that hold it, so
    text that all items share counts little.
@@ -99,7 +102,7 @@ def within_radius(windows: DataFrame, items: DataFrame, radius: int = RADIUS) ->
     return probes.join(index, ["n", "block", "value"]).where(near).drop("block", "value").distinct()
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, radius: int = RADIUS, complete: bool = True) -> DataFrame:
     """The best window of each leaked item in each document.
 
     ``doc_key, doc_id, item_id, start_word, n_words, similarity, distance``.
@@ -145,7 +148,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, s
     rest = item_bags.withColumn("rest", F.sum(theirs).over(order)).join(item_prints.select("item_key", "item_mass"), "item_key")
     prefix = rest.where(F.col("rest") >= F.col("item_mass") * (threshold / (2 - threshold)) - 1e-6).select("item_key", "n", "h")
     far = bags.select(*at, "h").join(prefix, ["n", "h"]).select(*at, "item_key")
-    found = near.union(far).distinct()
+    found = near.union(far).distinct() if complete else near
     shared = (
         found.join(bags, at).join(item_bags.select("item_key", "h", "ic"), ["item_key", "h"])
         .groupBy(*at, "item_key").agg(F.sum(F.least("c", "ic") * F.col("weight")).alias("shared"))

@@ -46,12 +46,11 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _license_sql() -> str:
-    """Op3 in SQL: of every text and template, the block that begins at each template word."""
+    """Op3 in SQL: of every text and template, the block that begins at each template word, its tight part, and the best of those that overlap."""
     quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]::varchar[]"
     split = lambda x: f"list_filter(regexp_split_to_array({x}, '{WORD_BREAK}'), lambda w: w <> '')"
     made = rules()
     templates = " union all ".join(f"select {k} k, '{r.label}' label, {quoted(r.words)} own, {r.need} need, {r.span} span, {quoted(r.must)} must, {quoted(r.barred)} barred" for k, r in enumerate(made))
-    held = " ".join(f"when {k} then list(word) over (partition by r, k order by pos range between current row and {r.span - 1} following)" for k, r in enumerate(made))
     places = []
     for phrase, label in PHRASES.items():
         parts = phrase.split()
@@ -64,17 +63,21 @@ with d as (select row_number() over () r, doc_id, translate(coalesce(text, ''),
 w as (select r, doc_id, {split('low')} words from d),
 b as (select r, doc_id, len(words) n, {union} places, list_filter([{base}], lambda x: x is not null) base from w),
 t as ({templates}),
-h as (select r, unnest(words) word, unnest(range(len(words))) pos from w),
-o as (select w.r, t.* from w, t where len(list_intersect(must, words)) = len(must)),
-s as (select h.word, h.pos, o.* from h join o using (r) where list_contains(own || barred, word)),
-v as (select *, case k {held} end block from s),
-m as (select r, list(distinct label) found, max(round(len(list_intersect(own, block)) / len(own), 6)) best from v
-      where list_contains(own, word) and len(list_intersect(own, block)) >= need and len(list_intersect(must, block)) = len(must) and len(list_intersect(barred, block)) = 0
+o as (select w.r, w.words, t.* from w, t where len(list_intersect(own, words)) >= need and len(list_intersect(must, words)) = len(must)),
+s as (select * exclude (words), unnest(list_filter(range(0, len(words)), lambda i: list_contains(own, words[i + 1]))) pos, words from o),
+v as (select * exclude (words), words[pos + 1 : pos + span] block from s),
+m as (select *, list_filter(range(need, len(block) + 1), lambda j: len(list_intersect(own, block[1:j])) >= need and len(list_intersect(must, block[1:j])) = len(must)) ends from v where len(list_intersect(own, block)) >= need),
+e as (select distinct r, label, pos, ends[1] length, round(len(list_intersect(own, block)) / len(own), 6) share from m where len(ends) > 0 and len(list_intersect(barred, block[1:ends[1]])) = 0),
+g as (select * from e where not exists (select 1 from e a where a.r = e.r and a.label = e.label and a.pos < e.pos + e.length and e.pos < a.pos + a.length
+                        and (a.length < e.length or a.length = e.length and (a.share > e.share or a.share = e.share and a.pos < e.pos)))),
+f as (select r, list(distinct label) found, max(share) best from g
+      where not exists (select 1 from g a where a.r = g.r and a.label <> g.label and a.pos < g.pos + g.length and g.pos < a.pos + a.length
+                        and (a.length < g.length or a.length = g.length and (a.share > g.share or a.share = g.share and a.label < g.label)))
       group by r)
 select doc_id, cast(n as bigint) n_words, cast(len(places) as bigint) n_base, list_min(places) first_word, list_max(places) last_word,
        array_to_string(list_sort(base), ',') base_labels, array_to_string(list_sort(list_distinct(base || coalesce(found, []))), ',') labels,
        case when len(places) > 0 then 1.0 else coalesce(best, 0.0) end::double score
-from b left join m using (r)"""
+from b left join f using (r)"""
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

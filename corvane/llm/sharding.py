@@ -32,8 +32,8 @@ from corvane.llm.common import join_checked
 from corvane.session import written
 
 SEED = 90210
-#: Rows of one ordering bucket, about.
-BUCKET_ROWS = 50_000
+#: Rows of one ordering bucket, about, and tasks that order buckets at most (each then orders several, one after the other).
+BUCKET_ROWS, MOST_PARTS = 8192, 1 << 16
 _P, _I, _K, _B, _O = (f"__corvane_{x}" for x in ("partition", "place", "key", "bucket", "offset"))
 
 
@@ -106,4 +106,6 @@ def sharded(rows: DataFrame, shards: int, seed: int = SEED, bucket_rows: int = B
     before = Window.partitionBy("shard").orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("shard", _B, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(_O))
     rank = F.row_number().over(Window.partitionBy("shard", _B).orderBy(_K, _P, _I))
+    parts = min(shards << bits, max(spark.sparkContext.defaultParallelism, 2 * -(-sum(counts.values()) // bucket_rows)), MOST_PARTS)
+    keyed = keyed.repartition(parts, "shard", _B)  # by the rows counted, whatever the session's number of partitions
     return join_checked(keyed.withColumn("slot", rank.cast("long") - 1), offsets, ["shard", _B], "inner").withColumn("slot", F.col("slot") + F.col(_O)).drop(_P, _I, _K, _B, _O)

@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.llm.decontaminate import decontaminated, leaks
+from corvane.llm.decontaminate import RADIUS, decontaminated, leaks
 
 
 def _words(t):
@@ -135,3 +135,14 @@ def test_edits_down_to_the_threshold_are_found(spark):
     got = {(r.doc_id, r.item_id): r.similarity for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert set(got) == set(expected) and len(got) > 200
     assert all(abs(s - expected[p]) < 1e-6 for p, s in got.items())
+
+
+def test_the_index_alone_finds_what_lies_within_its_radius(planted):
+    """Of all leaks, the index finds those within the radius and no others; the join adds the rest."""
+    docs, bench, _, _ = planted
+    both = {(r.doc_id, r.item_id, r.similarity) for r in leaks(docs, bench).collect()}
+    alone = {(r.doc_id, r.item_id, r.similarity): r.distance for r in leaks(docs, bench, complete=False).collect()}
+    assert all(d <= RADIUS for d in alone.values())
+    pairs, indexed = {p[:2] for p in both}, {p[:2] for p in alone}
+    assert indexed <= pairs and 0.6 * len(pairs) < len(indexed) <= len(pairs)
+    assert {p[:2] for p in both if p[2] > 0.97} <= indexed
