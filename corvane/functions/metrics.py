@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions.stems import stem
 from corvane.functions.text import words
 
 
@@ -126,37 +128,60 @@ def rouge_l(prediction: Column, reference: Column) -> Column:
     return run(prediction, reference)
 
 
-def _stem(word: str) -> str:
-    """A word without a common English ending."""
-    for end in ("ingly", "edly", "ing", "ies", "ed", "es", "ly", "s"):
-        if word.endswith(end) and len(word) - len(end) >= 3:
-            return word[: -len(end)]
-    return word
+#: Partial alignments kept at each word; alignments of sentences rarely have more that differ.
+BEAM = 64
+
+
+def word_alignment(p: list[str], r: list[str], beam: int = BEAM) -> list[tuple[int, int]]:
+    """Pairs of places: as many equal words as there can be, among the rest as many equal stems, with the fewest chunks, then the fewest crossings.
+
+    Of a word, and of a stem, the number of pairs is the smaller of its two counts, so only
+    *which* of its places are paired is open. That is settled from left to right: a place may
+    be left out, or take a partner of another word, only while those numbers can still be
+    reached; the ``beam`` best partial alignments are kept.
+    """
+    p_stem, r_stem = [stem(w) for w in p], [stem(w) for w in r]
+    least = lambda a, b: {w: min(n, Counter(b)[w]) for w, n in Counter(a).items()}
+    exact, total = least(p, r), least(p_stem, r_stem)
+    places: dict[str, list[int]] = {}
+    for j, w in enumerate(r_stem):
+        places.setdefault(w, []).append(j)
+    to_come, stems_to_come, count = Counter(p), Counter(p_stem), Counter(r)
+    states = [(0, 0, (), frozenset())]  # chunks, crossings, pairs, places taken
+    for i, (word, root) in enumerate(zip(p, p_stem, strict=True)):
+        to_come[word] -= 1
+        stems_to_come[root] -= 1
+        if not total[root]:
+            continue
+        grown = []
+        for chunks, crossings, pairs, taken in states:
+            same = Counter(p[a] for a, b in pairs if p[a] == r[b])
+            of_root = sum(p_stem[a] == root for a, _ in pairs)
+            used = Counter(r[b] for b in taken)
+            may_skip = exact[word] - same[word] <= to_come[word]  # its own equal pairs can still be made by later places
+            for j in places[root]:
+                if j in taken or r[j] != word and (not may_skip or count[r[j]] - used[r[j]] - 1 < exact.get(r[j], 0) - same[r[j]]):
+                    continue
+                joined = bool(pairs) and pairs[-1] == (i - 1, j - 1)
+                grown.append((chunks + (not joined), crossings + sum(b > j for b in taken), (*pairs, (i, j)), taken | {j}))
+            if may_skip and total[root] - of_root <= stems_to_come[root]:
+                grown.append((chunks, crossings, pairs, taken))
+        states = sorted(grown, key=lambda s: s[:3])[:beam]
+    return list(states[0][2])
 
 
 def sentence_meteor(prediction: str | None, reference: str | None, alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> float:
     """METEOR of one pair by exact words, then stems: weighted F times the penalty of its chunks.
 
-    Each word is aligned once, the last free partner first, as the compared results have
-    it; synonyms aren't used. 0 without a match.
+    Each word is aligned once, as ``word_alignment`` has it; synonyms aren't used. 0 without a match.
     """
     p, r = (prediction or "").lower().split(), (reference or "").lower().split()
-    pairs: dict[int, int] = {}
-    for form in (str, _stem):
-        free: dict[str, list[int]] = {}
-        taken = set(pairs.values())
-        for j, w in enumerate(r):
-            if j not in taken:
-                free.setdefault(form(w), []).append(j)
-        for i in range(len(p) - 1, -1, -1):
-            if i not in pairs and free.get(form(p[i])):
-                pairs[i] = free[form(p[i])].pop()
+    pairs = word_alignment(p, r)
     if not pairs:
         return 0.0
     precision, recall = len(pairs) / len(p), len(pairs) / len(r)
     mean = precision * recall / (alpha * precision + (1 - alpha) * recall)
-    order = sorted(pairs.items())
-    n_chunks = 1 + sum(b != (a[0] + 1, a[1] + 1) for a, b in zip(order, order[1:], strict=False))
+    n_chunks = 1 + sum(b != (a[0] + 1, a[1] + 1) for a, b in zip(pairs, pairs[1:], strict=False))
     return mean * (1 - gamma * (n_chunks / len(pairs)) ** beta)
 
 
@@ -251,30 +276,3 @@ def soft_dice_loss(p: Column, target: Column, smooth: float = 1e-5) -> Column:
 def macro_micro(counts: DataFrame) -> DataFrame:
     """Macro and micro F1 of per-class tp, fp, fn rows."""
     return counts.agg(F.avg(f1(F.col("tp"), F.col("fp"), F.col("fn"))).alias("macro"), f1(F.sum("tp"), F.sum("fp"), F.sum("fn")).alias("micro"))
-
-
-def surface_distances(mask: np.ndarray, other: np.ndarray, spacing: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Distances from each surface cell of one mask to the other's surface, both ways; a surface cell has a face neighbour outside."""
-    def surface(m: np.ndarray) -> np.ndarray:
-        padded = np.pad(m.astype(bool), 1)
-        inner = padded.copy()
-        for axis in range(m.ndim):
-            inner &= np.roll(padded, 1, axis) & np.roll(padded, -1, axis)
-        return np.argwhere((padded & ~inner)[tuple(slice(1, -1) for _ in m.shape)]) * np.array(spacing)
-
-    a, b = surface(mask), surface(other)
-    if not len(a) or not len(b):
-        return np.full(len(a), np.inf), np.full(len(b), np.inf)
-    nearest = lambda x, y: np.concatenate([np.sqrt(((x[i : i + 512, None] - y[None]) ** 2).sum(-1)).min(1) for i in range(0, len(x), 512)])
-    return nearest(a, b), nearest(b, a)
-
-
-def surface_dice(mask: np.ndarray, other: np.ndarray, spacing: tuple[float, ...], tolerance: float) -> float:
-    """The share of both surfaces within ``tolerance`` of each other; NaN if both are empty."""
-    a, b = surface_distances(mask, other, spacing)
-    return float((np.sum(a <= tolerance) + np.sum(b <= tolerance)) / (len(a) + len(b))) if len(a) + len(b) else float("nan")
-
-
-def robust_hausdorff(mask: np.ndarray, other: np.ndarray, spacing: tuple[float, ...], percent: float = 95.0) -> float:
-    """The larger of both ways' distance percentiles."""
-    return max(float(np.percentile(d, percent)) if len(d) else float("nan") for d in surface_distances(mask, other, spacing))

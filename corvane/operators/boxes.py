@@ -216,6 +216,32 @@ def assigned(costs: DataFrame, group: list[str], query: str, truth: str, cost: s
     return per_group(costs, group, [query, truth, cost], run, f"{query} {types[query]}, {truth} {types[truth]}, {cost} double")
 
 
+def best_pairs(scores: DataFrame, group: list[str], left: str, right: str, score: str) -> DataFrame:
+    """The one-to-one pairs of the largest total score in each group of ``scores``; pairs without a row, or a score of 0, aren't chosen.
+
+    A pair whose two ends have no other row needs no assignment; only those that contend
+    go through one.
+    """
+    rivals = lambda end: F.count("*").over(Window.partitionBy(*group, end))
+    marked = scores.where(F.col(score) > 0).select(*group, left, right, F.col(score).cast("double").alias(score), ((rivals(left) == 1) & (rivals(right) == 1)).alias("__alone"))
+
+    def run(part: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        lefts, a = np.unique(part[left], return_inverse=True)
+        rights, b = np.unique(part[right], return_inverse=True)
+        grid = np.zeros((len(lefts), len(rights)))
+        np.minimum.at(grid, (a, b), -part[score])
+        if len(lefts) <= len(rights):
+            rows, cols = np.arange(len(lefts)), assignment(grid)
+        else:
+            rows, cols = assignment(grid.T), np.arange(len(rights))
+        real = grid[rows, cols] < 0
+        return {left: lefts[rows[real]], right: rights[cols[real]], score: -grid[rows, cols][real]}
+
+    types = dict(scores.dtypes)
+    contended = per_group(marked.where("not __alone").drop("__alone"), group, [left, right, score], run, f"{left} {types[left]}, {right} {types[right]}, {score} double")
+    return marked.where("__alone").drop("__alone").unionByName(contended)
+
+
 NEGATIVE, UNCERTAIN = -1, -2
 
 

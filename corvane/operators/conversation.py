@@ -112,6 +112,46 @@ def yes_no_turn(names: Column, positive: Column, seed: int, key: Column) -> Colu
     return F.struct(filled("Are these present: {}?", F.array_join(mixed, ", ")).alias("prompt"), F.concat(F.lit("Results:"), F.array_join(said, ","), F.lit(".")).alias("response"))
 
 
+def sampled_names(targets: Column, category: str, limit: int, seed: int | str, key: Column) -> Column:
+    """The names of one category of ``targets`` (``name, category``), at most ``limit``, in seeded order."""
+    own = F.filter(targets, lambda t: t["category"] == category)
+    keyed = F.array_sort(F.transform(own, lambda t: F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"), t["name"])).alias("h"), t["name"].alias("n"))))
+    return F.slice(F.transform(keyed, lambda x: x["n"]), 1, limit)
+
+
+def local_record(positive: Column, negative: Column, modalities: Column, seed: int, key: Column, most_positive: int = 4, most_negative: int = 4, p_modality: float = 0.8, p_grounding: float = 0.99, p_negative: float = 0.2) -> Column:
+    """A record of one annotated image: ``modality, turns (prompt, response), classes (name, positive), grounding, negative_grounding``.
+
+    ``positive`` and ``negative`` are targets (``name, category``) with category ``anatomy``
+    or ``anomaly``. Of each kind and category a seeded sample up to its limit is taken. Anatomy
+    gives a yes/no turn over both samples, if any; anomaly a turn that names what is there,
+    if any target of it was annotated at all. The turn of the modality comes first by a
+    toss, and always where there is no other. ``classes`` are those to be grounded, in the
+    order of the turns: what was found, and by a toss, made only where the record is grounded
+    at all, also what wasn't. All draws follow from seed and key, so a record is the same
+    wherever and however often it is built.
+    """
+    take = lambda side, targets, category, limit: sampled_names(targets, category, limit, f"{seed}-{side}-{category}", key)
+    has, lacks = {}, {}
+    for category in ("anatomy", "anomaly"):
+        has[category], lacks[category] = take("pos", positive, category, most_positive), take("neg", negative, category, most_negative)
+    grounding = toss(p_grounding, f"{seed}-ground", key)
+    also = grounding & toss(p_negative, f"{seed}-negative", key)
+    modality = choice(modalities, f"{seed}-modality", key)
+    turn = lambda q, a: F.struct(q.alias("prompt"), a.alias("response"))
+    first = F.array(turn(F.lit("What is the modality of the image?"), F.concat(modality, F.lit("."))))
+    none = F.slice(first, 1, 0)
+    any_of = lambda c: F.size(has[c]) + F.size(lacks[c]) > 0
+    anatomy = F.when(any_of("anatomy"), F.array(yes_no_turn(F.concat(has["anatomy"], lacks["anatomy"]), has["anatomy"], seed, key))).otherwise(none)
+    anomaly = F.when(any_of("anomaly"), F.array(anomaly_turn(has["anomaly"]))).otherwise(none)
+    body = F.concat(anatomy, anomaly)
+    lead = F.when((F.size(body) == 0) | toss(p_modality, f"{seed}-lead", key), first).otherwise(none)
+    named = lambda names, found: F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(found).alias("positive")))
+    empty = F.expr("cast(array() as array<struct<name: string, positive: boolean>>)")
+    classes = F.when(grounding, F.concat(*(F.concat(named(has[c], True), F.when(also, named(lacks[c], False)).otherwise(empty)) for c in ("anatomy", "anomaly")))).otherwise(empty)
+    return F.struct(modality.alias("modality"), F.concat(lead, body).alias("turns"), classes.alias("classes"), grounding.alias("grounding"), also.alias("negative_grounding"))
+
+
 def few_shot(system: str, examples: list[tuple[str, str]], question: Column) -> Column:
     """A chat: system, worked examples, and the question."""
     message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("text"))

@@ -68,6 +68,27 @@ def first_shuffled(df: DataFrame, key: str, seed: int, n: int) -> DataFrame:
     return df if n < 0 else df.orderBy(draw(seed, F.col(key)), key).limit(n)
 
 
+def refilled(df: DataFrame, key: str, seed: int, n: int, passes: Column) -> DataFrame:
+    """``n`` places of a seeded order, each with a row that ``passes``: ``place, asked, key`` and the row's other columns.
+
+    The first ``n`` rows of the order are ``asked`` for. One that doesn't pass gives its place
+    to the next row beyond the ``n`` that passes and that no place before it took; when those
+    run out, passing rows are taken again from the order's start. So the k-th place that
+    failed gets the k-th row of that list: both are numbered by ranges of the order, and
+    nothing is retried. Null counts as not passing; without a passing row no place is filled.
+    """
+    order = shuffled(df.withColumn("__ok", F.coalesce(passes, F.lit(False))), key, seed)
+    first = order.where(F.col("rank") <= n)
+    kept = first.where("__ok").withColumn("place", F.col("rank")).withColumn("asked", F.col(key))
+    failed = globally_ranked(first.where("not __ok").select(F.col("rank").alias("place"), F.col(key).alias("asked")), [F.col("place")], "__k")
+    spare = order.where("__ok").withColumn("__late", (F.col("rank") <= n).cast("int"))
+    spare = globally_ranked(spare, [F.col("__late"), F.col("rank")], "__k")
+    total = spare.agg(F.count("*").alias("__total"))
+    turned = failed.crossJoin(F.broadcast(total)).where("__total > 0").withColumn("__k", F.pmod(F.col("__k") - 1, F.col("__total")) + 1).drop("__total")
+    filled = turned.join(spare.drop("__late"), "__k").drop("__k")
+    return kept.unionByName(filled).drop("rank", "__ok").select("place", "asked", *df.columns)
+
+
 def capped(df: DataFrame, group: list[str], key: str, seed: int, limit: int) -> DataFrame:
     """At most ``limit`` rows of each group, chosen by seeded order."""
     w = Window.partitionBy(*group).orderBy(draw(seed, F.col(key)), key)

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("core", "text", "nesting", "metrics", "ranking", "geometry", "state", "records", "studies", "files", "shapes")
+MODULES = ("core", "text", "nesting", "metrics", "ranking", "geometry", "state", "records", "studies", "files", "shapes", "volumes")
 
 Query = Callable[[SparkSession, str], DataFrame]
 

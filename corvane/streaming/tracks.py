@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ACTIVE, TOLERANCE = 0.6, 10
 UNBORN = -1
@@ -85,6 +86,59 @@ def stream_tracks(obs: DataFrame, slot: str, frame: str, score: str, active: flo
     return obs.groupBy(slot).applyInPandasWithState(run, f"`{slot}` {types[slot]}, `{frame}` {types[frame]}, track long", "id long, age long, fresh long, last long", "append", "NoTimeout")
 
 
+def stream_sequences(obs: DataFrame, seq: str, frame: str, slot: str, score: str, at: str, active: float = ACTIVE, tolerance: int = TOLERANCE) -> DataFrame:
+    """``track_sequences`` over a stream: ``seq, frame, slot, track``, with one id counter for all slots of a sequence.
+
+    Ids are given in order of frame, then slot, across slots, so a frame may be taken only
+    once no row of it can still come. Rows wait in map state, each with an event-time timer
+    at ``at``, the frame's time (which may not fall as ``frame`` rises within a sequence);
+    when the watermark has passed it they are taken in order. So the result doesn't depend
+    on how the stream is cut; rows later than the watermark are left out by Spark, rows that
+    it hasn't passed yet stay waiting. Repeats of a frame and slot count once, the last one.
+    ``obs`` needs a watermark on ``at``, the session the RocksDB state store. A sequence's
+    state is its slots and waiting rows; its rows meet in one task, as the shared counter
+    asks.
+    """
+    types = dict(obs.dtypes)
+
+    class Sequence(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.slots = handle.getMapState("slots", f"slot {types[slot]}", "id long, age long")
+            self.fresh = handle.getValueState("fresh", "n long")
+            self.waiting = handle.getMapState("waiting", f"at long, frame {types[frame]}, slot {types[slot]}", "score double")
+
+        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            for part in rows:
+                for *place, value in zip(*(part[c].tolist() for c in ("millis", "frame", "slot", "score")), strict=True):
+                    self.waiting.updateValue(tuple(place), (value,))
+                for t in part["millis"].unique().tolist():
+                    self.handle.registerTimer(t)
+            yield pd.DataFrame([], columns=["seq", "frame", "slot", "track"], dtype=object)
+
+        def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            bound = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
+            due = sorted(((k[1], k[2], k[0]), v[0]) for k, v in self.waiting.iterator() if k[0] <= bound)
+            fresh = self.fresh.get()[0] if self.fresh.exists() else 0
+            out = []
+            for (f, s, t), value in due:
+                held = self.slots.getValue((s,)) if self.slots.containsKey((s,)) else (UNBORN, 0)
+                ident, age, fresh = advance((held[0], held[1], fresh), value, active, tolerance)
+                self.slots.updateValue((s,), (ident, age))
+                self.waiting.removeKey((t, f, s))
+                out.append((key[0], f, s, ident))
+            if due:
+                self.fresh.update((fresh,))
+            yield pd.DataFrame(out, columns=["seq", "frame", "slot", "track"], dtype=object)
+
+        def close(self) -> None:
+            pass
+
+    given = obs.select(F.col(seq).alias("seq"), F.col(frame).alias("frame"), F.col(slot).alias("slot"), F.col(score).cast("double").alias("score"), F.col(at).alias("at"), F.unix_millis(F.col(at).cast("timestamp")).alias("millis"))
+    made = given.groupBy("seq").transformWithStateInPandas(Sequence(), f"seq {types[seq]}, frame {types[frame]}, slot {types[slot]}, track long", "Append", "EventTime")
+    return made.select(F.col("seq").alias(seq), F.col("frame").alias(frame), F.col("slot").alias(slot), "track")
+
+
 def accuracy(matches: DataFrame, seq: str, frame: str, truth: str, track: str) -> DataFrame:
     """Misses, false tracks, switches and MOTA by sequence, from rows of truth and track (either null)."""
     w = Window.partitionBy(seq, truth).orderBy(frame)

@@ -181,15 +181,6 @@ def test_rates_and_dice(spark, one):
     assert one(M.dice(F.lit(0), F.lit(0), F.lit(0))) == 1.0 and one(M.dice(F.lit(0), F.lit(3), F.lit(0))) == 0.0
 
 
-def test_surface_dice():
-    a = np.zeros((8, 8, 8), bool)
-    a[2:6, 2:6, 2:6] = True
-    b = np.roll(a, 1, 0)
-    assert M.surface_dice(a, a, (1, 1, 1), 0) == 1 and M.surface_dice(a, b, (1, 1, 1), 1) == 1
-    assert 0 < M.surface_dice(a, b, (1, 1, 1), 0) < 1 and np.isnan(M.surface_dice(a * False, a * False, (1, 1, 1), 1))
-    assert M.robust_hausdorff(a, b, (2, 1, 1)) == 2
-
-
 def test_conversation_helpers(one):
     labels = C.masked_labels(F.array(F.lit(5), F.lit(6)), F.array(F.lit(7)), 2, 10)
     assert (one(labels[0]), one(labels[1])) == ([5, 6, 7, 2], [-100, -100, 7, 2])
