@@ -13,13 +13,17 @@ from corvane.functions.geometry import EPSILON, box, half_even, iou
 from corvane.operators.components import connected_components
 
 CORNERS = ["x1", "y1", "x2", "y2"]
+#: Rows of a group that is done with others of its size, and pairs of rows that are compared at once.
+SMALL_GROUP, PAIRS_AT_ONCE = 32, 1 << 20
 
 
-def per_group(df: DataFrame, group: list[str], fields: list[str], fn: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], schema: str, single: Callable[[Column], dict[str, Column]] | None = None) -> DataFrame:
+def per_group(df: DataFrame, group: list[str], fields: list[str], fn: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], schema: str, single: Callable[[Column], dict[str, Column]] | None = None, many: Callable[[dict[str, np.ndarray], np.ndarray], tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]] | None = None) -> DataFrame:
     """``fn`` over each group's fields as numpy arrays, rows sorted by the fields; its arrays (of ``schema``) with the group's key.
 
     Groups come many to an Arrow batch, so small ones cost little; a group is one image
-    and class, whose boxes are few. ``single`` gives the columns of a group of one row.
+    and class, whose boxes are few. ``single`` gives the columns of a group of one row;
+    ``many`` takes the fields of all groups of a batch and where each begins, and returns
+    which groups it has done, with the group of each of its rows and their columns.
     """
     types = dict(df.dtypes)
     packed = df.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("__g"))
@@ -34,9 +38,14 @@ def per_group(df: DataFrame, group: list[str], fields: list[str], fn: Callable[[
             column = batch.column("__g")
             flat, offsets = column.values, column.offsets.to_numpy()
             arrays = {f: flat.field(f).to_numpy(zero_copy_only=False) for f in fields}
-            made = [fn({f: v[a:b] for f, v in arrays.items()}) for a, b in zip(offsets, offsets[1:], strict=False)]
+            left = np.arange(batch.num_rows)
+            if many is not None and len(left):
+                done, owner, rows = many(arrays, offsets)
+                left = np.flatnonzero(~done)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(owner)) for k in group), *(pa.array(rows[n]) for n in names)], names=[*group, *names])
+            made = [fn({f: v[offsets[k] : offsets[k + 1]] for f, v in arrays.items()}) for k in left]
             if made:
-                owner = pa.array(np.repeat(np.arange(len(made)), [len(m[names[0]]) for m in made]))
+                owner = pa.array(np.repeat(left, [len(m[names[0]]) for m in made]))
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).take(owner) for k in group), *(pa.array(np.concatenate([m[n] for m in made])) for n in names)], names=[*group, *names])
 
     made = packed.mapInArrow(run, ", ".join([*(f"`{k}` {types[k]}" for k in group), schema]))
@@ -149,9 +158,33 @@ def suppressed(detections: DataFrame, group: list[str], score: str, order: str,
         kept = keep_best(np.stack([part[c] for c in CORNERS], axis=1).astype(float), part[score].astype(float), threshold)[:after]
         return {f: v[kept] for f, v in part.items()}
 
+    def many(parts: dict[str, np.ndarray], offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+        """Groups of one size at a time: all their overlaps as one array, then place after place, in order of score."""
+        sizes = np.diff(offsets)
+        done, rows, owner = sizes <= SMALL_GROUP, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        corners = np.stack([parts[c] for c in CORNERS], axis=1).astype(float)
+        for n in np.unique(sizes[done]):
+            own = np.flatnonzero(sizes == n)
+            for begin in range(0, len(own), max(1, PAIRS_AT_ONCE // int(n * n))):
+                which = own[begin : begin + max(1, PAIRS_AT_ONCE // int(n * n))]
+                at = offsets[which][:, None] + np.arange(n)
+                b = corners[at]
+                side = np.minimum(b[:, :, None, 2:], b[:, None, :, 2:]) - np.maximum(b[:, :, None, :2], b[:, None, :, :2])
+                shared = np.prod(np.maximum(side, 0), axis=-1)
+                area = np.prod(b[..., 2:] - b[..., :2], axis=-1)
+                near = shared / (area[:, :, None] + area[:, None, :] - shared + EPSILON) > threshold
+                kept = np.ones(at.shape, bool)
+                for k in range(n - 1):
+                    kept[:, k + 1 :] &= ~(kept[:, k : k + 1] & near[:, k, k + 1 :])
+                kept &= np.cumsum(kept, axis=1) <= after
+                rows.append(at[kept])
+                owner.append(np.broadcast_to(which[:, None], at.shape)[kept])
+        chosen = np.concatenate(rows)
+        return done, np.concatenate(owner), {f: v[chosen] for f, v in parts.items()}
+
     types = dict(detections.dtypes)
     fields = ["__r", score, order, *CORNERS]
-    return per_group(entered, group, fields, run, ", ".join(f"{f} {'int' if f == '__r' else types[f]}" for f in fields), lambda r: {f: r[f] for f in fields}).drop("__r")
+    return per_group(entered, group, fields, run, ", ".join(f"{f} {'int' if f == '__r' else types[f]}" for f in fields), lambda r: {f: r[f] for f in fields}, many).drop("__r")
 
 
 def threshold_matches(pairs: DataFrame, query: str, truth: str, value: str, low: float, high: float) -> DataFrame:
@@ -212,8 +245,19 @@ def assigned(costs: DataFrame, group: list[str], query: str, truth: str, cost: s
         real = grid[rows, cols] < 1e9
         return {query: queries[cols[real]], truth: truths[rows[real]], cost: grid[rows, cols][real]}
 
+    def many(parts: dict[str, np.ndarray], offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+        """Groups of one query or one truth: the cheapest row."""
+        sizes = np.diff(offsets)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        same = [np.minimum.reduceat(parts[c], offsets[:-1]) == np.maximum.reduceat(parts[c], offsets[:-1]) for c in (query, truth)]
+        done = same[0] | same[1]
+        value = parts[cost].astype(float)
+        first = np.lexsort((value, owner))[offsets[:-1] - offsets[0]] + offsets[0]
+        chosen = first[done & (value[first - offsets[0]] < 1e9)]
+        return done, owner[chosen - offsets[0]], {query: parts[query][chosen], truth: parts[truth][chosen], cost: value[chosen]}
+
     types = dict(costs.dtypes)
-    return per_group(costs, group, [query, truth, cost], run, f"{query} {types[query]}, {truth} {types[truth]}, {cost} double")
+    return per_group(costs, group, [query, truth, cost], run, f"{query} {types[query]}, {truth} {types[truth]}, {cost} double", many=many)
 
 
 def best_pairs(scores: DataFrame, group: list[str], left: str, right: str, score: str) -> DataFrame:

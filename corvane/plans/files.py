@@ -108,7 +108,7 @@ def q119_logs_and_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, log, bad, raw = (new_path(spark, k) for k in ("answers", "log", "bad", "raw"))
     e = load(spark, sf_dir, "events")
     W.answers(e.where("event_type = 'purchase'").select("event_id"), asked)
-    W.answers(e.where("event_type = 'click'").select("event_id"), asked)
+    W.answers(e.where("event_type <> 'purchase'").select("event_id"), asked)
     seen = R.json_lines(spark, asked, "event_id long, answer_id string")
     out = seen.agg(F.lit("answers").alias("kind"), F.count("*").alias("n"), (F.countDistinct("answer_id") == F.count("*")).cast("string").alias("fact"))
     W.daily_log(e.select("event_id", "ts"), log)
@@ -146,7 +146,7 @@ union all select distinct 'segment ' || (p_size % 3 = 1), p_size % 3, 1 from par
 select 'summary' kind, '{' || string_agg('"' || m || '":' || (case when m = 'purchase' then n + 1 else n end), ',' order by m) || '}' "value" from t
 union all select 'sheet', 'a/x/1' union all select 'sheet', repeat('b', 31) || '/y/3'
 union all select 'metric', r_name || '/' || case when r_regionkey > 0 then r_name || '!' else 'none' end from region""",
-    "q119_logs_and_archives": """select 'answers' kind, count(*) n, 'true' fact from events where event_type in ('purchase', 'click')
+    "q119_logs_and_archives": """select 'answers' kind, count(*) n, 'true' fact from events
 union all select 'day ' || strftime(ts, '%Y-%m-%d'), count(*), round(min(epoch(ts)), 1)::decimal(20,1)::varchar from events group by 1
 union all select 'bad', count(distinct user_id), 'true' from events where value > 150
 union all select 'archive', count(*), max(n_name) from nation""",

@@ -63,7 +63,12 @@ def q81_threshold_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of the first return flag matched to those of the others by IoU: hit, miss, between, best of a truth."""
     rows = boxes(spark, sf_dir)
     truth = rows.where("class = 'A'").select("image", F.col("rn").alias("truth"), *(F.col(c).alias(f"o_{c}") for c in B.CORNERS))
-    pairs = rows.where("class <> 'A'").join(truth, "image").select((F.col("image") * 1000 + F.col("rn")).alias("query"), (F.col("image") * 1000 + F.col("truth")).alias("truth"), F.round(G.iou(G.box(), G.box("o_")), 9).alias("iou"))
+    name = lambda c: (F.col("image") * 1000 + F.col(c)).alias
+    queries = rows.where("class <> 'A'").select("image", "rn", *B.CORNERS)
+    met = B.overlapping(queries, truth.toDF("image", "rn", *B.CORNERS), ["image"], 32.0)
+    pairs = met.select("image", "rn", name("rn")("query"), name("o_rn")("truth"), F.round(G.iou(G.box(), G.box("o_")), 9).alias("iou")).where("iou > 0")
+    alone = queries.select("image", "rn").join(pairs.select("image", "rn"), ["image", "rn"], "left_anti").join(truth.groupBy("image").agg(F.min("truth").alias("truth")), "image")  # it meets no truth, so the first one counts, at 0
+    pairs = pairs.select("query", "truth", "iou").unionByName(alone.select(name("rn")("query"), name("truth")("truth"), F.lit(0.0).alias("iou")))
     return B.threshold_matches(pairs, "query", "truth", "iou", 0.3, 0.7).groupBy("label").agg(F.count("*").alias("n"), F.sum("truth").alias("truths"))
 
 

@@ -59,7 +59,7 @@ def q102_text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q103_chat_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Few-shot chats, judge prompts and image-token prompts from benchmark items, hashed."""
-    b = load(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 40).alias("q"), F.length("text").alias("n"))
+    b = load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q"), F.length("text").alias("n"))
     chat = C.few_shot("Be brief.", [("one?", "1"), ("two?", "2")], F.col("q"))
     said = F.array_join(F.transform(chat, lambda m: F.concat(m["role"], F.lit("="), m["text"])), "|")
     judge = C.judge_prompt(F.col("q"), F.lit("left"), F.reverse("q"), "Compare.")
@@ -205,8 +205,9 @@ def q111_split_and_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = docs.select("source", F.when(F.substring("source", -1, 1).isin("3", "7"), "test").otherwise("train").alias("split")).distinct()
     sizes = S.split_by_table(docs.select("source", "doc_id"), "source", table).groupBy(F.col("split").alias("name")).agg(F.count("*").alias("draws"), F.countDistinct("doc_id").alias("rows")).withColumn("ratio", F.col("draws") / F.col("rows"))
     rows = docs.select(F.col("lang").alias("dataset"), F.col("doc_id").alias("key"))
-    spec = spark.createDataFrame([("en", 1.0), ("de", 4.0)], "dataset string, weight double")
-    drawn = S.repeat_ratios(S.mixture(spec, rows.where("dataset in ('en', 'de')"), 3000, 42), "dataset").withColumnRenamed("dataset", "name")
+    weight = F.when(F.col("dataset") == "en", 1.0).when(F.col("dataset") == "de", 4.0).otherwise(2.0)
+    spec = rows.select("dataset").distinct().withColumn("weight", weight)
+    drawn = S.repeat_ratios(S.mixture(spec, rows, docs.count(), 42), "dataset").withColumnRenamed("dataset", "name")
     return sizes.unionByName(drawn).select("name", "draws", "rows", F.round("ratio", 6).alias("ratio"))
 
 
@@ -223,9 +224,9 @@ def _listing_sql() -> str:
     return f"select d dataset, {put.format('k')} as key, {put.format('i')} image, c n_classes, m n_masks from nation, (values {rows}) t(d, k, i, c, m)"
 
 
-_MIX = f"""d as (select lang dataset, doc_id as key from documents where lang in ('en', 'de')), z as (select dataset, count(*) size, count(*) * case dataset when 'en' then 1.0::double else 4.0 end mass from d group by 1),
+_MIX = f"""d as (select lang dataset, doc_id as key from documents), z as (select dataset, count(*) size, count(*) * case dataset when 'en' then 1.0::double when 'de' then 4.0 else 2.0 end mass from d group by 1),
 b as (select *, sum(mass) over (order by dataset rows unbounded preceding) high, sum(mass) over () total from z),
-u as (select i draw_id, {_U.format('42', 'i')} u from range(3000) r(i)),
+u as (select i draw_id, {_U.format('42', 'i')} u from range((select count(*) from documents)) r(i)),
 p as (select draw_id, dataset, size from u join b on u * total >= high - mass and u * total < high),
 v as (select draw_id, dataset, size, row_number() over (partition by dataset order by draw_id) - 1 visit from p)"""
 
@@ -240,7 +241,7 @@ select l_orderkey, coalesce(string_agg(distinct t, ',' order by t) filter (t in
     "q102_text_forms": """select p_partkey, p_name || p_size flat, p_name || ' ' || p_size spaced, case when p_size > 25 then '<p> ' || p_name || '</p>' else '<np> ' || p_name || '</np>' end as named, 'a ' || p_name || ' of parts' filled,
  md5(case when p_size > 25 then substr(repeat(p_name || ' ', 300), 1, 1200) || chr(10) || '<image>' else substr(repeat(p_name || ' ', 300), 1, 1536) end) cut, p_name || ' ' stopped, p_size::double as "first", p_partkey + 0.5::double as "second", 'A ' || p_size answer,
  case when p_size > 25 then replace(p_name, ' ', '-') || '_checkpoint-' || p_size else replace(p_name, ' ', '-') end model from part""",
-    "q103_chat_forms": """with b as (select item_id, substr(text, 1, 40) q, length(text)::varchar n from benchmark)
+    "q103_chat_forms": """with b as (select item_id, text q, length(text)::varchar n from benchmark)
 select item_id, md5('system=Be brief.|user=one?|assistant=1|user=two?|assistant=2|user=' || q) chat, md5('[Question]' || chr(10) || q || chr(10) || chr(10) || '[Assistant 1]' || chr(10) || 'left' || chr(10) || chr(10) || '[Assistant 2]' || chr(10) || reverse(q) || chr(10) || chr(10) || '[System]' || chr(10) || 'Compare.') judge,
  '97,98,-200,' || array_to_string(list_transform(string_split(n, ''), lambda c: ascii(c)), ',') || ',-200' ids,
  md5('user: ' || q || '###assistant: yes###user:') single, md5('user: ' || q || ' assistant: yes</s>user:') two, md5('<|im_start|>user' || chr(10) || q || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || 'yes<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10)) mpt,

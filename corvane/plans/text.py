@@ -50,7 +50,7 @@ def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.split("text", " ")
     tag = lambda k, target: F.concat(F.lit("["), F.element_at("w", k), F.lit(f"]({target})"))
     items = load(spark, sf_dir, "benchmark").select("item_id", w.alias("w")).where("size(w) >= 6")
-    return items.select("item_id", F.concat(F.element_at("w", 1), F.lit(" "), tag(2, " heart "), F.lit(" "), F.array_join(F.slice("w", 3, 2), " "), F.lit(" "), tag(5, "lung"), F.lit(" "), F.array_join(F.slice("w", 6, 1000), " ")).alias("tagged"))
+    return items.select("item_id", F.concat(F.element_at("w", 1), F.lit(" "), tag(2, " heart "), F.lit(" "), F.array_join(F.slice("w", 3, 2), " "), F.lit(" "), tag(5, "lung"), F.lit(" "), F.array_join(F.slice("w", 6, F.size("w")), " ")).alias("tagged"))
 
 
 def q07_tag_extract_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import geometry as G
-from corvane.functions.text import filled
+from corvane.functions import text as X
 from corvane.operators import boxes as B
 from corvane.operators import contours as Z
 from corvane.operators import conversation as C
@@ -170,12 +170,14 @@ def _shares():
 
 
 def q145_overridden_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Study metadata that agrees within an order, with overrides of single orders put over it: how a study's name and place are set by hand."""
-    w = Window.partitionBy("l_orderkey")
-    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", F.size(F.collect_set("l_returnflag").over(w)).alias("kinds"))
-    held = lines.where("kinds = 1").groupBy("l_orderkey").agg(F.min("l_returnflag").alias("section"), F.count("*").alias("n"))
-    by_hand = load(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"), filled("urgent {}", F.col("o_orderstatus")).alias("by_hand"))
-    return held.join(by_hand, "l_orderkey", "left").select("l_orderkey", F.coalesce("by_hand", "section").alias("section"), "n")
+    """Documents as reports: of a third a section is named by hand, of a third a range, and the rest is left to the splitter."""
+    text = F.concat(F.lit("\n FINDINGS: "), F.md5("text"), F.lit("\n IMPRESSION: "), "lang", F.lit("!"))
+    reports = load(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    names = reports.where("doc_id % 3 = 0").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "impression").otherwise("comparison").alias("name"))
+    ranges = reports.where("doc_id % 3 = 1").select("doc_id", (F.col("doc_id") % 20).cast("int").alias("first"), (F.col("doc_id") % 20 + 15).cast("int").alias("last"))
+    by_hand, rest = X.overridden(reports, "doc_id", "text", names, ranges)
+    found = rest.select("doc_id", F.explode(X.sections(F.col("text"))).alias("s")).select("doc_id", "s.name", "s.text")
+    return by_hand.unionByName(found)
 
 
 QUERIES = {k: v for k, v in globals().items() if k[0] == "q" and k[1:3].isdigit()}
@@ -268,8 +270,10 @@ f as (select r place, o_orderkey asked, row_number() over (order by r) k from o
 s as (select o_orderkey, o_orderstatus, row_number() over (order by r <= 600, r) k, count(*) over () n from o where ok)
 select r place, o_orderkey asked, o_orderkey, o_orderstatus from o where r <= 600 and ok
 union all select place, asked, s.o_orderkey, s.o_orderstatus from f join s on s.k = (f.k - 1) % s.n + 1""",
-    "q145_overridden_sections": """with h as (select l_orderkey, min(l_returnflag) section, count(*) n from lineitem group by 1 having count(distinct l_returnflag) = 1)
-select l_orderkey, coalesce('urgent ' || o_orderstatus, section) section, n from h left join (select * from orders where o_orderpriority = '1-URGENT') on o_orderkey = l_orderkey""",
+    "q145_overridden_sections": """with r as (select doc_id, md5(text) f, lang || '!' i, chr(10) || ' FINDINGS: ' || md5(text) || chr(10) || ' IMPRESSION: ' || lang || '!' t from documents)
+select doc_id, 'findings' as "name", substr(t, doc_id % 20 + 1, 15) as text from r where doc_id % 3 = 1
+union all select doc_id, case when doc_id % 2 = 0 then 'impression' else 'comparison' end, case when doc_id % 2 = 0 then i else '' end from r where doc_id % 3 = 0
+union all select doc_id, unnest(['preamble', 'findings', 'impression']), unnest([chr(10) || ' ', f, i]) from r where doc_id % 3 = 2""",
 }
 ORACLE_SQL["q137_stream_sequences"] = """with o as (select event_type seq, user_id slot, event_id frame, value / 200 >= 0.6 act, row_number() over (partition by event_type, user_id order by event_id) n from events),
 l as (select *, max(case when act then n end) over (partition by seq, slot order by frame) la, max(case when act then n end) over (partition by seq, slot order by frame rows between unbounded preceding and 1 preceding) pa from o),

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -47,6 +50,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI and the path in it, for byte files opened in tasks through pyarrow; Hadoop's ``file:/x`` is taken as ``file:///x``."""
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path):
+        return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path))
+    return fs.LocalFileSystem(), os.path.abspath(path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder through Hadoop's own file system layer."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

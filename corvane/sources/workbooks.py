@@ -34,6 +34,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from corvane.session import opened
+
 NAME = "corvane_workbook"
 SHEET, MOST_ROWS, NAME_CHARS = "sheet", 1_048_576, 31
 # The name spaces and part names of the format.
@@ -43,13 +45,6 @@ _PACKAGE = "http://schemas.openxmlformats.org/package/2006"
 _TYPE = "application/vnd.openxmlformats-officedocument.spreadsheetml"
 
 
-def _opened(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path or URI and the path in it."""
-    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path):
-        return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path))
-    return fs.LocalFileSystem(), os.path.abspath(path)
-
-
 def _unescaped(text: str) -> str:
     """Text with the format's ``_xHHHH_`` escapes undone."""
     return re.sub(r"_x([0-9A-Fa-f]{4})_", lambda m: chr(int(m[1], 16)), text)
@@ -159,12 +154,12 @@ class WorkbookReader(DataSourceReader):
         self.schema, self.path, self.key, self.only = schema, options["path"], options.get("key"), options.get(SHEET)
 
     def partitions(self) -> list[InputPartition]:
-        where, path = _opened(self.path)
+        where, path = opened(self.path)
         with where.open_input_file(path) as f:
             return [SheetPartition(n, p) for n, p in Book(f).sheets if self.only in (None, n)]
 
     def read(self, partition: SheetPartition) -> Iterator[tuple]:
-        where, path = _opened(self.path)
+        where, path = opened(self.path)
         with where.open_input_file(path) as f:
             book = Book(f)
             rows = book.rows(partition.part)
@@ -194,7 +189,7 @@ class WorkbookWriter(DataSourceWriter):
         self.path, self.overwrite, self.stage = options["path"], overwrite, f"{options['path']}.stage-{uuid.uuid4().hex[:12]}"
 
     def write(self, iterator: Iterator) -> Staged:
-        where, stage = _opened(self.stage)
+        where, stage = opened(self.stage)
         where.create_dir(stage)
         out, attempt, task = {}, uuid.uuid4().hex[:12], TaskContext.get()
         counts: dict[str, int] = {}
@@ -212,8 +207,8 @@ class WorkbookWriter(DataSourceWriter):
         return Staged(task.partitionId() if task else 0, {s: (n, counts[s]) for s, (n, _) in out.items()})
 
     def commit(self, messages: list) -> None:
-        where, path = _opened(self.path)
-        _, stage = _opened(self.stage)
+        where, path = opened(self.path)
+        _, stage = opened(self.stage)
         try:
             if not self.overwrite and where.get_file_info(path).type != fs.FileType.NotFound:
                 raise FileExistsError(self.path)
@@ -235,7 +230,7 @@ class WorkbookWriter(DataSourceWriter):
             self._clean(where, stage)
 
     def abort(self, messages: list) -> None:
-        where, stage = _opened(self.stage)
+        where, stage = opened(self.stage)
         self._clean(where, stage)
 
     @staticmethod
@@ -290,7 +285,7 @@ class Workbook(DataSource):
         return NAME
 
     def schema(self) -> T.StructType:
-        where, path = _opened(self.options["path"])
+        where, path = opened(self.options["path"])
         names: dict[str, None] = {}
         with where.open_input_file(path) as f:
             book = Book(f)
