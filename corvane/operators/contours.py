@@ -2,38 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.operators.boxes import consensus_cells
 from corvane.operators.ranking import first_of
 
 
-def filled_rows(points: Column) -> Column:
-    """The runs of cells inside a polygon (an array of ``x, y``), as ``y, first, last``.
+def cells_of(contours: DataFrame, key: list[str], points: str) -> DataFrame:
+    """``key, x, y``: the cells inside an odd number of the polygons (arrays of ``x, y``) of each key, so a contour inside another is a hole.
 
     A cell is inside if a ray from its centre to the left crosses the polygon an odd number
     of times; an edge crosses a row if just one of its ends lies above it, so a corner on a
     row counts once and level edges never. A cell centre on a left edge is inside, on a
-    right one not.
+    right one not. A polygon becomes rows, a row its crossings, a pair of those a run of
+    cells, each step a row generator of its own.
     """
-    ring = F.transform(points, lambda p, i: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"), F.get(points, F.pmod(i + 1, F.size(points)))["x"].cast("double").alias("u"), F.get(points, F.pmod(i + 1, F.size(points)))["y"].cast("double").alias("v")))
-    ys = F.transform(points, lambda p: p["y"].cast("double"))
-    rows = F.when(F.size(points) > 0, F.sequence(F.ceil(F.array_min(ys)).cast("int"), F.greatest(F.ceil(F.array_max(ys)).cast("int"), F.ceil(F.array_min(ys)).cast("int"))))
-
-    def runs(y: Column) -> Column:
-        cut = F.array_sort(F.transform(F.filter(ring, lambda e: (e["y"] > y) != (e["v"] > y)), lambda e: e["x"] + (y - e["y"]) * (e["u"] - e["x"]) / (e["v"] - e["y"])))
-        pair = lambda k: F.struct(y.alias("y"), F.ceil(F.get(cut, 2 * k)).cast("int").alias("first"), (F.ceil(F.get(cut, 2 * k + 1)) - 1).cast("int").alias("last"))
-        return F.when(F.size(cut) > 1, F.transform(F.sequence(F.lit(0), F.floor(F.size(cut) / 2).cast("int") - 1), pair))
-
-    none = F.expr("cast(array() as array<struct<y: int, first: int, last: int>>)")
-    return F.filter(F.coalesce(F.flatten(F.array_compact(F.transform(rows, runs))), none), lambda r: r["first"] <= r["last"])
-
-
-def cells_of(contours: DataFrame, key: list[str], points: str) -> DataFrame:
-    """``key, x, y``: the cells inside an odd number of the contours of each key, so a contour inside another is a hole."""
-    runs = contours.select(*key, F.explode(filled_rows(F.col(points))).alias("__r"))
-    spread = runs.select(*key, F.col("__r.y").alias("y"), F.explode(F.sequence("__r.first", "__r.last")).alias("x"))
+    corner = lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))
+    rings = contours.where(F.size(points) > 2).select(*key, F.transform(points, corner).alias("__p"))
+    ys = F.transform("__p", lambda p: p["y"])
+    rows = rings.select(*key, "__p", F.explode(F.sequence(F.ceil(F.array_min(ys)).cast("int"), F.greatest(F.ceil(F.array_max(ys)).cast("int"), F.ceil(F.array_min(ys)).cast("int")))).alias("y"))
+    y = F.col("y")
+    edges = F.arrays_zip(F.col("__p").alias("a"), F.concat(F.slice("__p", 2, F.size("__p")), F.slice("__p", 1, 1)).alias("b"))
+    crossed = F.filter(edges, lambda e: (e["a"]["y"] > y) != (e["b"]["y"] > y))
+    cuts = F.array_sort(F.transform(crossed, lambda e: e["a"]["x"] + (y - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"]) / (e["b"]["y"] - e["a"]["y"])))
+    cut = rows.select(*key, "y", cuts.alias("__c")).where("size(__c) > 0")
+    at = lambda k: F.ceil(F.element_at("__c", k)).cast("int")
+    runs = cut.select(*key, "y", F.explode(F.transform(F.sequence(F.lit(1), F.size("__c"), F.lit(2)), lambda k: F.struct(at(k).alias("first"), (at(k + 1) - 1).alias("last")))).alias("__r")).where("__r.first <= __r.last")
+    spread = runs.select(*key, "y", F.explode(F.sequence("__r.first", "__r.last")).alias("x"))
     return spread.groupBy(*key, "x", "y").agg(F.count("*").alias("__n")).where("__n % 2 = 1").drop("__n")
 
 
@@ -49,4 +44,5 @@ def consensus_of(contours: DataFrame, lesion: list[str], rater: str, z: str, poi
     """
     raters = contours.groupBy(*lesion).agg(F.countDistinct(rater).alias("__raters")).where(F.col("__raters") <= most_raters)
     votes = cells_of(contours, [*lesion, rater, z], points).join(raters, lesion)
-    return consensus_cells(votes, lesion, [z, "x", "y"], rater, F.col("__raters"), share).select(*lesion, z, "x", "y", "share")
+    shared = votes.groupBy(*lesion, z, "x", "y").agg((F.count("*") / F.max("__raters")).alias("share"))  # a rater's cell comes once
+    return shared.where(F.col("share") >= share)

@@ -90,14 +90,14 @@ def stream_sequences(obs: DataFrame, seq: str, frame: str, slot: str, score: str
     """``track_sequences`` over a stream: ``seq, frame, slot, track``, with one id counter for all slots of a sequence.
 
     Ids are given in order of frame, then slot, across slots, so a frame may be taken only
-    once no row of it can still come. Rows wait in map state, each with an event-time timer
-    at ``at``, the frame's time (which may not fall as ``frame`` rises within a sequence);
-    when the watermark has passed it they are taken in order. So the result doesn't depend
-    on how the stream is cut; rows later than the watermark are left out by Spark, rows that
-    it hasn't passed yet stay waiting. Repeats of a frame and slot count once, the last one.
-    ``obs`` needs a watermark on ``at``, the session the RocksDB state store. A sequence's
-    state is its slots and waiting rows; its rows meet in one task, as the shared counter
-    asks.
+    once no row of it can still come. Rows wait in state, with an event-time timer at the
+    earliest ``at`` of them, the frame's time (which may not fall as ``frame`` rises within
+    a sequence); when the watermark has passed it, all that it has passed are taken in order,
+    and the timer moves on. So the result doesn't depend on how the stream is cut; rows later
+    than the watermark are left out by Spark, rows that it hasn't passed yet stay waiting.
+    Repeats of a frame and slot that wait together count once, the last one. ``obs`` needs a
+    watermark on ``at``, the session the RocksDB state store. A sequence's state is a map of
+    its slots and the rows waiting; its rows meet in one task, as the shared counter asks.
     """
     types = dict(obs.dtypes)
 
@@ -106,30 +106,36 @@ def stream_sequences(obs: DataFrame, seq: str, frame: str, slot: str, score: str
             self.handle = handle
             self.slots = handle.getMapState("slots", f"slot {types[slot]}", "id long, age long")
             self.fresh = handle.getValueState("fresh", "n long")
-            self.waiting = handle.getMapState("waiting", f"at long, frame {types[frame]}, slot {types[slot]}", "score double")
+            self.waiting = handle.getListState("waiting", f"at long, frame {types[frame]}, slot {types[slot]}, score double")
 
         def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
             for part in rows:
-                for *place, value in zip(*(part[c].tolist() for c in ("millis", "frame", "slot", "score")), strict=True):
-                    self.waiting.updateValue(tuple(place), (value,))
-                for t in part["millis"].unique().tolist():
-                    self.handle.registerTimer(t)
+                self.waiting.appendList(list(zip(*(part[c].tolist() for c in ("millis", "frame", "slot", "score")), strict=True)))
+                self.handle.registerTimer(int(part["millis"].min()))
             yield pd.DataFrame([], columns=["seq", "frame", "slot", "track"], dtype=object)
 
         def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
             bound = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
-            due = sorted(((k[1], k[2], k[0]), v[0]) for k, v in self.waiting.iterator() if k[0] <= bound)
-            fresh = self.fresh.get()[0] if self.fresh.exists() else 0
-            out = []
-            for (f, s, t), value in due:
-                held = self.slots.getValue((s,)) if self.slots.containsKey((s,)) else (UNBORN, 0)
-                ident, age, fresh = advance((held[0], held[1], fresh), value, active, tolerance)
-                self.slots.updateValue((s,), (ident, age))
-                self.waiting.removeKey((t, f, s))
-                out.append((key[0], f, s, ident))
-            if due:
+            held = list(self.waiting.get())
+            due = {(f, s): value for t, f, s, value in held if t <= bound}
+            if due:  # an earlier timer of this batch may have taken all
+                later = [tuple(row) for row in held if row[0] > bound]
+                if later:
+                    self.waiting.put(later)
+                    self.handle.registerTimer(min(row[0] for row in later))
+                else:
+                    self.waiting.clear()
+                life = {s: tuple(self.slots.getValue((s,))) if self.slots.containsKey((s,)) else (UNBORN, 0) for s in {s for _, s in due}}
+                fresh = self.fresh.get()[0] if self.fresh.exists() else 0
+                out = []
+                for f, s in sorted(due):
+                    ident, age, fresh = advance((*life[s], fresh), due[f, s], active, tolerance)
+                    life[s] = (ident, age)
+                    out.append((key[0], f, s, ident))
+                for s, state in life.items():
+                    self.slots.updateValue((s,), state)
                 self.fresh.update((fresh,))
-            yield pd.DataFrame(out, columns=["seq", "frame", "slot", "track"], dtype=object)
+                yield pd.DataFrame(out, columns=["seq", "frame", "slot", "track"], dtype=object)
 
         def close(self) -> None:
             pass
