@@ -48,7 +48,7 @@ from corvane.session import written
 #: Words of a window and of a phrase.
 WINDOW, PHRASE = 50, 8
 #: Phrases of a shard, and bytes of text of a task that streams documents through one; both on average.
-SHARD, PART_BYTES = 16_384, 4 << 20
+SHARD, PART_BYTES = 8192, 4 << 20
 
 _LAST = (1 << 63) - 1
 _U = np.uint64
