@@ -33,7 +33,7 @@ other columns aren't read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -54,6 +54,18 @@ _LAST = (1 << 63) - 1
 _U = np.uint64
 
 
+def _each(docs: DataFrame, one: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``one`` over every Arrow batch; what a batch took goes back to the system before the next comes, as workers live on from stage to stage."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from one(batch)
+            del batch
+            pa.default_memory_pool().release_unused()
+
+    return docs.mapInArrow(run, schema)
+
+
 class Passages:
     """The windows of a chunk of texts: ``start`` (first word) and ``chose`` (first word of its phrase) of each, and the runs that share a phrase."""
 
@@ -120,47 +132,45 @@ def _long(values: np.ndarray) -> pa.Array:
 def phrases_of(docs: DataFrame, window: int, phrase: int) -> DataFrame:
     """``key, rank, size, phrase, span`` of every distinct phrase and span of each of ``docs(key, rank, text)``; ``size`` is the text's bytes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, bounds = texts_of(batch.column("text"))
-            key, rank = batch.column("key").to_numpy(), batch.column("rank").to_numpy()
-            for a, _, part, cut in chunks(data, bounds):
-                found = Passages(part, cut, window, phrase)
-                text, spans = found.scan.doc[found.place], found.spans()
-                order = np.lexsort((spans, found.phrases, text))
-                same = np.zeros(len(order), bool)
-                same[1:] = np.all([x[order][1:] == x[order][:-1] for x in (text, found.phrases, spans)], axis=0)
-                once = order[~same]
-                at = text[once]
-                made = [pa.array(key[a + at]), pa.array(rank[a + at]), pa.array((cut[at + 1] - cut[at]).astype(np.int64)), _long(found.phrases[once]), _long(spans[once])]
-                yield pa.RecordBatch.from_arrays(made, names=["key", "rank", "size", "phrase", "span"])
-
-    return docs.mapInArrow(run, "key long, rank long, size long, phrase long, span long")
+    def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        data, bounds = texts_of(batch.column("text"))
+        key, rank = batch.column("key").to_numpy(), batch.column("rank").to_numpy()
+        for a, _, part, cut in chunks(data, bounds):
+            found = Passages(part, cut, window, phrase)
+            text, spans = found.scan.doc[found.place], found.spans()
+            order = np.lexsort((spans, found.phrases, text))
+            same = np.zeros(len(order), bool)
+            same[1:] = np.all([x[order][1:] == x[order][:-1] for x in (text, found.phrases, spans)], axis=0)
+            once = order[~same]
+            at = text[once]
+            made = [pa.array(key[a + at]), pa.array(rank[a + at]), pa.array((cut[at + 1] - cut[at]).astype(np.int64)), _long(found.phrases[once]), _long(spans[once])]
+            yield pa.RecordBatch.from_arrays(made, names=["key", "rank", "size", "phrase", "span"])
+
+    return _each(docs, one, "key long, rank long, size long, phrase long, span long")
 
 
 def evidence(docs: DataFrame, window: int, phrase: int) -> DataFrame:
     """Of ``docs(rank, text, windows, phrases)``: ``phrase, h, rank`` of the windows that chose one of ``windows``, and ``phrase, words`` of ``phrases``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, bounds = texts_of(batch.column("text"))
-            rank = batch.column("rank").to_numpy()
-            for a, b, part, cut in chunks(data, bounds):
-                found = Passages(part, cut, window, phrase)
-                which = np.flatnonzero(_held(found.phrases, batch.column("windows").slice(a, b - a))[found.run])
-                start = found.start[which]
-                h = found.hashes(start, window)
-                _, once = np.unique(found.scan.doc[start].astype(np.uint64) * _U(0x9E3779B97F4A7C15) ^ h, return_index=True)
-                yield pa.RecordBatch.from_arrays([_long(found.phrases[found.run[which[once]]]), _long(h[once]), pa.array(rank[a + found.scan.doc[start[once]]]), pa.nulls(len(once), pa.binary())], names=["phrase", "h", "rank", "words"])
-                _, once = np.unique(found.phrases, return_index=True)
-                once = once[_held(found.phrases[once], batch.column("phrases").slice(a, b - a))]
-                text, place = found.joined()
-                whole = text.tobytes()
-                at = found.place[once]
-                words = [whole[i:j] for i, j in zip(place[at].tolist(), (place[at + phrase] - 1).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([_long(found.phrases[once]), pa.nulls(len(once), pa.int64()), pa.nulls(len(once), pa.int64()), pa.array(words, pa.binary())], names=["phrase", "h", "rank", "words"])
-
-    return docs.select("rank", "text", "windows", "phrases").mapInArrow(run, "phrase long, h long, rank long, words binary")
+    def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        data, bounds = texts_of(batch.column("text"))
+        rank = batch.column("rank").to_numpy()
+        for a, b, part, cut in chunks(data, bounds):
+            found = Passages(part, cut, window, phrase)
+            which = np.flatnonzero(_held(found.phrases, batch.column("windows").slice(a, b - a))[found.run])
+            start = found.start[which]
+            h = found.hashes(start, window)
+            _, once = np.unique(found.scan.doc[start].astype(np.uint64) * _U(0x9E3779B97F4A7C15) ^ h, return_index=True)
+            yield pa.RecordBatch.from_arrays([_long(found.phrases[found.run[which[once]]]), _long(h[once]), pa.array(rank[a + found.scan.doc[start[once]]]), pa.nulls(len(once), pa.binary())], names=["phrase", "h", "rank", "words"])
+            _, once = np.unique(found.phrases, return_index=True)
+            once = once[_held(found.phrases[once], batch.column("phrases").slice(a, b - a))]
+            text, place = found.joined()
+            whole = text.tobytes()
+            at = found.place[once]
+            words = [whole[i:j] for i, j in zip(place[at].tolist(), (place[at + phrase] - 1).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([_long(found.phrases[once]), pa.nulls(len(once), pa.int64()), pa.nulls(len(once), pa.int64()), pa.array(words, pa.binary())], names=["phrase", "h", "rank", "words"])
+
+    return _each(docs.select("rank", "text", "windows", "phrases"), one, "phrase long, h long, rank long, words binary")
 
 
 class Known:
@@ -261,32 +271,31 @@ def repeats_removed(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
 def _without(docs: DataFrame) -> DataFrame:
     """Of ``docs(doc_id, text, begins, ends)``, ``doc_id, n_words, n_removed, kept`` without the words in the ranges."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, bounds = texts_of(batch.column("text"))
-            for a, b, part, cut in chunks(data, bounds):
-                scan = Scan(part, cut)
-                n = len(scan.starts)
-                cover = np.zeros(n + 1, np.int64)
-                for name, sign in (("begins", 1), ("ends", -1)):
-                    lists = batch.column(name).slice(a, b - a)
-                    text = np.repeat(np.arange(b - a), np.diff(np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy()))))
-                    np.add.at(cover, scan.first[text] + lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), sign)
-                stay = np.cumsum(cover[:-1]) == 0
-                size = np.where(stay, scan.ends - scan.starts + 1, 0)
-                place = np.concatenate([[0], np.cumsum(size)])
-                out = np.full(place[-1], 0x20, np.uint8)
-                mask = np.ones(place[-1], bool)
-                mask[place[1:][stay] - 1] = False
-                edge = np.zeros(len(part) + 1, np.int64)
-                edge[scan.starts[stay]] += 1
-                edge[scan.ends[stay]] -= 1
-                out[mask] = part[np.cumsum(edge[:-1]) > 0]
-                begin, end = place[scan.first[:-1]], place[scan.first[1:]]
-                whole = out.tobytes()
-                kept = [whole[i : max(i, j - 1)] for i, j in zip(begin.tolist(), end.tolist(), strict=True)]
-                removed = scan.n_words - scan.per_text_words(stay.astype(np.int64))
-                made = [batch.column("doc_id").slice(a, b - a), pa.array(scan.n_words.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(kept, pa.binary()).cast(pa.string())]
-                yield pa.RecordBatch.from_arrays(made, names=["doc_id", "n_words", "n_removed", "kept"])
-
-    return docs.select("doc_id", "text", "begins", "ends").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        data, bounds = texts_of(batch.column("text"))
+        for a, b, part, cut in chunks(data, bounds):
+            scan = Scan(part, cut)
+            n = len(scan.starts)
+            cover = np.zeros(n + 1, np.int64)
+            for name, sign in (("begins", 1), ("ends", -1)):
+                lists = batch.column(name).slice(a, b - a)
+                text = np.repeat(np.arange(b - a), np.diff(np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy()))))
+                np.add.at(cover, scan.first[text] + lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), sign)
+            stay = np.cumsum(cover[:-1]) == 0
+            size = np.where(stay, scan.ends - scan.starts + 1, 0)
+            place = np.concatenate([[0], np.cumsum(size)])
+            out = np.full(place[-1], 0x20, np.uint8)
+            mask = np.ones(place[-1], bool)
+            mask[place[1:][stay] - 1] = False
+            edge = np.zeros(len(part) + 1, np.int64)
+            edge[scan.starts[stay]] += 1
+            edge[scan.ends[stay]] -= 1
+            out[mask] = part[np.cumsum(edge[:-1]) > 0]
+            begin, end = place[scan.first[:-1]], place[scan.first[1:]]
+            whole = out.tobytes()
+            kept = [whole[i : max(i, j - 1)] for i, j in zip(begin.tolist(), end.tolist(), strict=True)]
+            removed = scan.n_words - scan.per_text_words(stay.astype(np.int64))
+            made = [batch.column("doc_id").slice(a, b - a), pa.array(scan.n_words.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(kept, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays(made, names=["doc_id", "n_words", "n_removed", "kept"])
+
+    return _each(docs.select("doc_id", "text", "begins", "ends"), one, "doc_id long, n_words long, n_removed long, kept string")
