@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.geometry import EPSILON, box, half_even, iou
-from corvane.operators.components import connected_components
+from corvane.operators.components import components_in_groups
 
 CORNERS = ["x1", "y1", "x2", "y2"]
 #: Rows of a group that is done with others of its size, and pairs of rows that are compared at once.
@@ -79,21 +79,21 @@ def agreeing_pairs(boxes: DataFrame, key: list[str], ident: str, rater: str, thr
     return pairs.select(*key, "src", F.col("o_src").alias("dst"), iou(box(), box("o_")).alias("iou")).where(F.col("iou") >= threshold)
 
 
-def clustered(boxes: DataFrame, ident: str, pairs: DataFrame) -> DataFrame:
-    """``boxes`` with ``cluster``, the least ident that ``pairs(src, dst)`` reach; a box without a pair is its own."""
-    labels = connected_components(pairs.select("src", "dst")).select(F.col("node").alias(ident), F.col("component").alias("__cluster"))
+def clustered(boxes: DataFrame, key: list[str], ident: str, pairs: DataFrame) -> DataFrame:
+    """``boxes`` with ``cluster``, the least ident that ``pairs(key, src, dst)`` reach; a box without a pair is its own."""
+    labels = components_in_groups(pairs, key).select(F.col("node").alias(ident), F.col("component").alias("__cluster"))
     return boxes.join(labels, ident, "left").withColumn("cluster", F.coalesce("__cluster", ident)).drop("__cluster")
 
 
 def mean_boxes(boxes: DataFrame, key: list[str], ident: str, rater: str, threshold: float) -> DataFrame:
     """Boxes of agreeing raters merged: the mean box and size of each cluster."""
-    joined = clustered(boxes, ident, agreeing_pairs(boxes, key, ident, rater, threshold))
+    joined = clustered(boxes, key, ident, agreeing_pairs(boxes, key, ident, rater, threshold))
     return joined.groupBy(*key, "cluster").agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in CORNERS))
 
 
 def without_repeats(boxes: DataFrame, key: list[str], ident: str, rater: str, threshold: float = 0.9) -> DataFrame:
     """Boxes of one key and rater that nearly coincide, as one: the first one's ident and rater, the rounded mean box."""
-    joined = clustered(boxes, ident, agreeing_pairs(boxes, key, ident, rater, threshold, same_rater=True))
+    joined = clustered(boxes, key, ident, agreeing_pairs(boxes, key, ident, rater, threshold, same_rater=True))
     return joined.groupBy(*key, F.col("cluster").alias(ident)).agg(F.min(rater).alias(rater), F.count("*").alias("n"), *(half_even(F.avg(c)).alias(c) for c in CORNERS))
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.session import new_path, remove
+from corvane.session import new_path, remove, written
 
 
 #: Edges of a round beyond which hubs are looked for (fewer fit in any task), and the share of them that makes a node a hub.
@@ -60,3 +64,54 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, many_edges: int
     else:
         raise RuntimeError(f"no fixed point in {max_rounds} rounds")
     return nodes.join(current.select(F.col("src").alias("node"), F.col("dst").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+#: Edges of a group beyond which its components are found by distributed rounds.
+LARGE_GROUP = 100_000
+
+
+def least_labels(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
+    """Of each of ``n`` nodes the least one that the edges reach, by minima passed along edges and shortcuts until none changes."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[src], label[dst])
+        new = label.copy()
+        np.minimum.at(new, src, low)
+        np.minimum.at(new, dst, low)
+        new = new[new]
+        if np.array_equal(new, label):
+            return label
+        label = new
+
+
+def components_in_groups(edges: DataFrame, group: list[str], large: int = LARGE_GROUP) -> DataFrame:
+    """``group, node, component`` of the nodes of ``edges(group, src, dst)``, whose edges never leave their group.
+
+    Groups come many to an Arrow batch, whose components are found at once; a group of more
+    than ``large`` edges is left to ``connected_components``, so no task holds one. Node ids
+    are unique over all groups. Null ends are dropped; no edges give no rows.
+    """
+    types = dict(edges.dtypes)
+    whole = written(edges.select(*group, "src", "dst").where("src is not null and dst is not null"), "group-edges")
+    sizes = written(whole.groupBy(*group).agg(F.count("*").alias("__n")).where(F.col("__n") > large).drop("__n"), "group-large")
+    none = sizes.isEmpty()
+    small = whole if none else whole.join(sizes, group, "left_anti")
+    packed = small.groupBy(*group).agg(F.collect_list(F.struct("src", "dst")).alias("__e"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("__e")
+            flat, offsets = column.flatten(), column.offsets.to_numpy()
+            ends = [flat.field(f).to_numpy() for f in ("src", "dst")]
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            nodes, first, place = np.unique(np.concatenate(ends), return_index=True, return_inverse=True)
+            label = least_labels(place[: len(owner)], place[len(owner) :], len(nodes))
+            of = pa.array(np.concatenate([owner, owner])[first])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(of) for k in group), pa.array(nodes), pa.array(nodes[label])], names=[*group, "node", "component"])
+
+    found = packed.mapInArrow(run, ", ".join([*(f"`{k}` {types[k]}" for k in group), f"node {types['src']}, component {types['src']}"]))
+    if none:
+        return found
+    many = whole.join(sizes, group)
+    named = many.select(*group, F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return found.unionByName(named.join(connected_components(many), "node").select(*group, "node", "component"))

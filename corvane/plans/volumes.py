@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,6 +18,8 @@ from corvane.operators import sampling as S
 from corvane.operators import surfaces as U
 from corvane.plans.nesting import numbered_lines
 from corvane.session import load, new_path
+from corvane.sources import catalog as K
+from corvane.sources import readers as R
 from corvane.sources import workbooks as W
 from corvane.streaming import tracks as T
 from corvane.streaming import trajectories as J
@@ -180,6 +183,29 @@ def q145_overridden_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_hand.unionByName(found)
 
 
+def q146_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many fragments of each of three bones every order's label values name; ten values a bone."""
+    return K.pelvic_fragments(load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), (F.col("l_partkey") % 33).alias("value")))
+
+
+def _decoded(content: bytes) -> dict | None:
+    """A JSON file's ``key`` and ``size``; nothing for one that isn't JSON."""
+    try:
+        held = json.loads(content)
+        return {"key": int(held["key"]), "size": len(content)}
+    except (ValueError, KeyError):
+        return None
+
+
+def q147_decoded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each nation's suppliers, decoded in tasks; those that can't be decoded are left out."""
+    path = new_path(spark, "blobs")
+    s = load(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("n"))
+    text = F.when(F.col("s_nationkey") % 4 == 0, F.lit("broken {")).otherwise(F.concat(F.lit('{"key": '), F.col("s_nationkey").cast("string"), F.lit(', "n": '), F.col("n").cast("string"), F.lit("}")))
+    s.select("s_nationkey", text.alias("value")).write.partitionBy("s_nationkey").text(path)
+    return R.blobs(spark, path, "*.txt", _decoded, "key int, size int")
+
+
 QUERIES = {k: v for k, v in globals().items() if k[0] == "q" and k[1:3].isdigit()}
 
 _AREAS = ", ".join(f"({k}, {a!r}::double)" for k, a in enumerate(U.surface_areas(SPACING)))
@@ -270,6 +296,8 @@ f as (select r place, o_orderkey asked, row_number() over (order by r) k from o
 s as (select o_orderkey, o_orderstatus, row_number() over (order by r <= 600, r) k, count(*) over () n from o where ok)
 select r place, o_orderkey asked, o_orderkey, o_orderstatus from o where r <= 600 and ok
 union all select place, asked, s.o_orderkey, s.o_orderstatus from f join s on s.k = (f.k - 1) % s.n + 1""",
+    "q146_fragments": "with l as (select l_orderkey as key, l_partkey % 33 v from lineitem) select key, " + ", ".join(f'count(distinct case when v between {10 * i + 1} and {10 * i + 10} then v end) "{n}"' for i, n in enumerate(("sacrum", "left hip bone", "right hip bone"))) + " from l group by 1",
+    "q147_decoded_files": """select s_nationkey as key, cast(length('{"key": ' || s_nationkey || ', "n": ' || count(*) || '}') + 1 as int) as size from supplier where s_nationkey % 4 > 0 group by s_nationkey""",
     "q145_overridden_sections": """with r as (select doc_id, md5(text) f, lang || '!' i, chr(10) || ' FINDINGS: ' || md5(text) || chr(10) || ' IMPRESSION: ' || lang || '!' t from documents)
 select doc_id, 'findings' as "name", substr(t, doc_id % 20 + 1, 15) as text from r where doc_id % 3 = 1
 union all select doc_id, case when doc_id % 2 = 0 then 'impression' else 'comparison' end, case when doc_id % 2 = 0 then i else '' end from r where doc_id % 3 = 0

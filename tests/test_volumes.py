@@ -461,3 +461,23 @@ def test_full_cost_is_the_cheapest(spark):
         assert got[image][0] == len(few) and got[image][1] == pytest.approx(best, abs=1e-4)
         n += 1
     assert n > 200
+
+
+def test_components_in_groups(spark):
+    from corvane.operators.components import components_in_groups
+
+    rng, rows, want = random.Random(6), [], {}
+    for g in range(50):
+        nodes = list(range(100 * g, 100 * g + 30))
+        edges = [(rng.choice(nodes), rng.choice(nodes)) for _ in range(rng.randrange(1, 40))]
+        label = {n: n for e in edges for n in e}
+        for _ in nodes:
+            for a, b in edges:
+                label[a] = label[b] = min(label[a], label[b])
+        want |= {(g, n): c for n, c in label.items()}
+        rows += [(g, a, b) for a, b in edges]
+    df = spark.createDataFrame([*rows, (7, None, 701), (7, 702, None)], "g int, src long, dst long")
+    for large in (10, 100_000):
+        got = {(r.g, r.node): r.component for r in components_in_groups(df, ["g"], large).collect()}
+        assert got == want
+    assert components_in_groups(df.where("false"), ["g"]).collect() == []
