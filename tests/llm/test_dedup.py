@@ -181,7 +181,7 @@ def test_finer_pools_lose_no_similar_pair(spark):
             s = set(base)
             for x in rng.sample(sorted(base), rng.randint(0, max(1, len(base) // 6))):
                 s.discard(x)
-            s |= {rng.randrange(2000) for _ in range(rng.randint(0, len(base) // 8))}
+            s |= {rng.randrange(10**6) for _ in range(rng.randint(0, len(base) // 8))}
             sets.append(sorted(s or {1}))
     rows = [(1, i, (False, i, i), s) for i, s in enumerate(sets)]
     df = spark.createDataFrame(rows, "pool long, node long, rank struct<unnamed: boolean, doc_id: long, key: long>, set array<long>")
