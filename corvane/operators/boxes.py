@@ -132,8 +132,61 @@ def consensus_boxes(boxes: DataFrame, key: list[str], rater: str) -> DataFrame:
         n = np.bincount(label)
         return {"n": n.astype(np.int64)} | {c: np.bincount(label, corners[:, k]) / n for k, c in enumerate(CORNERS)}
 
+    def many(parts: dict[str, np.ndarray], offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+        """Groups of one size at a time; the threshold rises for those that still have too large a cluster."""
+        sizes = np.diff(offsets)
+        corners = np.stack([parts[c] for c in CORNERS], axis=1).astype(float)
+        done = sizes <= SMALL_GROUP
+        owner, out = [np.zeros(0, np.int64)], [np.zeros((0, 5))]
+        for n in np.unique(sizes[done]):
+            own = np.flatnonzero(sizes == n)
+            step = max(1, PAIRS_AT_ONCE // int(n * n))
+            for which in (own[k : k + step] for k in range(0, len(own), step)):
+                at = offsets[which][:, None] + np.arange(n)
+                label = _rising_labels(corners[at], parts[rater][at])
+                flat = (np.arange(len(which))[:, None] * n + label).ravel()
+                count = np.bincount(flat, minlength=len(which) * n)
+                held = np.flatnonzero(count)
+                sums = [np.bincount(flat, corners[at.ravel(), k], len(which) * n)[held] / count[held] for k in range(4)]
+                owner.append(which[held // n])
+                out.append(np.column_stack([count[held], *sums]))
+        rows = np.concatenate(out)
+        return done, np.concatenate(owner), {"n": rows[:, 0].astype(np.int64)} | {c: rows[:, k + 1] for k, c in enumerate(CORNERS)}
+
     one = lambda r: {"n": F.lit(1)} | {c: r[c] for c in CORNERS}
-    return per_group(boxes, key, [*CORNERS, rater], run, "n long, " + ", ".join(f"{c} double" for c in CORNERS), one)
+    return per_group(boxes, key, [*CORNERS, rater], run, "n long, " + ", ".join(f"{c} double" for c in CORNERS), one, many)
+
+
+def _rising_labels(boxes: np.ndarray, raters: np.ndarray, start: float = 0.25, step: float = 0.05) -> np.ndarray:
+    """``raters_clusters`` of many groups of one size: ``boxes`` is group x place x corner."""
+    groups, n = raters.shape
+    ordered = np.sort(raters, axis=1)
+    most = 1 + (ordered[:, 1:] != ordered[:, :-1]).sum(axis=1)
+    near = _overlaps(boxes)
+    differ = raters[:, :, None] != raters[:, None, :]
+    out, open_, threshold = np.zeros((groups, n), np.int64), np.arange(groups), start
+    while len(open_):
+        linked = (near[open_] >= threshold) & differ[open_]
+        label = np.broadcast_to(np.arange(n), (len(open_), n))
+        while True:
+            new = np.minimum(label, np.where(linked, label[:, None, :], n).min(axis=2, initial=n))
+            if np.array_equal(new, label):
+                break
+            label = new
+        largest = (label[:, :, None] == label[:, None, :]).sum(axis=2).max(axis=1, initial=0)
+        settled = (largest <= most[open_]) | (threshold >= 1)
+        out[open_[settled]] = label[settled]
+        open_ = open_[~settled]
+        threshold = round(threshold + step, 10)
+    return out
+
+
+def _overlaps(b: np.ndarray) -> np.ndarray:
+    """The IoU of every two boxes of each group of one size."""
+    side = np.minimum(b[:, :, None, 2:], b[:, None, :, 2:]) - np.maximum(b[:, :, None, :2], b[:, None, :, :2])
+    shared = np.prod(np.maximum(side, 0), axis=-1)
+    area = np.prod(b[..., 2:] - b[..., :2], axis=-1)
+    return shared / (area[:, :, None] + area[:, None, :] - shared + EPSILON)
 
 
 def keep_best(boxes: np.ndarray, scores: np.ndarray, threshold: float) -> np.ndarray:
@@ -168,11 +221,7 @@ def suppressed(detections: DataFrame, group: list[str], score: str, order: str,
             for begin in range(0, len(own), max(1, PAIRS_AT_ONCE // int(n * n))):
                 which = own[begin : begin + max(1, PAIRS_AT_ONCE // int(n * n))]
                 at = offsets[which][:, None] + np.arange(n)
-                b = corners[at]
-                side = np.minimum(b[:, :, None, 2:], b[:, None, :, 2:]) - np.maximum(b[:, :, None, :2], b[:, None, :, :2])
-                shared = np.prod(np.maximum(side, 0), axis=-1)
-                area = np.prod(b[..., 2:] - b[..., :2], axis=-1)
-                near = shared / (area[:, :, None] + area[:, None, :] - shared + EPSILON) > threshold
+                near = _overlaps(corners[at]) > threshold
                 kept = np.ones(at.shape, bool)
                 for k in range(n - 1):
                     kept[:, k + 1 :] &= ~(kept[:, k : k + 1] & near[:, k, k + 1 :])

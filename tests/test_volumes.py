@@ -481,3 +481,23 @@ def test_components_in_groups(spark):
         got = {(r.g, r.node): r.component for r in components_in_groups(df, ["g"], large).collect()}
         assert got == want
     assert components_in_groups(df.where("false"), ["g"]).collect() == []
+
+
+def test_groups_done_together_are_as_done_alone(spark, monkeypatch):
+    """Suppression and consensus of many small groups at once, and of each group by itself."""
+    rng, rows = random.Random(12), []
+    for g in range(80):
+        for k in range(rng.randrange(1, 9)):
+            x, y = rng.uniform(0, 20), rng.uniform(0, 20)
+            rows.append((g, k, rng.randrange(4), rng.randrange(6) / 6, x, y, x + rng.uniform(5, 25), y + rng.uniform(5, 25)))
+    df = spark.createDataFrame(rows, "g int, k long, rater long, score double, x1 double, y1 double, x2 double, y2 double")
+
+    def both():
+        kept = B.suppressed(df, ["g"], "score", "k", 0.3, after=3)
+        mean = B.consensus_boxes(df, ["g"], "rater")
+        rounded = lambda r: tuple(round(v, 9) if isinstance(v, float) else v for v in r)
+        return sorted((r.g, r.k) for r in kept.collect()), sorted(map(rounded, mean.collect()))
+
+    together = both()
+    monkeypatch.setattr(B, "SMALL_GROUP", 0)
+    assert both() == together and len(together[0]) > 100
