@@ -217,9 +217,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Gam:
 
     # ``chosen`` has max_rows rows at most, and rows that share a doc_id become one before they leave Spark
     made = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, quality int, x array<double>")
-    rows = made.groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("r")).select("doc_id", "r.quality", "r.x").collect()
-    rows = sorted(((zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.quality, r.x) for r in rows))
-    return fit(np.array([r[3] for r in rows]).reshape(-1, len(FEATURES)), np.array([r[2] for r in rows], float))
+    rows = made.groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("r")).select("doc_id", "r.quality", "r.x").toArrow()
+    ids = rows["doc_id"].to_pylist()
+    order = np.array(sorted(range(len(ids)), key=lambda k: (zlib.crc32(str(ids[k]).encode()), ids[k])), np.int64)
+    x = rows["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))
+    return fit(x[order], rows["quality"].to_numpy()[order].astype(float))
 
 
 def scored(docs: DataFrame, model: Gam, carry: tuple[str, ...] = ()) -> DataFrame:

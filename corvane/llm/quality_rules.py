@@ -76,8 +76,9 @@ def bucket_counts(docs: DataFrame, trusted: DataFrame, n_buckets: int = N_BUCKET
         made = raw_part.union(good.select("bucket", F.lit(0).cast("long").alias("raw"), "target"))
     sums = made.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(n_buckets), np.zeros(n_buckets)
-    for bucket, r, t in sums.collect():
-        raw[bucket], target[bucket] = r, t
+    got = sums.toArrow()  # columns, not a Python object for each bucket
+    at = got["bucket"].to_numpy()
+    raw[at], target[at] = got["raw"].to_numpy(), got["target"].to_numpy()
     return raw, target
 
 
