@@ -66,6 +66,7 @@ def chunks(data: np.ndarray, bounds: np.ndarray, limit: int = CHUNK_BYTES) -> It
         end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + limit, "right")) - 1)
         yield at, end, data[bounds[at] : bounds[end]], bounds[at : end + 1] - bounds[at]
         at = end
+    pa.default_memory_pool().release_unused()  # workers live on from stage to stage
 
 
 class Powers:
