@@ -16,7 +16,7 @@ seed, doc_id and the unit's place, so each occurrence of a word has skips of its
 Equal units of a chunk are worked out once only where no key matters, at rate 0, or where
 a caller bounds the keys to ``variants`` values.
 
-Batches of ids leave a task in chunks of about a megabyte of text, and are decoded in chunks.
+Batches of ids leave a task in chunks of about half a megabyte of text, and are decoded in chunks.
 
 Decoding joins the pieces' bytes again, so encoding loses nothing: a character without a
 piece becomes byte pieces, and so does U+2581, which would read as a space otherwise.

@@ -35,7 +35,6 @@ from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -214,8 +213,8 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, s
 def _set_rows(batch: pa.RecordBatch, shingle: int, seed: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of texts of a batch: first, end, and the distinct shingle hashes with their texts, sorted by text and hash."""
     data, bounds = texts_of(batch.column("text"))
-    data = LOWER[data]
     for a, b, part, cut in chunks(data, bounds):
+        part = LOWER[part]
         hashes, doc = shingle_hashes(part, Scan(part, cut), shingle, seed)
         order = np.lexsort((hashes, doc))
         hashes, doc = hashes[order], doc[order]
@@ -272,13 +271,14 @@ def pools(nodes: DataFrame, similarity: float = SIMILARITY, chunk: int = 2 * CHU
     return found.select("node", F.col("component").alias("pool"))
 
 
-def _first_apart(pdf: pd.DataFrame) -> pd.DataFrame:
+def _first_apart(rows: pa.Table) -> pa.Table:
     """Of a pool's candidates in order, those that no kept one before them is similar to; ``near`` lists the places of similar ones."""
+    places = rows["place"].to_pylist()
     kept: set[int] = set()
-    for place, near in sorted(zip(pdf["place"].tolist(), pdf["near"].tolist(), strict=True)):
-        if not kept.intersection(int(x) for x in near):
+    for place, near in sorted(zip(places, rows["near"].to_pylist(), strict=True)):
+        if not kept.intersection(near):
             kept.add(place)
-    return pdf[pdf["place"].isin(kept)][["pool", "node"]]
+    return rows.select(["pool", "node"]).filter(pa.array([place in kept for place in places], pa.bool_()))
 
 
 def finer_pools(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -352,7 +352,7 @@ def removed_nodes(members: DataFrame, similarity: float = SIMILARITY, first: int
         judged = near.groupBy("pool", "node", "place").agg(F.collect_list("near").alias("near"))
         open_ones = own.join(free, ["pool", "node"], "left_anti").join(beaten, "node", "left_anti").select("pool", "node", "place")
         judged = open_ones.join(judged.select("node", "near"), "node", "left").select("pool", "node", "place", F.coalesce("near", F.expr("cast(array() as array<int>)")).alias("near"))
-        kept = put(free.union(judged.groupBy("pool").applyInPandas(_first_apart, "pool long, node long")), "pool-kept")
+        kept = put(free.union(judged.groupBy("pool").applyInArrow(_first_apart, "pool long, node long")), "pool-kept")
         dropped = written(close.join(kept.select(F.col("node").alias("head")), "head", "left_semi").select("node").distinct(), "pool-dropped")
         gone = dropped if gone is None else gone.union(dropped)
         left = put(join_checked(left, put(dropped.union(own.select("node")).distinct(), "pool-done"), "node", "left_anti"), "pool-members")
