@@ -113,11 +113,21 @@ def consistent(df: DataFrame, key: list[str], fields: list[str]) -> tuple[DataFr
     return seen.where(agree).select(*key, *(F.col(f"__a.{f}").alias(f) for f in fields)), seen.where(~agree).select(*key)
 
 
+def sequence_verdicts(df: DataFrame, key: str, number: str, shape: str) -> DataFrame:
+    """``key`` and ``whole``: whether its numbers run from 1 to n without gap and its shapes are one.
+
+    Repeats of a number meet first, so a row is shuffled once and a distinct number once more, never a copy of a row for each count.
+    """
+    apart = df.groupBy(key, number).agg(F.count("*").alias("n"), F.min(shape).alias("low"), F.max(shape).alias("high"))
+    seen = apart.groupBy(key).agg(F.min(number).alias("a"), F.max(number).alias("b"), F.sum("n").alias("n"), F.count(number).alias("d"), F.min("low").alias("low"), F.max("high").alias("high"))
+    good = (F.col("a") == 1) & (F.col("b") == F.col("n")) & (F.col("d") == F.col("n")) & (F.col("low") == F.col("high"))
+    return seen.select(key, F.coalesce(good, F.lit(False)).alias("whole"))
+
+
 def whole_sequences(df: DataFrame, key: str, number: str, shape: str) -> tuple[DataFrame, DataFrame]:
     """Keys whose numbers run from 1 to n without gap and whose shapes are one; and the others."""
-    seen = df.groupBy(key).agg(F.min(number).alias("a"), F.max(number).alias("b"), F.count("*").alias("n"), F.countDistinct(number).alias("d"), F.countDistinct(shape).alias("s"))
-    good = (F.col("a") == 1) & (F.col("b") == F.col("n")) & (F.col("d") == F.col("n")) & (F.col("s") == 1)
-    return seen.where(good).select(key), seen.where(~F.coalesce(good, F.lit(False))).select(key)
+    seen = sequence_verdicts(df, key, number, shape)
+    return seen.where("whole").select(key), seen.where("not whole").select(key)
 
 
 def pending(df: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:

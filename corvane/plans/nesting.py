@@ -143,8 +143,8 @@ def q72_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q73_whole_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders whose line numbers run from 1 without gap, with one status."""
-    good, bad = N.whole_sequences(load(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_linestatus")
-    return good.agg(F.lit("whole").alias("kind"), F.count("*").alias("n"), F.sum("l_orderkey").alias("total")).union(bad.agg(F.lit("broken"), F.count("*"), F.sum("l_orderkey")))
+    seen = N.sequence_verdicts(load(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_linestatus")
+    return seen.groupBy(F.when(F.col("whole"), "whole").otherwise("broken").alias("kind")).agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("total"))
 
 
 def q74_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
