@@ -143,8 +143,9 @@ def contours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q142_contour_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cells that half of a lesion's raters drew, from contours, by slice; and how many slices are left of those at one place."""
     c = contours(spark, sf_dir)
-    cells = Z.consensus_of(c, ["l_orderkey"], "rater", "z", "points", 3)
-    by_slice = cells.groupBy("l_orderkey", "z").agg(F.count("*").alias("cells"), F.sum(F.col("x") * 100 + F.col("y")).alias("code"))
+    n = F.col("last").cast("long") - F.col("first") + 1
+    runs = Z.consensus_runs(c, ["l_orderkey"], "rater", "z", "points", 3)
+    by_slice = runs.groupBy("l_orderkey", "z").agg(F.sum(n).alias("cells"), F.sum(F.expr("((cast(first as long) + last) * (cast(last as long) - first + 1)) div 2") * 100 + n * F.col("y")).alias("code"))
     kept = Z.slices_once(c.select("l_orderkey", "z", "l_linenumber"), "l_orderkey", "z", "l_linenumber")
     return by_slice.join(kept.select("l_orderkey", "z", F.col("l_linenumber").alias("slice")), ["l_orderkey", "z"])
 
