@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.geometry import fitting_side, patch_start, window_starts
 from corvane.operators.sampling import toss, uniform
+from corvane.session import dealt
 
 #: Width of the Gaussian as a share of a tile's side, its height, and the least weight (the smallest half-precision number).
 SIGMA, HEIGHT, LEAST = 1 / 8, 10.0, 2.0**-24
@@ -20,6 +22,15 @@ def gaussian_weight(places: list[Column], tile: list[int], sigma: float = SIGMA,
     return F.greatest(F.lit(height) * F.exp(power * -0.5), F.lit(LEAST))
 
 
+def spread_volumes(volumes: DataFrame, key: list[str], sizes: list[str]) -> DataFrame:
+    """``volumes`` by key in as many tasks as their cells ask for; what is grouped by key and cell from there on stays where it is.
+
+    A small table of volumes is one file and so one task, however many cells it holds.
+    """
+    cells = volumes.agg(F.sum(reduce(lambda a, b: a * b, (F.col(s).cast("long") for s in sizes)))).first()[0]
+    return dealt(volumes, cells or 0, *key)
+
+
 def window_cells(volumes: DataFrame, sizes: list[str], tile: list[int], axes: list[str]) -> DataFrame:
     """``volumes`` with a row for each cell of each half-overlapping window: ``window`` (in order), ``axes`` (places in the volume) and ``in_<axis>`` (in the window); cells beyond a small volume's edge are left out."""
     out = volumes

@@ -102,7 +102,7 @@ def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q139_window_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows over every supplier's volume, each with a prediction of its cells, merged under a Gaussian weight; how many cells are set, and the sum."""
-    cells = P.window_cells(volumes(spark, sf_dir), ["nz", "ny", "nx"], TILE, ["z", "y", "x"])
+    cells = P.window_cells(P.spread_volumes(volumes(spark, sf_dir), ["k"], ["nz", "ny", "nx"]), ["nz", "ny", "nx"], TILE, ["z", "y", "x"])
     p = F.pmod(F.col("k") * 7 + F.col("window.z") * 3 + F.col("window.y") * 5 + F.col("window.x") * 11 + F.col("z") * 13 + F.col("y") * 17 + F.col("x") * 19, F.lit(23)) / 22.0
     made = P.merged(cells, ["k"], ["z", "y", "x"], p, P.gaussian_weight([F.col("in_z"), F.col("in_y"), F.col("in_x")], TILE))
     return made.groupBy("k").agg(F.count("*").alias("cells"), F.sum(F.col("set").cast("long")).alias("n_set"), F.round(F.sum("value"), 4).alias("total"))
