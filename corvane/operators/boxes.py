@@ -279,6 +279,44 @@ def assignment(cost: np.ndarray) -> np.ndarray:
     return out
 
 
+def assignments(cost: np.ndarray) -> np.ndarray:
+    """``assignment`` of many groups of one size, step by step in all of them: ``cost`` is group x row x column, the result group x row."""
+    groups, n, m = cost.shape
+    row_price, col_price, owner = np.zeros((groups, n)), np.zeros((groups, m)), np.full((groups, m), -1)
+    for row in range(n):
+        slack, came, used = np.full((groups, m), np.inf), np.full((groups, m), -1), np.zeros((groups, m), bool)
+        at, col, open_ = np.full(groups, row), np.full(groups, -1), np.arange(groups)
+        while len(open_):
+            gain = cost[open_, at[open_]] - row_price[open_, at[open_]][:, None] - col_price[open_]
+            shut, low = used[open_], slack[open_]
+            better = ~shut & (gain < low)
+            low = np.where(better, gain, low)
+            came[open_] = np.where(better, col[open_][:, None], came[open_])
+            free = np.where(shut, np.inf, low)
+            nxt = free.argmin(axis=1)
+            delta = free[np.arange(len(open_)), nxt]
+            row_price[open_, row] += delta
+            which, taken = np.nonzero(shut)
+            row_price[open_[which], owner[open_[which], taken]] += delta[which]
+            col_price[open_] -= np.where(shut, delta[:, None], 0)
+            slack[open_] = np.where(shut, low, low - delta[:, None])
+            used[open_, nxt] = True
+            col[open_] = nxt
+            held = owner[open_, nxt]
+            at[open_] = held
+            open_ = open_[held >= 0]
+        open_ = np.arange(groups)
+        while len(open_):
+            before = came[open_, col[open_]]
+            owner[open_, col[open_]] = np.where(before >= 0, owner[open_, before], row)
+            col[open_] = before
+            open_ = open_[before >= 0]
+    out = np.full((groups, n), -1)
+    which, column = np.nonzero(owner >= 0)
+    out[which, owner[which, column]] = column
+    return out
+
+
 def assigned(costs: DataFrame, group: list[str], query: str, truth: str, cost: str) -> DataFrame:
     """The one-to-one pairs of least total cost in each group of ``costs``; a missing pair can't be chosen unless nothing else can."""
 
@@ -375,8 +413,42 @@ def slot_matches(pairs: DataFrame, group: list[str], query: str, truth: str, cos
         found = slots(grid, 1 - p, p, int(part[uncertain][0]))
         return {query: queries, "match": np.where(found >= 0, truths[np.maximum(found, 0)], found) if len(truths) else found}
 
+    def many(parts: dict[str, np.ndarray], offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+        """Groups with as many queries, truths and uncertain slots at a time; rows come by query, then truth."""
+        sizes = np.diff(offsets)
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(of)) - (offsets[:-1] - offsets[0])[of]
+        q, t = parts[query][offsets[0] : offsets[-1]], parts[truth][offsets[0] : offsets[-1]].astype(float)
+        start = offsets[:-1] - offsets[0]
+        bare = np.isnan(t[start])
+        across = np.where(bare, 1, np.bincount(of[q == q[start][of]], minlength=len(sizes)))
+        begin = start[of] + place // across[of] * across[of]
+        fits = (q == q[begin]) & np.where(bare[of], np.isnan(t), t == t[start[of] + place % across[of]])
+        fits &= (place % across[of] > 0) | (place == 0) | (q != q[np.maximum(np.arange(len(q)) - 1, 0)])
+        done = (sizes <= SMALL_GROUP) & (sizes % across == 0) & (np.bincount(of[~fits], minlength=len(sizes)) == 0)
+        kinds = np.stack([sizes // across, np.where(bare, 0, across), parts[uncertain][offsets[:-1]].astype(np.int64)], axis=1)
+        owner, queries, matches = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for n, m, free in np.unique(kinds[done], axis=0):
+            which = np.flatnonzero(done & (kinds == (n, m, free)).all(axis=1))
+            at = offsets[which][:, None] + np.arange(n) * max(m, 1)
+            p = parts[probability].astype(float)[at]
+            n_uncertain = int(min(max(n - m, 0), free))
+            n_negative = int(max(n - m - n_uncertain, 0))
+            whole = np.zeros((len(which), n, m + n_negative + n_uncertain))
+            if m:
+                whole[:, :, :m] = parts[cost].astype(float)[at[:, :, None] + np.arange(m)] + (1 - p)[:, :, None]
+            whole[:, :, m : m + n_negative] = p[:, :, None]
+            column = np.zeros((len(which), n), np.int64) if n_negative == n else assignments(whole)
+            found = np.where(column < m + n_negative, NEGATIVE, UNCERTAIN)
+            if m:
+                found = np.where(column < m, parts[truth][offsets[which][:, None] + np.minimum(column, m - 1)], found)
+            owner.append(np.repeat(which, n))
+            queries.append(at.ravel())
+            matches.append(found.ravel().astype(np.int64))
+        return done, np.concatenate(owner), {query: parts[query][np.concatenate(queries)], "match": np.concatenate(matches)}
+
     types = dict(pairs.dtypes)
-    return per_group(pairs, group, [query, truth, cost, probability, uncertain], run, f"{query} {types[query]}, match long")
+    return per_group(pairs, group, [query, truth, cost, probability, uncertain], run, f"{query} {types[query]}, match long", many=many)
 
 
 def distinct_boxes(boxes: DataFrame, key: list[str]) -> DataFrame:
