@@ -16,6 +16,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ACTIVE, TOLERANCE = 0.6, 10
 UNBORN = -1
+#: Frames of a sequence, and rows that come in, which are in memory together.
+SPAN, ROWS_KEPT = 1 << 14, 1 << 18
 
 
 def advance(state: tuple[int, int, int], score: float, active: float = ACTIVE, tolerance: int = TOLERANCE) -> tuple[int, int, int]:
@@ -96,8 +98,10 @@ def stream_sequences(obs: DataFrame, seq: str, frame: str, slot: str, score: str
     and the timer moves on. So the result doesn't depend on how the stream is cut; rows later
     than the watermark are left out by Spark, rows that it hasn't passed yet stay waiting.
     Repeats of a frame and slot that wait together count once, the last one. ``obs`` needs a
-    watermark on ``at``, the session the RocksDB state store. A sequence's state is a map of
-    its slots and the rows waiting; its rows meet in one task, as the shared counter asks.
+    watermark on ``at``, the session the RocksDB state store, frames are numbers. A sequence's
+    state is a map of its slots and the rows waiting, in chunks by spans of ``SPAN`` frames;
+    its rows meet in one task, as the shared counter asks, but only a span's rows, or
+    ``ROWS_KEPT`` rows that come in, are in memory at once.
     """
     types = dict(obs.dtypes)
 
@@ -106,41 +110,73 @@ def stream_sequences(obs: DataFrame, seq: str, frame: str, slot: str, score: str
             self.handle = handle
             self.slots = handle.getMapState("slots", f"slot {types[slot]}", "id long, age long")
             self.fresh = handle.getValueState("fresh", "n long")
-            self.waiting = handle.getListState("waiting", f"at long, frame {types[frame]}, slot {types[slot]}, score double")
+            self.spans = handle.getMapState("spans", "span long", "chunks long, earliest long")
+            self.waiting = handle.getMapState("waiting", "span long, chunk long", f"at array<long>, frame array<{types[frame]}>, slot array<{types[slot]}>, score array<double>")
+
+        def keep(self, parts: list[pd.DataFrame]) -> None:
+            """Rows into the chunks of their spans; a span's next chunk each."""
+            for span, own in pd.concat(parts).groupby("span"):
+                low = int(own["millis"].min())
+                chunks, earliest = tuple(self.spans.getValue((int(span),))) if self.spans.containsKey((int(span),)) else (0, low)
+                self.waiting.updateValue((int(span), chunks), tuple(own[c].tolist() for c in ("millis", "frame", "slot", "score")))
+                self.spans.updateValue((int(span),), (chunks + 1, min(earliest, low)))
 
         def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            parts, n, low = [], 0, None
             for part in rows:
-                self.waiting.appendList(list(zip(*(part[c].tolist() for c in ("millis", "frame", "slot", "score")), strict=True)))
-                self.handle.registerTimer(int(part["millis"].min()))
+                if not len(part):
+                    continue
+                parts.append(part)
+                n += len(part)
+                low = int(part["millis"].min()) if low is None else min(low, int(part["millis"].min()))
+                if n >= ROWS_KEPT:
+                    self.keep(parts)
+                    parts, n = [], 0
+            if parts:
+                self.keep(parts)
+            if low is not None:
+                self.handle.registerTimer(low)
             yield pd.DataFrame([], columns=["seq", "frame", "slot", "track"], dtype=object)
 
         def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
             bound = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
-            held = list(self.waiting.get())
-            due = {(f, s): value for t, f, s, value in held if t <= bound}
-            if due:  # an earlier timer of this batch may have taken all
-                later = [tuple(row) for row in held if row[0] > bound]
+            spans = sorted((span[0], held[0]) for span, held in self.spans.iterator() if held[1] <= bound)
+            if not spans:  # an earlier timer of this batch may have taken all
+                return
+            life = {}
+            fresh = self.fresh.get()[0] if self.fresh.exists() else 0
+            for span, chunks in spans:  # one span's rows at a time, in order of frame
+                due, later = {}, []
+                for k in range(chunks):
+                    for t, f, s, value in zip(*self.waiting.getValue((span, k)), strict=True):
+                        if t <= bound:
+                            due[f, s] = value
+                        else:
+                            later.append((t, f, s, value))
+                    self.waiting.removeKey((span, k))
                 if later:
-                    self.waiting.put(later)
-                    self.handle.registerTimer(min(row[0] for row in later))
+                    low = min(row[0] for row in later)
+                    self.waiting.updateValue((span, 0), tuple(map(list, zip(*later, strict=True))))
+                    self.spans.updateValue((span,), (1, low))
+                    self.handle.registerTimer(low)
                 else:
-                    self.waiting.clear()
-                life = {s: tuple(self.slots.getValue((s,))) if self.slots.containsKey((s,)) else (UNBORN, 0) for s in {s for _, s in due}}
-                fresh = self.fresh.get()[0] if self.fresh.exists() else 0
+                    self.spans.removeKey((span,))
                 out = []
                 for f, s in sorted(due):
+                    if s not in life:
+                        life[s] = tuple(self.slots.getValue((s,))) if self.slots.containsKey((s,)) else (UNBORN, 0)
                     ident, age, fresh = advance((*life[s], fresh), due[f, s], active, tolerance)
                     life[s] = (ident, age)
                     out.append((key[0], f, s, ident))
-                for s, state in life.items():
-                    self.slots.updateValue((s,), state)
-                self.fresh.update((fresh,))
                 yield pd.DataFrame(out, columns=["seq", "frame", "slot", "track"], dtype=object)
+            for s, state in life.items():
+                self.slots.updateValue((s,), state)
+            self.fresh.update((fresh,))
 
         def close(self) -> None:
             pass
 
-    given = obs.select(F.col(seq).alias("seq"), F.col(frame).alias("frame"), F.col(slot).alias("slot"), F.col(score).cast("double").alias("score"), F.col(at).alias("at"), F.unix_millis(F.col(at).cast("timestamp")).alias("millis"))
+    given = obs.select(F.col(seq).alias("seq"), F.col(frame).alias("frame"), F.col(slot).alias("slot"), F.col(score).cast("double").alias("score"), F.col(at).alias("at"), F.unix_millis(F.col(at).cast("timestamp")).alias("millis"), F.floor(F.col(frame) / SPAN).cast("long").alias("span"))
     made = given.groupBy("seq").transformWithStateInPandas(Sequence(), f"seq {types[seq]}, frame {types[frame]}, slot {types[slot]}, track long", "Append", "EventTime")
     return made.select(F.col("seq").alias(seq), F.col("frame").alias(frame), F.col("slot").alias(slot), "track")
 
