@@ -60,6 +60,8 @@ MOST_HEADS = 1024
 WIDE_ROUNDS = 3
 #: Rows of a pool that are compared with its candidates under one join key, on average.
 POOL_PART = 1024
+#: Bits of the buckets whose counts order a pool's shingles, and shingles that one numpy pass takes.
+ORDER_BITS, STRIP_SHINGLES = 20, 1 << 17
 #: Shingles and Jaccard similarity of ``without_similar``.
 SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
 #: Bits that two documents at the similarity may differ by, in the first 64 and in all 128: beyond it lie one in ten thousand and one in a thousand.
@@ -281,6 +283,63 @@ def _first_apart(rows: pa.Table) -> pa.Table:
     return rows.select(["pool", "node"]).filter(pa.array([place in kept for place in places], pa.bool_()))
 
 
+def _set_strips(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of rows of a batch of ``pool, set``: first, end, the row of each shingle (from 0), the shingles, and the bucket of each."""
+    pool = batch.column("pool").to_numpy(zero_copy_only=False).view(np.uint64)
+    column = batch.column("set")
+    at = column.offsets.to_numpy()
+    values = column.values.to_numpy(zero_copy_only=False)
+    a = 0
+    while a < len(pool):
+        b = max(a + 1, int(np.searchsorted(at, at[a] + STRIP_SHINGLES, "right")) - 1)
+        row, h = np.repeat(np.arange(b - a), np.diff(at[a : b + 1])), values[at[a] : at[b]]
+        yield a, b, row, h, (mix(h.view(np.uint64) ^ mix(pool[a:b])[row]) >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
+        a = b
+
+
+def order_counts(members: DataFrame) -> np.ndarray:
+    """How many of the shingles of ``members(pool, set)`` each bucket of pool and shingle holds; tasks return sums, so no shingle is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << ORDER_BITS, np.int64)
+        for batch in batches:
+            for *_, bucket in _set_strips(batch):
+                np.add.at(total, bucket, 1)
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["bucket", "rows"])
+
+    sums = members.select("pool", "set").mapInArrow(run, "bucket long, rows long").groupBy("bucket").agg(F.sum("rows").alias("rows")).toArrow()
+    counts = np.zeros(1 << ORDER_BITS, np.int64)
+    counts[sums["bucket"].to_numpy()] = sums["rows"].to_numpy()
+    return counts
+
+
+def rare_prefixes(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``pool, h, node, fewer`` of the first shingles, from rare to common, of each row of ``members(pool, node, set)``, as many as ``finer_pools`` joins.
+
+    How rare a shingle is, its bucket tells; any one order of a pool's shingles gives right
+    prefixes, so shingles that share a bucket cost work at most. One that is alone in its
+    bucket takes its place in the prefix, but is in no other row and is left out.
+    """
+    shared = members.sparkSession.sparkContext.broadcast(order_counts(members))  # as large as the buckets are many
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, row, h, bucket in _set_strips(batch):
+                rows = shared.value[bucket]
+                order = np.lexsort((h, rows, row))
+                row, h, rows = row[order], h[order], rows[order]
+                n = np.bincount(row, minlength=b - a)
+                place = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+                within = lambda t: place <= (n - np.ceil(t * n - 1e-9))[row]  # noqa: B023, E731
+                take = within(similarity) & (rows > 1)
+                of = pa.array(row[take] + a)
+                fewer = within(2 * similarity / (1 + similarity))[take]
+                yield pa.RecordBatch.from_arrays([batch.column("pool").take(of), pa.array(h[take]), batch.column("node").take(of), pa.array(fewer)], names=["pool", "h", "node", "fewer"])
+
+    return members.select("pool", "node", "set").mapInArrow(run, "pool long, h long, node long, fewer boolean")
+
+
 def finer_pools(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``members(pool, node, rank, set)`` in finer pools, without the rows that are similar to no other.
 
@@ -290,14 +349,10 @@ def finer_pools(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     to the least row that has the shingle among its fewer first ones, and a new pool is a
     chain of them. Pages of one template that are less than similar differ in more than their
     first shingles, so they fall apart here, however many they are. Shingles of one row alone
-    come first, so only common ones are joined.
+    come first, so only common ones are joined; prefixes are cut where the sets lie, so no
+    other shingle becomes a row.
     """
-    shingles = written(members.select("pool", "node", F.size("set").alias("n"), F.explode("set").alias("h")), "pool-shingles")
-    common = written(shingles.groupBy("pool", "h").agg(F.count("*").alias("rows")).where("rows > 1"), "pool-common")
-    own = Window.partitionBy("node")
-    shared = shingles.join(common, ["pool", "h"]).withColumn("place", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("rows", "h")))
-    within = lambda t: F.col("place") <= F.col("n") - F.ceil(t * F.col("n") - 1e-9) + 1
-    first = written(shared.where(within(similarity)).select("pool", "h", "node", within(2 * similarity / (1 + similarity)).alias("fewer")), "pool-prefixes")
+    first = written(rare_prefixes(members, similarity), "pool-prefixes")
     edges = first.join(first.where("fewer").groupBy("pool", "h").agg(F.min("node").alias("dst")), ["pool", "h"]).select(F.col("node").alias("src"), "dst")
     chains = written(connected_components(edges.where("src <> dst")).select("node", F.col("component").alias("pool")), "pool-chains")
     return join_checked(members.drop("pool"), chains, "node", "inner").select("pool", "node", "rank", "set")

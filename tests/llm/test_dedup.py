@@ -189,3 +189,16 @@ def test_finer_pools_lose_no_similar_pair(spark):
     pairs = [(i, j) for i in range(len(sets)) for j in range(i) if _jaccard(set(sets[i]), set(sets[j])) >= 0.8]
     assert len(pairs) > 100 and all(i in pool and pool[i] == pool.get(j) for i, j in pairs)
     assert len(set(pool.values())) > 10
+
+
+def test_finer_pools_make_rows_of_prefixes_alone(spark, monkeypatch):
+    """A large group of near rows costs a row for each shingle of its prefixes, not for each of its shingles."""
+    rng, made, whole = random.Random(10), {}, simhash_dedup.written
+    frame = rng.sample(range(10**6), 100)
+    sets = [sorted({*frame, *(10**7 + 50 * i + k for k in range(30))}) for i in range(400)] + [[], [1]]
+    sets += [s[:-1] for s in sets[:40]]
+    df = spark.createDataFrame([(1, i, (False, i, i), s) for i, s in enumerate(sets)], "pool long, node long, rank struct<unnamed: boolean, doc_id: long, key: long>, set array<long>").repartition(4)
+    monkeypatch.setattr(simhash_dedup, "written", lambda frame, label: made.setdefault(label, whole(frame, label)))
+    pool = {r.node: r.pool for r in finer_pools(df).collect()}
+    assert pool == {i: i % 402 for i in [*range(40), *range(402, 442)]}
+    assert max(f.count() for f in made.values()) <= sum(len(s) - -(-4 * len(s) // 5) + 1 for s in sets) < sum(map(len, sets)) / 4
