@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.geometry import EPSILON, box, half_even, iou
 from corvane.operators.components import components_in_groups
+from corvane.session import spread
 
 CORNERS = ["x1", "y1", "x2", "y2"]
 #: Rows of a group that is done with others of its size, and pairs of rows that are compared at once.
@@ -52,48 +53,55 @@ def per_group(df: DataFrame, group: list[str], fields: list[str], fn: Callable[[
     return made if alone is None else made.unionByName(alone.select(*(F.col(n).cast(t).alias(n) for n, t in made.dtypes)))
 
 
-def overlapping(left: DataFrame, right: DataFrame, key: list[str], cell: float) -> DataFrame:
+def overlapping(left: DataFrame, right: DataFrame, key: list[str], cell: float, rows: int | None = None) -> DataFrame:
     """Pairs of boxes of one key whose closed boxes meet: columns of both, the right's led by ``o_``.
 
     Each box goes to the grid cells it touches; cells are an equi-join key, and a pair is
     kept in the one cell where the later of the two least corners lies, so it comes once.
+    With ``rows``, the boxes of a side, the number of tasks of the join follows from them.
     """
     cells = lambda a, b: F.sequence(F.floor(F.col(a) / cell).cast("long"), F.floor(F.col(b) / cell).cast("long"))
-    spread = lambda df: df.withColumn("__gx", F.explode(cells("x1", "x2"))).withColumn("__gy", F.explode(cells("y1", "y2")))
+    placed = left.withColumn("__gx", F.explode(cells("x1", "x2"))).withColumn("__gy", F.explode(cells("y1", "y2")))
     others = right.select(*key, *(F.col(c).alias(f"o_{c}") for c in right.columns if c not in key))
-    spread_o = others.withColumn("__gx", F.explode(cells("o_x1", "o_x2"))).withColumn("__gy", F.explode(cells("o_y1", "o_y2")))
-    pairs = spread(left).join(spread_o, [*key, "__gx", "__gy"])
+    placed_o = others.withColumn("__gx", F.explode(cells("o_x1", "o_x2"))).withColumn("__gy", F.explode(cells("o_y1", "o_y2")))
+    at = [*key, "__gx", "__gy"]
+    pairs = spread(placed, rows, *at).join(spread(placed_o, rows, *at), at)
     meet = (F.col("x1") <= F.col("o_x2")) & (F.col("o_x1") <= F.col("x2")) & (F.col("y1") <= F.col("o_y2")) & (F.col("o_y1") <= F.col("y2"))
     once = (F.floor(F.greatest("x1", "o_x1") / cell) == F.col("__gx")) & (F.floor(F.greatest("y1", "o_y1") / cell) == F.col("__gy"))
     return pairs.where(meet & once).drop("__gx", "__gy")
 
 
-def agreeing_pairs(boxes: DataFrame, key: list[str], ident: str, rater: str, threshold: float, same_rater: bool = False, cell: float = 32.0) -> DataFrame:
+def agreeing_pairs(boxes: DataFrame, key: list[str], ident: str, rater: str, threshold: float, same_rater: bool = False, cell: float = 32.0, n_rows: int | None = None) -> DataFrame:
     """Pairs of boxes of one key by different raters (or by the same) whose IoU reaches ``threshold``, above 0: ``src, dst, iou``.
 
     Such boxes meet, so the pairs come from the grid of ``cell``.
     """
     rows = boxes.select(*key, F.col(ident).alias("src"), F.col(rater).alias("rater"), *CORNERS)
-    test = (F.col("rater") == F.col("o_rater")) if same_rater else (F.col("rater") != F.col("o_rater"))
-    pairs = overlapping(rows, rows, key, cell).where((F.col("src") < F.col("o_src")) & test)
+    pairs = overlapping(rows, rows, [*key, "rater"] if same_rater else key, cell, n_rows).where("src < o_src")
+    if not same_rater:
+        pairs = pairs.where("rater <> o_rater")
     return pairs.select(*key, "src", F.col("o_src").alias("dst"), iou(box(), box("o_")).alias("iou")).where(F.col("iou") >= threshold)
 
 
-def clustered(boxes: DataFrame, key: list[str], ident: str, pairs: DataFrame) -> DataFrame:
-    """``boxes`` with ``cluster``, the least ident that ``pairs(key, src, dst)`` reach; a box without a pair is its own."""
+def clustered(boxes: DataFrame, key: list[str], ident: str, pairs: DataFrame, n_rows: int | None = None) -> DataFrame:
+    """``boxes`` with ``cluster``, the least ident that ``pairs(key, src, dst)`` reach; a box without a pair is its own.
+
+    With ``n_rows``, the number of boxes, they lie by key and cluster in tasks that follow from it.
+    """
     labels = components_in_groups(pairs, key).select(F.col("node").alias(ident), F.col("component").alias("__cluster"))
-    return boxes.join(labels, ident, "left").withColumn("cluster", F.coalesce("__cluster", ident)).drop("__cluster")
+    joined = spread(boxes, n_rows, ident).join(spread(labels, n_rows, ident), ident, "left").withColumn("cluster", F.coalesce("__cluster", ident)).drop("__cluster")
+    return spread(joined, n_rows, *key, "cluster")
 
 
-def mean_boxes(boxes: DataFrame, key: list[str], ident: str, rater: str, threshold: float) -> DataFrame:
-    """Boxes of agreeing raters merged: the mean box and size of each cluster."""
-    joined = clustered(boxes, key, ident, agreeing_pairs(boxes, key, ident, rater, threshold))
+def mean_boxes(boxes: DataFrame, key: list[str], ident: str, rater: str, threshold: float, n_rows: int | None = None) -> DataFrame:
+    """Boxes of agreeing raters merged: the mean box and size of each cluster; with ``n_rows``, the number of boxes, in tasks that follow from it."""
+    joined = clustered(boxes, key, ident, agreeing_pairs(boxes, key, ident, rater, threshold, n_rows=n_rows), n_rows)
     return joined.groupBy(*key, "cluster").agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in CORNERS))
 
 
-def without_repeats(boxes: DataFrame, key: list[str], ident: str, rater: str, threshold: float = 0.9) -> DataFrame:
-    """Boxes of one key and rater that nearly coincide, as one: the first one's ident and rater, the rounded mean box."""
-    joined = clustered(boxes, key, ident, agreeing_pairs(boxes, key, ident, rater, threshold, same_rater=True))
+def without_repeats(boxes: DataFrame, key: list[str], ident: str, rater: str, threshold: float = 0.9, n_rows: int | None = None) -> DataFrame:
+    """Boxes of one key and rater that nearly coincide, as one: the first one's ident and rater, the rounded mean box; ``n_rows`` as in ``mean_boxes``."""
+    joined = clustered(boxes, key, ident, agreeing_pairs(boxes, key, ident, rater, threshold, same_rater=True, n_rows=n_rows), n_rows)
     return joined.groupBy(*key, F.col("cluster").alias(ident)).agg(F.min(rater).alias(rater), F.count("*").alias("n"), *(half_even(F.avg(c)).alias(c) for c in CORNERS))
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.session import new_path, remove, written
+from corvane.session import new_path, remove, spread, written
 
 
 #: Edges of a round beyond which hubs are looked for (fewer fit in any task), and the share of them that makes a node a hub.
@@ -88,15 +88,17 @@ def components_in_groups(edges: DataFrame, group: list[str], large: int = LARGE_
     """``group, node, component`` of the nodes of ``edges(group, src, dst)``, whose edges never leave their group.
 
     Groups come many to an Arrow batch, whose components are found at once; a group of more
-    than ``large`` edges is left to ``connected_components``, so no task holds one. Node ids
+    than ``large`` edges is left to ``connected_components``, so no task holds one; the number
+    of tasks follows from that of the edges. Node ids
     are unique over all groups. Null ends are dropped; no edges give no rows.
     """
     types = dict(edges.dtypes)
     whole = written(edges.select(*group, "src", "dst").where("src is not null and dst is not null"), "group-edges")
-    sizes = written(whole.groupBy(*group).agg(F.count("*").alias("__n")).where(F.col("__n") > large).drop("__n"), "group-large")
+    n_edges = whole.count()  # of the files
+    sizes = written(spread(whole, n_edges, *group).groupBy(*group).agg(F.count("*").alias("__n")).where(F.col("__n") > large).drop("__n"), "group-large")
     none = sizes.isEmpty()
     small = whole if none else whole.join(sizes, group, "left_anti")
-    packed = small.groupBy(*group).agg(F.collect_list(F.struct("src", "dst")).alias("__e"))
+    packed = spread(small, n_edges, *group).groupBy(*group).agg(F.collect_list(F.struct("src", "dst")).alias("__e"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -18,17 +18,22 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.col("l_orderkey").alias("image"), "rn", F.col("l_suppkey").alias("rater"), F.col("l_returnflag").alias("class"), x1.alias("x1"), y1.alias("y1"), (x1 + 10 + 100 * F.col("l_discount")).alias("x2"), (y1 + 10 + 100 * F.col("l_tax")).alias("y2"), (F.col("l_extendedprice") / 100000).alias("score"))
 
 
+def n_boxes(spark: SparkSession, sf_dir: str) -> int:
+    """How many ``boxes`` there are, from the files' own counts."""
+    return load(spark, sf_dir, "lineitem").count()
+
+
 def q20_interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of boxes of one image that meet, touching ones too, counted by image."""
     left = boxes(spark, sf_dir).select("image", "rn", *B.CORNERS)
-    pairs = B.overlapping(left, left, ["image"], 32.0).where("rn < o_rn")
+    pairs = B.overlapping(left, left, ["image"], 32.0, n_boxes(spark, sf_dir)).where("rn < o_rn")
     return pairs.groupBy("image").agg(F.count("*").alias("n"), F.sum(F.col("rn") * 100 + F.col("o_rn")).alias("code"))
 
 
 def q21_self_join_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs by different raters whose IoU reaches one half."""
     rows = boxes(spark, sf_dir)
-    pairs = B.agreeing_pairs(rows, ["image"], "rn", "rater", 0.5)
+    pairs = B.agreeing_pairs(rows, ["image"], "rn", "rater", 0.5, n_rows=n_boxes(spark, sf_dir))
     return pairs.select("image", "src", "dst", F.round("iou", 4).alias("iou"))
 
 
@@ -44,7 +49,7 @@ def q48_box_convert_giou(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q49_mean_box_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of one image and class merged where raters agree, as connected components."""
     rows = boxes(spark, sf_dir).withColumn("ident", F.col("image") * 1000 + F.col("rn"))
-    return B.mean_boxes(rows, ["image", "class"], "ident", "rater", 0.5).select("image", "class", "cluster", "n", *(F.round(c, 6).alias(c) for c in B.CORNERS))
+    return B.mean_boxes(rows, ["image", "class"], "ident", "rater", 0.5, n_boxes(spark, sf_dir)).select("image", "class", "cluster", "n", *(F.round(c, 6).alias(c) for c in B.CORNERS))
 
 
 def q50_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +70,7 @@ def q81_threshold_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth = rows.where("class = 'A'").select("image", F.col("rn").alias("truth"), *(F.col(c).alias(f"o_{c}") for c in B.CORNERS))
     name = lambda c: (F.col("image") * 1000 + F.col(c)).alias
     queries = rows.where("class <> 'A'").select("image", "rn", *B.CORNERS)
-    met = B.overlapping(queries, truth.toDF("image", "rn", *B.CORNERS), ["image"], 32.0)
+    met = B.overlapping(queries, truth.toDF("image", "rn", *B.CORNERS), ["image"], 32.0, n_boxes(spark, sf_dir))
     pairs = met.select("image", "rn", name("rn")("query"), name("o_rn")("truth"), F.round(G.iou(G.box(), G.box("o_")), 9).alias("iou")).where("iou > 0")
     alone = queries.select("image", "rn").join(pairs.select("image", "rn"), ["image", "rn"], "left_anti").join(truth.groupBy("image").agg(F.min("truth").alias("truth")), "image")  # it meets no truth, so the first one counts, at 0
     pairs = pairs.select("query", "truth", "iou").unionByName(alone.select(name("rn")("query"), name("truth")("truth"), F.lit(0.0).alias("iou")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import labels as L
 from corvane.operators import nesting as N
-from corvane.session import load
+from corvane.session import load, spread
 
 ORDER_KEY = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
@@ -15,7 +15,8 @@ ORDER_KEY = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with ``rn``, their place in the order; line numbers alone repeat."""
     w = Window.partitionBy("l_orderkey").orderBy(*ORDER_KEY)
-    return load(spark, sf_dir, "lineitem").withColumn("rn", F.row_number().over(w))
+    lines = load(spark, sf_dir, "lineitem")
+    return spread(lines, lines.count(), "l_orderkey").withColumn("rn", F.row_number().over(w))
 
 
 def q16_group_to_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
