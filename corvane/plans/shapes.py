@@ -13,8 +13,8 @@ from corvane.operators import nesting as N
 from corvane.operators import ranking as R
 from corvane.operators import sampling as S
 from corvane.plans import nesting as PN
-from corvane.plans.geometry import _BOXES, _IOU, boxes
-from corvane.session import load
+from corvane.plans.geometry import _BOXES, _IOU, boxes, n_boxes
+from corvane.session import load, spread
 from corvane.streaming import tracks as T
 
 
@@ -89,8 +89,9 @@ def q124_chunks_and_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q125_same_rater_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact repeats of boxes dropped, then nearly equal boxes of one rater and class as one, with the rounded mean box."""
     rows = boxes(spark, sf_dir).select(F.floor(F.col("image") / 16).alias("image"), (F.col("image") * 100 + F.col("rn")).alias("ident"), (F.col("rater") % 2).alias("rater"), "class", *(F.col(c).alias(c) for c in B.CORNERS))
-    left = B.distinct_boxes(rows.groupBy("image", "class", "rater", *B.CORNERS).agg(F.min("ident").alias("ident")), ["image", "class", "rater"])
-    merged = B.without_repeats(left, ["image", "class"], "ident", "rater", 0.9)
+    n, equal = n_boxes(spark, sf_dir), ["image", "class", "rater", *B.CORNERS]
+    left = B.distinct_boxes(spread(rows, n, *equal).groupBy(*equal).agg(F.min("ident").alias("ident")), ["image", "class", "rater"])
+    merged = B.without_repeats(left, ["image", "class"], "ident", "rater", 0.9, n)
     return merged.select("image", "class", "ident", "rater", "n", *B.CORNERS)
 
 
